@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import sharding, simhash
+from tidemark.llm import sharding, simhash, substrings
 from tidemark.llm.common import documents
 
 
@@ -19,7 +19,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding)}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_windows(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op10_substrings)}
 
 ORACLE_SQL = {
     "op2_sharding": r"""
@@ -44,5 +48,21 @@ mixed AS (
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (position * 40 // total)::INTEGER AS shard,
        (position - ((position * 40 // total) * total + 39) // 40)::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM mixed
+""",
+    "op10_substrings": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT r, i, array_to_string(list_slice(words, i, i + 34), ' ') AS w
+  FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM texts WHERE len(words) >= 35)),
+recurring AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+covered AS (
+  SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM windows JOIN recurring USING (w))),
+placed AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM texts),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS body, count(*) AS n
+  FROM placed ANTI JOIN covered USING (r, p) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
 """,
 }
