@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import sharding, simhash, substrings
+from tidemark.llm import cws, packing, sharding, simhash, substrings
 from tidemark.llm.common import documents
 
 
@@ -19,11 +19,19 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), capacity=1024)
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_windows(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_fingerprints, op4_packing, op10_substrings)}
 
 ORACLE_SQL = {
     "op2_sharding": r"""
