@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cws, packing, sharding, simhash, substrings
+from tidemark.llm import cws, decontaminate, packing, sharding, simhash, substrings
 from tidemark.llm.common import documents
 
 
@@ -27,11 +27,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=1024)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_windows(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_fingerprints, op4_packing, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_fingerprints, op4_packing, op6_decontamination, op10_substrings)}
 
 ORACLE_SQL = {
     "op2_sharding": r"""
@@ -72,5 +76,18 @@ kept AS (
   FROM placed ANTI JOIN covered USING (r, p) GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (r)
+""",
+    "op6_decontamination": r"""
+WITH shingled AS (
+  SELECT kind, id, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) AS shingle
+  FROM (SELECT 'doc' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents WHERE text IS NOT NULL
+        UNION ALL
+        SELECT 'item', item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM benchmark WHERE text IS NOT NULL)
+  WHERE len(words) >= 5),
+items AS (SELECT DISTINCT id AS item_id, shingle FROM shingled WHERE kind = 'item'),
+sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id),
+docs AS (SELECT DISTINCT id AS doc_id, shingle FROM shingled WHERE kind = 'doc'),
+held AS (SELECT doc_id, item_id, count(*) AS n FROM docs JOIN items USING (shingle) GROUP BY ALL)
+SELECT doc_id, item_id, held.n::DOUBLE / sizes.n AS containment FROM held JOIN sizes USING (item_id) WHERE held.n::DOUBLE / sizes.n >= 0.8
 """,
 }
