@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cws, decontaminate, packing, sharding, simhash, substrings
+from tidemark.llm import cws, decontaminate, packing, sharding, simhash, substrings, toxicity
 from tidemark.llm.common import documents
 
 
@@ -31,11 +31,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_windows(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_fingerprints, op4_packing, op6_decontamination, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_fingerprints, op4_packing, op6_decontamination, op9_toxicity, op10_substrings)}
 
 ORACLE_SQL = {
     "op2_sharding": r"""
