@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cws, decontaminate, packing, sharding, simhash, substrings, toxicity
+from tidemark.llm import cws, decontaminate, language, packing, pii, secret_scan, sharding, simhash, substrings, toxicity
 from tidemark.llm.common import documents
 
 
@@ -27,10 +27,33 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=1024)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.train(docs))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secret_scan.find(docs, secret_scan.train(docs))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.train(docs))
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over web pages, with all four kinds of evidence."""
+    model = language.train(documents(spark, sf_dir))
+    pages = language.page_evidence(documents(spark, sf_dir, "pages"))
+    found = language.identify(pages, model, "page_id", declared="declared", host="host", suffix="suffix")
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
@@ -40,7 +63,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_windows(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_fingerprints, op4_packing, op6_decontamination, op9_toxicity, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_fingerprints, op4_packing, op5_pii, op6_decontamination, op7_secrets, op8_language, op9_toxicity, op10_substrings, page_language)}
 
 ORACLE_SQL = {
     "op2_sharding": r"""
