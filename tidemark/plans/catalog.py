@@ -73,9 +73,9 @@ def exposure_alarms(e: DataFrame) -> DataFrame:
     return m.select("event_id", "user_id", six(F.col("stel")).alias("stel"), windows.latch(F.col("stel") >= 40, F.col("stel") < 30, log()).alias("alarm"))
 
 
-@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) * 10 / 28800, 6) AS twa FROM events")
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) * 10 / 28800, 8) AS twa FROM events")
 def cumulative_dose(e: DataFrame) -> DataFrame:
-    return e.select("event_id", six(windows.dose(F.col("value"), log(), 10, 28800)).alias("twa"))
+    return e.select("event_id", F.round(windows.dose(F.col("value"), log(), 10, 28800), 8).alias("twa"))
 
 
 @query(f"SELECT event_id, round(coalesce((value - lag(value, 3) OVER {OVER}) / 30 * 60, 0), 6) AS rate FROM events")
