@@ -27,7 +27,7 @@ class Sampler:
     Draws of recent terms are kept, at most `memory` of them; the memory doesn't grow with the vocabulary.
     """
 
-    def __init__(self, samples: int = 128, seed: int = 3, memory: int = 40_000) -> None:
+    def __init__(self, samples: int = 128, seed: int = 3, memory: int = 100_000) -> None:
         self.samples, self.seed, self.memory = samples, seed, memory
         self.at: dict[tuple[str, int], int] = {}
         self.a = np.zeros((memory, samples), np.float32)
@@ -37,11 +37,17 @@ class Sampler:
         """Fill rows for (term, count) keys that have none."""
         n, k = len(keys), self.samples
         seeds = np.array([xxhash.xxh64_intdigest(term, self.seed) for term, _ in keys], np.uint64)
-        # Five uniforms for each term and sample, by SplitMix64 of the term's seed and the place.
-        x = seeds[:, None] + (np.arange(1, 5 * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        u = ((x ^ (x >> np.uint64(31))) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24) + np.float32(2**-25)
+        # Five uniforms for each term and sample: both halves of the term's seed and the place, mixed as in MurmurHash3.
+        x = (seeds & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None] + (np.arange(1, 5 * k + 1, dtype=np.uint32) * np.uint32(0x9E3779B9))[None, :]
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(0x85EBCA6B)
+        x ^= (seeds >> np.uint64(32)).astype(np.uint32)[:, None]
+        x ^= x >> np.uint32(13)
+        x *= np.uint32(0xC2B2AE35)
+        x ^= x >> np.uint32(16)
+        u = (x >> np.uint32(8)).astype(np.float32)
+        u *= np.float32(2**-24)
+        u += np.float32(2**-25)
         u = u.reshape(n, 5, k)
         r, c, beta = -np.log(u[:, 0] * u[:, 1]), -np.log(u[:, 2] * u[:, 3]), u[:, 4]
         weight = np.log(np.array([count * len(term) for term, count in keys], np.float32))[:, None]
