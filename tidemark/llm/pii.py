@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
 from tidemark.llm.spans import Span, apart, digest, listed, ordered
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -282,6 +283,7 @@ def masked(text: str, spans: list[Span]) -> str:
 def mask(docs: DataFrame, crf: Crf, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs with personal data masked in the text, and the length (where there is such a column) set anew.
     Null texts stay null."""
+    small_batches(docs.sparkSession)
     columns, types = docs.columns, docs.schema
     at = columns.index(text_col)
 
