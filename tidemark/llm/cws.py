@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EMPTY = "-"
+#: Terms that are drawn, and read, at a time.
+DRAWN, READ = 64, 2048
 
 
 class Sampler:
@@ -24,57 +26,74 @@ class Sampler:
     t = floor(ln w / r + beta), ln y = r (t - beta), ln a = ln c - ln y - r; the term of least a is the
     sample, together with its t. Each is hashed to 16 bits, so unequal samples collide once in 65,536.
 
-    Draws of recent terms are kept, at most `memory` of them; the memory doesn't grow with the vocabulary.
+    Draws of recent terms are kept, at most `memory` of them (0.8 kB each), so the memory doesn't grow with the vocabulary.
     """
 
-    def __init__(self, samples: int = 128, seed: int = 3, memory: int = 100_000) -> None:
+    def __init__(self, samples: int = 128, seed: int = 3, memory: int = 250_000) -> None:
         self.samples, self.seed, self.memory = samples, seed, memory
-        self.at: dict[tuple[str, int], int] = {}
+        self.at: dict[str | tuple[str, int], int] = {}
         self.a = np.zeros((memory, samples), np.float32)
         self.code = np.zeros((memory, samples), np.uint16)
-
-    def draw(self, keys: list[tuple[str, int]]) -> None:
-        """Fill rows for (term, count) keys that have none."""
+        # Work space, used again and again: fresh arrays of this size cost more than the arithmetic on them.
+        self.place = np.arange(1, 3 * samples + 1, dtype=np.uint32) * np.uint32(0x9E3779B9)
+        self.x, self.y = np.zeros((DRAWN, 3 * samples), np.uint32), np.zeros((DRAWN, 3 * samples), np.uint32)
+        self.u, self.v = np.zeros((DRAWN, 2 * samples), np.float32), np.zeros((DRAWN, 2 * samples), np.float32)
+        self.read = np.zeros((READ, samples), np.float32)
+
+    def draw(self, keys: list) -> None:
+        """Fill rows for at most DRAWN keys that have none."""
         n, k = len(keys), self.samples
-        seeds = np.array([xxhash.xxh64_intdigest(term, self.seed) for term, _ in keys], np.uint64)
-        # Five uniforms for each term and sample: both halves of the term's seed and the place, mixed as in MurmurHash3.
-        x = (seeds & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None] + (np.arange(1, 5 * k + 1, dtype=np.uint32) * np.uint32(0x9E3779B9))[None, :]
-        x ^= x >> np.uint32(16)
+        pairs = [(key, 1) if isinstance(key, str) else key for key in keys]
+        seeds = np.array([xxhash.xxh64_intdigest(term, self.seed) for term, _ in pairs], np.uint64)
+        weight = np.log(np.array([count * len(term) for term, count in pairs], np.float32))[:, None]
+        # Three hashes for each term and sample: both halves of the term's seed and the place, mixed as in MurmurHash3.
+        x, y, u, v = self.x[:n], self.y[:n], self.u[:n], self.v[:n]
+        low, high = seeds.astype(np.uint32)[:, None], (seeds >> np.uint64(32)).astype(np.uint32)[:, None]
+        np.add(low, self.place, out=x)
+        x ^= np.right_shift(x, np.uint32(16), out=y)
         x *= np.uint32(0x85EBCA6B)
-        x ^= (seeds >> np.uint64(32)).astype(np.uint32)[:, None]
-        x ^= x >> np.uint32(13)
+        x ^= high
+        x ^= np.right_shift(x, np.uint32(13), out=y)
         x *= np.uint32(0xC2B2AE35)
-        x ^= x >> np.uint32(16)
-        u = (x >> np.uint32(8)).astype(np.float32)
-        u *= np.float32(2**-24)
-        u += np.float32(2**-25)
-        u = u.reshape(n, 5, k)
-        r, c, beta = -np.log(u[:, 0] * u[:, 1]), -np.log(u[:, 2] * u[:, 3]), u[:, 4]
-        weight = np.log(np.array([count * len(term) for term, count in keys], np.float32))[:, None]
+        x ^= np.right_shift(x, np.uint32(16), out=y)
+        # The halves of the first two are two uniforms each, whose product gives a Gamma(2, 1); the third is beta.
+        u[:] = np.right_shift(x[:, : 2 * k], np.uint32(16), out=y[:, : 2 * k]).view(np.int32)
+        v[:] = np.bitwise_and(x[:, : 2 * k], np.uint32(0xFFFF), out=y[:, : 2 * k]).view(np.int32)
+        u += np.float32(0.5)
+        v += np.float32(0.5)
+        u *= v
+        u *= np.float32(2**-32)
+        np.log(u, out=v)
+        r, log_c = -v[:, :k], np.log(-v[:, k:])
+        beta = np.right_shift(x[:, 2 * k :], np.uint32(8), out=y[:, 2 * k :]).astype(np.float32) * np.float32(2**-24)
         t = np.floor(weight / r + beta)
-        rows = np.arange(len(self.at), len(self.at) + n)
-        self.a[rows] = np.log(c) - r * (t - beta) - r
-        mixed = (seeds[:, None] ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
-        self.code[rows] = (mixed >> np.uint64(48)).astype(np.uint16)
-        self.at.update(zip(keys, rows.tolist(), strict=True))
+        first = len(self.at)
+        self.a[first : first + n] = log_c - r * (t - beta + np.float32(1))
+        mixed = (low ^ (t.view(np.uint32) * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA77)
+        self.code[first : first + n] = (mixed >> np.uint32(16)).astype(np.uint16)
+        self.at.update(zip(keys, range(first, first + n), strict=True))
 
     def __call__(self, text: str) -> np.ndarray | None:
         """The signature of a text: uint16 codes, one a sample; None when it has no word."""
-        keys = list(Counter(text.lower().split()).items())
+        # A term that occurs once is its own key.
+        keys = [term if count == 1 else (term, count) for term, count in Counter(text.lower().split()).items()]
         if not keys:
             return None
         least, codes = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint16)
-        for i in range(0, len(keys), 8192):
-            part = keys[i : i + 8192]
-            new = [key for key in part if key not in self.at]
+        for i in range(0, len(keys), READ):
+            part = keys[i : i + READ]
+            rows = list(map(self.at.get, part))
+            new = [k for k, row in enumerate(rows) if row is None]
             if len(self.at) + len(new) > self.memory:
                 self.at.clear()
-                new = part
-            if new:
-                for j in range(0, len(new), 1024):
-                    self.draw(new[j : j + 1024])
-            rows = np.array([self.at[key] for key in part])
-            a = self.a[rows]
+                new = range(len(part))
+            for j in range(0, len(new), DRAWN):
+                some, first = new[j : j + DRAWN], len(self.at)
+                self.draw([part[k] for k in some])
+                for k, row in zip(some, range(first, first + len(some)), strict=True):
+                    rows[k] = row
+            rows = np.array(rows)
+            a = np.take(self.a, rows, axis=0, out=self.read[: len(rows)], mode="clip")
             best = a.argmin(axis=0)
             value = a[best, np.arange(self.samples)]
             code = self.code[rows[best], np.arange(self.samples)]
