@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import least_keyed, staged
 
 BUCKETS = 1 << 15
 #: ASCII characters other than letters are spaces here.
@@ -39,7 +39,8 @@ class TextModel:
 def train(docs: DataFrame, most_texts: int = 2000, most_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> TextModel:
     """A text model from at most most_texts labelled rows (those of least MD5 of the id, up to most_bytes in all)."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & (F.octet_length(text_col) <= most_bytes // 64))
-    rows = rows.select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("k"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).orderBy("k", "text", "label").limit(most_texts)
+    rows = rows.select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("k"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    rows = least_keyed(rows, most_texts, "text", "label")
     counts: dict[str, np.ndarray] = {}
     held, size = [], 0
     for row in rows.toLocalIterator():
