@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import least_keyed, small_batches
 from tidemark.llm.spans import Span, apart, digest, listed, ordered
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -196,7 +196,7 @@ def train(docs: DataFrame, most_texts: int = 600, most_bytes: int = 8 << 20, id_
     """A model from a small labelled table: at most most_texts texts that hold a digit or an at sign (those of least MD5
     of the id, up to most_bytes in all), with the rules' spans as labels."""
     rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("k"), F.col(text_col).alias("text"))
-    rows = rows.where(F.octet_length("text") <= most_bytes // 16).orderBy("k", "text").limit(most_texts)
+    rows = least_keyed(rows.where(F.octet_length("text") <= most_bytes // 16), most_texts, "text")
     features, labels, size = [], [], 0
     for row in rows.toLocalIterator():
         size += len(row.text)
