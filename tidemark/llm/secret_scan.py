@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import least_keyed
 from tidemark.llm.spans import Span, apart, digest, listed, ordered
 
 KINDS = ["assign", "access", "hex"]
@@ -137,7 +138,7 @@ def train(docs: DataFrame, most_texts: int = 600, most_bytes: int = 8 << 20, mos
     most_examples of each."""
     rows = docs.where(F.col(text_col).rlike("[0-9]") & (F.octet_length(text_col) <= most_bytes // 16)).select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("k"), F.col(text_col).alias("text"))
     secret, plain, size = [], [], 0
-    for row in rows.orderBy("k", "text").limit(most_texts).toLocalIterator():
+    for row in least_keyed(rows, most_texts, "text").toLocalIterator():
         size += len(row.text)
         if size > most_bytes:
             break
