@@ -41,6 +41,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The column of row numbers that keyed() adds.
+ROW = "_row_number"
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for each row, staged so that it stays the same: decisions go by row, whatever its id."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """The rows of keyed() docs whose number isn't in the only column of gone, without the number."""
+    gone = staged(gone.toDF("_gone"), name)
+    return docs.join(gone, docs[ROW] == F.col("_gone"), "left_anti").drop(ROW)
+
+
 def least_keyed(rows: DataFrame, most: int, *ties: str) -> DataFrame:
     """The `most` rows of least k, an MD5 as hex digits; ties are ordered by the columns named.
 

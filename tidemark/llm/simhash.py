@@ -111,12 +111,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
     labels = staged(linked.join(ids, "root").select("fp", "component_id"), "simhash-labels")
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents whose component has a smaller id. Rows of one id are one document and
-    share its fate; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.join(kept, "_gone", "left_anti"), docs[id_col] == F.col("_gone"), "left_anti")
