@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 
 import corpus_pipeline
-from tidemark.llm import near_copies
+from tidemark.llm import decontaminate, language, near_copies
 
 SF = "/root/testdata/sf0.01"
 
@@ -60,3 +60,16 @@ def test_near_dedup_of_rows_without_id_and_repeated_rows(spark):
     rows = [(None, a), (None, a), (5, b), (5, b), (5, c), (None, c), (9, a + " more"), (None, None), (None, "")]
     left = near_copies.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.text or "") for r in left) == Counter([(9, a + " more"), (5, b), (5, c), (None, "")])
+
+
+def test_language_and_decontamination_of_rows_without_id_and_of_one_id(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(None, item, "en"), (None, "no item in this text", "en"), (4, f"before {item}", "en"), (4, "the clean one of two rows", "en"), (None, "", "en"), (6, "12 34", "en"), (6, "a text with letters", "en"), (None, None, None)]
+    docs = spark.createDataFrame([(*r, "a") for r in rows], "doc_id long, text string, lang string, source string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontaminate.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((r[0], r[1]) for r in rows if item not in (r[1] or ""))
+    left = language.keep_identified(docs, language.train(docs))
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((r[0], r[1]) for r in rows if any(c.isalpha() for c in r[1] or ""))

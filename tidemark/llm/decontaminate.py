@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import ROW, keyed, staged, without_rows
 
 SHINGLE = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -148,8 +148,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold a test item. Rows of one id share its fate; rows without an id stay."""
-    found = contaminated(docs, benchmark, containment, id_col, text_col)
-    gone = staged(found.select(F.col("doc_id").alias("_gone")).distinct(), "decontaminate-gone")
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8, text_col: str = "text") -> DataFrame:
+    """docs without the rows that hold a test item. Each row is decided by itself, whatever its id."""
+    docs = keyed(docs, "decontaminate-rows")
+    found = contaminated(docs, benchmark, containment, ROW, text_col)
+    return without_rows(docs, found.select("doc_id").distinct(), "decontaminate-gone")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import least_keyed, staged
+from tidemark.llm.common import ROW, keyed, least_keyed, staged, without_rows
 
 BUCKETS = 1 << 15
 #: ASCII characters other than letters are spaces here.
@@ -127,12 +127,11 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text: Co
     return found.select("doc_id", "language", "confidence", ((F.col("n") > 0) & (F.col("mean") >= model.floor) & (F.col("confidence") >= least)).alias("accepted"))
 
 
-def keep_identified(docs: DataFrame, model: TextModel, id_col: str = "doc_id", **evidence) -> DataFrame:
-    """docs without the documents that identify() rejects; rows of one id stay if one of them is accepted, rows without an id stay."""
-    found = identify(docs, model, id_col, **evidence).where(F.col("doc_id").isNotNull())
-    fate = found.groupBy("doc_id").agg(F.max("accepted").alias("kept"))
-    gone = staged(fate.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "language-gone")
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+def keep_identified(docs: DataFrame, model: TextModel, **evidence) -> DataFrame:
+    """docs without the rows that identify() rejects. Each row is decided by itself, whatever its id."""
+    docs = keyed(docs, "language-rows")
+    found = identify(docs, model, ROW, **evidence)
+    return without_rows(docs, found.where(~F.col("accepted")).select("doc_id"), "language-gone")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
