@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts can be long, so tasks exchange fewer rows at a time with Python than Spark's default of 10,000."""
+def small_batches(spark: SparkSession, rows: int = 500, most_bytes: int = 8 << 20) -> None:
+    """Texts can be long, so tasks exchange fewer rows, and bytes, at a time with Python than Spark's defaults
+    of 10,000 and 64 MB; a longer text is a batch of its own. Spark has these settings for a whole session only."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -22,11 +24,14 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the cluster names in spark.checkpoint.dir. Only where that is unset (tests on one
-    machine) a temporary folder is made and set for the session.
+    It is what the cluster names in spark.checkpoint.dir. Only where that is unset and the master is local (tests on one
+    machine) a temporary folder is made and set for the session; on a cluster, where executors would each
+    write to a disk of their own, the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -41,6 +46,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more. What a result still reads stays, and is the caller's to clear with the folder."""
+    for table in tables:
+        folder = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else ""
+        if "/tidemark/" in folder:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: The column of row numbers that keyed() adds.
 ROW = "_row_number"
 
@@ -57,7 +72,7 @@ def without_rows(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
 
 
 def least_keyed(rows: DataFrame, most: int, *ties: str) -> DataFrame:
-    """The `most` rows of least k, an MD5 as hex digits; ties are ordered by the columns named.
+    """The `most` rows of least k, an MD5 as hex digits (of more than the id, which can be null or repeated); ties are ordered by the columns named.
 
     Rows are counted first, and of each task's rows only those under a bound that about 4 * most of all rows pass are sent
     on, so what meets in one task doesn't grow with the number of tasks.
@@ -67,6 +82,11 @@ def least_keyed(rows: DataFrame, most: int, *ties: str) -> DataFrame:
     return rows.where(F.col("k") < bound).orderBy("k", *ties).limit(most)
 
 
+def sample_key(id_col: str, text_col: str):
+    """An MD5 of id and text as hex digits, for seeded samples."""
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string")))
+
+
 def numbered(df: DataFrame, order: list, name: str, position: str = "position") -> DataFrame:
     """df with a gapless global position by order, without sorting everything in one task.
 
@@ -101,10 +121,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("p"), F.col(c).alias("to"))  # noqa: B023, E731
         both = edges.union(edges.select("dst", "src"))
         best = both.groupBy("src").agg(F.min(rank("dst")).alias("near")).select(F.col("src").alias("was"), F.least("near", rank("src")).getField("to").alias("now"))
-        best = staged(best, f"{name}-hooks")
+        best, old = staged(best, f"{name}-hooks"), (edges, roots)
         roots = staged(roots.join(best, roots.root == best.was, "left").select("node", F.coalesce("now", "root").alias("root")), f"{name}-roots")
         a, b = best.toDF("src", "a"), best.toDF("dst", "b")
         moved = edges.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
         edges = staged(moved.distinct(), f"{name}-edges")
+        release(best, *(old if turn else old[:1]))  # the first roots were never written
         turn += 1
     return roots

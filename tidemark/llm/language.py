@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW, keyed, staged, without_rows
+from tidemark.llm.common import ROW, keyed, sample_key, staged, without_rows
 
 BUCKETS = 1 << 15
 #: ASCII characters other than letters are spaces here.
@@ -46,10 +46,10 @@ def train(docs: DataFrame, most_texts: int = 1000, most_chars: int = 1 << 16, id
     """A text model of every label that any row has, however few rows that are.
 
     Labels are counted over all rows; the trigrams are those of at most most_texts rows of each label (those of
-    least MD5 of the id), and of the first most_chars characters of each. Of a label with more rows only those under a bound
+    least MD5 of id and text), and of the first most_chars characters of each. Of a label with more rows only those under a bound
     that about 4 * most_texts of them pass are sent on, and each label is counted in a task of its own.
     """
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("k"), F.substring(text_col, 1, most_chars).alias("text"), language_code(label_col).alias("label"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(sample_key(id_col, text_col).alias("k"), F.substring(text_col, 1, most_chars).alias("text"), language_code(label_col).alias("label"))
     rows = rows.where("label is not null")
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     bound = F.when(F.col("n") <= 4 * most_texts, "g").otherwise(F.lower(F.lpad(F.hex((4.0 * most_texts / F.col("n") * 0xFFFFFFFF).cast("long")), 8, "0")))  # "g" is above all digits
@@ -88,6 +88,7 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text: Co
     largest posterior is below `least`. A text is unlike all if the mean log-likelihood of its trigrams in the language it
     is likeliest in is more than `margin` (a factor of e ** 2.5 on each trigram) below the quantile `unlike` of the means of all rows with
     20 trigrams or more. Declared languages are compared as whole codes without region (language_code). Null texts are empty and are rejected; null hosts and suffixes are one group each.
+    Of equal posteriors the language first in the alphabet is taken. Very long texts are read whole.
     Repeated rows vote each. A null id stays null. An empty table gives an empty result. Other columns aren't read.
     """
     languages = model.languages
@@ -147,7 +148,8 @@ def identify(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text: Co
 
 
 def keep_identified(docs: DataFrame, model: TextModel, **evidence) -> DataFrame:
-    """docs without the rows that identify() rejects. Each row is decided by itself, whatever its id."""
+    """docs without the rows that identify() rejects. Each row is decided by itself, whatever its id; repeated rows, and rows without an
+    id, are rows like all others. Null and empty texts are rejected, very long ones read whole. An empty table stays empty; other columns stay as they are."""
     docs = keyed(docs, "language-rows")
     found = identify(docs, model, ROW, **evidence)
     return without_rows(docs, found.where(~F.col("accepted")).select("doc_id"), "language-gone")

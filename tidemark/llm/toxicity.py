@@ -117,20 +117,21 @@ def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, most_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, most_bytes: int = 24 << 20, longest: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from at most most_labelled labelled rows that aren't held out (those whose ids have the least
-    MD5, as long as their texts sum up to most_bytes). Only text and label are used."""
+    MD5; texts over `longest` bytes are left out of the fit, and one that would take the sum over most_bytes is passed over). Only
+    text and label are used. Rows of one id all have its largest label."""
     marked = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = marked.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(most_labelled)
-    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "_id").select("_id", "text", "label")
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= longest).join(chosen, "_id").select("_id", "text", "label")
     rows = found.orderBy(F.md5(F.col("_id").cast("string")), "_id", "text").limit(most_labelled)
     texts, targets, size = [], [], 0
     for row in rows.toLocalIterator():
-        size += len(row.text)
-        if size > most_bytes:
-            break
-        texts.append(row.text)
-        targets.append(row.label)
+        own = len(row.text.encode())
+        if size + own <= most_bytes:
+            size += own
+            texts.append(row.text)
+            targets.append(row.label)
     return Model().fit(texts, targets)
 
 
