@@ -1,4 +1,4 @@
-"""Repeated passages: recurring phrases found by winnowing, located by Aho-Corasick automata, confirmed exactly."""
+"""Repeated passages: recurring phrases are confirmed, compiled to Aho-Corasick automata that locate them, and their windows compared exactly."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import release, staged
 
 WINDOW, PHRASE = 35, 8
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -43,6 +44,53 @@ def anchors(words: list[bytes], window: int = WINDOW, phrase: int = PHRASE) -> t
     return best, hashes
 
 
+def automaton(phrases: set[bytes]) -> ahocorasick.Automaton:
+    """An automaton of phrases between single spaces, so that only whole words match."""
+    out = ahocorasick.Automaton()
+    for p in phrases:
+        key = b" " + p + b" "
+        out.add_word(key.decode("latin-1"), len(key))
+    if phrases:
+        out.make_automaton()
+    return out
+
+
+def located(words: list[bytes], found: ahocorasick.Automaton) -> np.ndarray:
+    """The words at which a phrase of the automaton starts, every occurrence, ascending."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
+    begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+    at = np.array([end + 1 - n for end, n in found.iter(joined)], np.int64)
+    return np.unique(np.searchsorted(begins, at))
+
+
+def covering(n_words: int, places: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """The starts of all windows that hold one of the phrases at places whole."""
+    edges = np.zeros(n_words + 2, np.int64)
+    np.add.at(edges, np.maximum(places - (window - phrase), 0), 1)
+    np.add.at(edges, places + 1, -1)
+    return np.flatnonzero(np.cumsum(edges)[: n_words - window + 1] > 0)
+
+
+BASES = [0x9FB21C651E98DF25, 0xA24BAED4963EE407]
+
+
+def window_digests(words: list[bytes], starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit polynomial hashes of the words of each window: of 64-bit word hashes, and of these mixed once more."""
+    own = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    out = []
+    for base in BASES:
+        powers = np.multiply.accumulate(np.full(window, base, np.uint64))
+        value = np.zeros(len(starts), np.uint64)
+        for i in range(window):
+            value += own[starts + i] * powers[i]
+        out.append((value ^ (value >> np.uint64(32))).view(np.int64))
+        own = (own ^ (own >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        own ^= own >> np.uint64(29)
+    return out[0], out[1]
+
+
 def removed_words(n_words: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which words the windows at starts cover."""
     edges = np.zeros(n_words + 1, np.int64)
@@ -51,90 +99,85 @@ def removed_words(n_words: int, starts: np.ndarray, window: int = WINDOW) -> np.
     return np.cumsum(edges[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE, batch_bytes: int = 1 << 20) -> DataFrame:
     """One row (doc_id, n_words, n_removed, kept_sha256) for each row of docs.
 
     A window is `window` consecutive words; the words of every window whose sequence of words also
     starts anywhere else (the same text included) count as removed, judged on the input.
 
-    1. Each text gives the anchors of its windows (about one word in fifteen), by winnowing: equal
+    1. Each text gives the anchor phrases of its windows (about one word in fifteen), by winnowing: equal
        windows choose equal phrases. Rows with equal texts are put together by the digest of the text,
        and all their windows recur; one of them stands for the group from here on.
-    2. Phrases that are the anchor of windows in two places are recurring. The documents that hold one
-       are dealt out again with their recurring phrases; for each batch of documents these phrases are
-       compiled to an Aho-Corasick automaton (a shard of the dictionary that has all phrases these
-       documents can hold), which the texts stream through. Each window whose anchor the automaton finds is emitted
-       under a 128-bit digest of its words.
-    3. Digests met twice are the confirmed recurring windows; their places go back to the documents.
+    2. Phrases whose digest is met at two places or more are confirmed as recurring; the others are dropped.
+    3. The confirmed phrases are dealt to the documents that can hold them, and for each batch of documents compiled to one
+       automaton: a shard of the dictionary with all phrases that these documents can hold, so no document
+       passes more than one shard and the shards' size is bounded by the batch's. All documents with a confirmed phrase stream
+       through theirs, which finds every occurrence; nothing else tells where a phrase is. The windows
+       around the occurrences are emitted under a 128-bit digest of their words.
+    4. Digests met twice are recurring windows; their places go back to the documents.
 
     Common phrases and large groups are counted by partial aggregation, and their joins have both sides
-    shuffled, so Spark splits a skewed one. Null texts have no words. Repeated rows are repeated texts.
+    shuffled, so Spark splits a skewed one. Null texts have no words; very long texts are read whole, and
+    are a batch of their own beyond `batch_bytes`. Repeated rows are repeated texts.
     A null id stays null. An empty table gives an empty result. Other columns of docs are not read.
     """
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, marks, kept = [], [], []
+            counts, marks, phrases, kept = [], [], [], []
             for text in batch.column(2).to_pylist():
                 words = (text or b"").split()
                 counts.append(len(words))
                 kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                if len(words) < window:
-                    marks.append([])
-                else:
+                places, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+                if len(words) >= window:
                     best, hashes = anchors(words, window, phrase)
-                    marks.append(hashes[np.unique(best)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(kept)], names=["doc_id", "same", "n_words", "anchors", "kept"])
+                    places = np.unique(best)
+                marks.append(hashes[places].view(np.int64))
+                phrases.append([b" ".join(words[p : p + phrase]) for p in places.tolist()])
+            arrays = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(phrases, pa.list_(pa.binary())), pa.array(kept)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "n_words", "anchors", "phrases", "kept"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     source = source.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), F.col("text").cast("binary").alias("text"))
-    surveyed = staged(source.mapInArrow(survey, "doc_id long, same binary, n_words long, anchors array<long>, kept string"), "repeats-survey")
+    surveyed = staged(source.mapInArrow(survey, "doc_id long, same binary, n_words long, anchors array<long>, phrases array<binary>, kept string"), "repeats-survey")
 
     groups = staged(surveyed.where(F.col("n_words") >= window).groupBy("same").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")), "repeats-groups")
-    marks = surveyed.select("doc_id", "same", "anchors").join(groups, "same").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    marks = staged(marks.select("same", F.explode("anchors").alias("anchor")), "repeats-marks")
+    first = surveyed.join(groups, "same").where(F.col("doc_id").eqNullSafe(F.col("least")))
     # An anchor is listed once for each of its places, so two places in one text count as well.
-    recurring = staged(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeats-recurring")
-    asked = staged(marks.join(recurring, "anchor").groupBy("same").agg(F.collect_set("anchor").alias("recurring")), "repeats-asked")
+    counted = first.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    recurring = staged(counted.where("n > 1").select("anchor"), "repeats-recurring")
+    marks = first.select("same", F.explode(F.arrays_zip("anchors", "phrases")).alias("m")).select("same", F.col("m.anchors").alias("anchor"), F.col("m.phrases").alias("phrase"))
+    held = marks.join(recurring, "anchor").groupBy("same").agg(F.collect_set("phrase").alias("phrases"))
+    asked = staged(held.withColumn("number", F.monotonically_increasing_id()), "repeats-asked")
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                shard, read = ahocorasick.Automaton(), []
-                for text, wanted in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // batch_bytes
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
+                shard = automaton({p for own in part.column(2).to_pylist() for p in own})
+                numbers, starts, low, high = [], [], [], []
+                for number, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = text.split()
-                    best, hashes = anchors(words, window, phrase)
-                    places = np.unique(best)
-                    chosen = places[np.isin(hashes[places].view(np.int64), np.array(wanted, np.int64))]
-                    for p in chosen.tolist():
-                        key = b" " + b" ".join(words[p : p + phrase]) + b" "
-                        shard.add_word(key.decode("latin-1"), len(key))
-                    read.append((words, best))
-                shard.make_automaton()
-                same, keys, starts = [], [], []
-                for own, (words, best) in zip(part.column(0).to_pylist(), read, strict=True):
-                    joined = b" " + b" ".join(words) + b" "
-                    begins = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
-                    found = np.array([end + 1 - n for end, n in shard.iter(joined.decode("latin-1"))], np.int64)
-                    located = np.zeros(len(words), bool)
-                    located[np.searchsorted(begins, found)] = True
-                    hits = np.flatnonzero(located[best])
-                    ends = begins[hits + window]
-                    keys += [xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(begins[hits].tolist(), ends.tolist(), strict=True)]
-                    starts.append(hits)
-                    same += [own] * len(hits)
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(same, pa.binary()), pa.array(keys, pa.binary()), pa.array(np.concatenate(starts).astype(np.int32))], names=["same", "window", "start"])
+                    hits = covering(len(words), located(words, shard), window, phrase)
+                    d1, d2 = window_digests(words, hits, window)
+                    numbers.append(np.full(len(hits), number, np.int64))
+                    starts.append(hits.astype(np.int32))
+                    low.append(d1)
+                    high.append(d2)
+                if numbers:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (low, high, numbers, starts)], names=["low", "high", "number", "start"])
 
     texts = source.join(asked, "same").join(groups.select(F.col("same").alias("_s"), "least"), F.col("same") == F.col("_s")).where(F.col("doc_id").eqNullSafe(F.col("least")))
-    windows = texts.select("same", "text", "recurring").mapInArrow(locate, "same binary, window binary, start int")
-    # Repeated rows of one id and text would give one window twice at one place.
-    windows = staged(windows, "repeats-windows")
-    twice = staged(windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"), "repeats-twice")
-    hits = windows.join(twice, "window").groupBy("same").agg(F.collect_set("start").alias("starts"))
+    windows = staged(texts.select("number", "text", "phrases").mapInArrow(locate, "low long, high long, number long, start int"), "repeats-windows")
+    twice = staged(windows.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low", "high"), "repeats-twice")
+    hits = windows.join(twice, ["low", "high"]).groupBy("number").agg(F.collect_set("start").alias("starts"))
     groups = groups.select("same", "copies", "least")
-    hits = staged(hits.join(groups, "same").where("copies = 1").select("same", "starts"), "repeats-hits")
+    hits = hits.join(asked.select("number", "same"), "number").join(groups, "same").where("copies = 1").select("same", "starts")
+    hits, gone = staged(hits, "repeats-hits"), (recurring, windows, twice)
+    release(*gone)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
