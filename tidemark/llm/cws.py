@@ -16,6 +16,15 @@ EMPTY = "-"
 DRAWN, READ = 64, 2048
 
 
+def gamma_quantiles(count: int = 1 << 16) -> np.ndarray:
+    """Gamma(2, 1) at the middle of each of `count` equal shares, by Newton's method on 1 - (1 + x) e^-x."""
+    share = (np.arange(count) + 0.5) / count
+    x = np.where(share < 0.3, np.sqrt(2 * share), 1 - 1.5 * np.log1p(-share))
+    for _ in range(60):
+        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - share) / (x * np.exp(-x)), x / 4)
+    return x.astype(np.float32)
+
+
 class Sampler:
     """Signatures whose collision rate is the generalised Jaccard similarity of two weighted bags.
 
@@ -26,51 +35,56 @@ class Sampler:
     t = floor(ln w / r + beta), ln y = r (t - beta), ln a = ln c - ln y - r; the term of least a is the
     sample, together with its t. Each is hashed to 16 bits, so unequal samples collide once in 65,536.
 
-    Draws of recent terms are kept, at most `memory` of them (0.8 kB each), so the memory doesn't grow with the vocabulary.
+    Draws of recent terms are kept, at most `memory` of them (1 kB each), so the memory doesn't grow with the vocabulary.
     """
 
     def __init__(self, samples: int = 128, seed: int = 3, memory: int = 250_000) -> None:
         self.samples, self.seed, self.memory = samples, seed, memory
         self.at: dict[str | tuple[str, int], int] = {}
-        self.a = np.zeros((memory, samples), np.float32)
-        self.code = np.zeros((memory, samples), np.uint16)
+        #: ln a of each key and sample; the lowest 16 bits of the number are the sample's code.
+        self.a = np.zeros((memory, samples))
+        self.gamma = gamma_quantiles()
         # Work space, used again and again: fresh arrays of this size cost more than the arithmetic on them.
-        self.place = np.arange(1, 3 * samples + 1, dtype=np.uint32) * np.uint32(0x9E3779B9)
-        self.x, self.y = np.zeros((DRAWN, 3 * samples), np.uint32), np.zeros((DRAWN, 3 * samples), np.uint32)
-        self.u, self.v = np.zeros((DRAWN, 2 * samples), np.float32), np.zeros((DRAWN, 2 * samples), np.float32)
-        self.read = np.zeros((READ, samples), np.float32)
+        self.place = np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        self.x, self.y = np.zeros((DRAWN, samples), np.uint64), np.zeros((DRAWN, samples), np.uint64)
+        self.read = np.zeros((READ, samples))
 
     def draw(self, keys: list) -> None:
         """Fill rows for at most DRAWN keys that have none."""
         n, k = len(keys), self.samples
         pairs = [(key, 1) if isinstance(key, str) else key for key in keys]
-        seeds = np.array([xxhash.xxh64_intdigest(term, self.seed) for term, _ in pairs], np.uint64)
+        seeds = np.array([xxhash.xxh64_intdigest(term, self.seed) for term, _ in pairs], np.uint64)[:, None]
         weight = np.log(np.array([count * len(term) for term, count in pairs], np.float32))[:, None]
-        # Three hashes for each term and sample: both halves of the term's seed and the place, mixed as in MurmurHash3.
-        x, y, u, v = self.x[:n], self.y[:n], self.u[:n], self.v[:n]
-        low, high = seeds.astype(np.uint32)[:, None], (seeds >> np.uint64(32)).astype(np.uint32)[:, None]
-        np.add(low, self.place, out=x)
-        x ^= np.right_shift(x, np.uint32(16), out=y)
-        x *= np.uint32(0x85EBCA6B)
-        x ^= high
-        x ^= np.right_shift(x, np.uint32(13), out=y)
-        x *= np.uint32(0xC2B2AE35)
-        x ^= np.right_shift(x, np.uint32(16), out=y)
-        # The halves of the first two are two uniforms each, whose product gives a Gamma(2, 1); the third is beta.
-        u[:] = np.right_shift(x[:, : 2 * k], np.uint32(16), out=y[:, : 2 * k]).view(np.int32)
-        v[:] = np.bitwise_and(x[:, : 2 * k], np.uint32(0xFFFF), out=y[:, : 2 * k]).view(np.int32)
-        u += np.float32(0.5)
-        v += np.float32(0.5)
-        u *= v
-        u *= np.float32(2**-32)
-        np.log(u, out=v)
-        r, log_c = -v[:, :k], np.log(-v[:, k:])
-        beta = np.right_shift(x[:, 2 * k :], np.uint32(8), out=y[:, 2 * k :]).astype(np.float32) * np.float32(2**-24)
-        t = np.floor(weight / r + beta)
+        # One 64-bit hash (SplitMix64) for each term and sample; its four 16-bit parts are the uniforms.
+        x, y = self.x[:n], self.y[:n]
+        np.add(seeds, self.place, out=x)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= np.right_shift(x, np.uint64(shift), out=y)
+            x *= np.uint64(factor)
+        x ^= np.right_shift(x, np.uint64(31), out=y)
+        parts = x.view(np.uint16).reshape(n, k, 4)
+        r = self.gamma[parts[:, :, 0]]
+        beta = parts[:, :, 1] * np.float32(2**-16)
+        # c is Gamma(2, 1) by two uniforms, since small values of it decide and need all 32 bits.
+        log_c = parts[:, :, 2] + np.float32(0.5)
+        log_c *= parts[:, :, 3] + np.float32(0.5)
+        log_c *= np.float32(2**-32)
+        np.log(log_c, out=log_c)
+        np.log(np.negative(log_c, out=log_c), out=log_c)
+        t = weight / r
+        t += beta
+        np.floor(t, out=t)
+        code = (seeds.astype(np.uint32) ^ (t.view(np.uint32) * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA77)
+        code >>= np.uint32(16)
+        t -= beta
+        t += np.float32(1)
+        t *= r
         first = len(self.at)
-        self.a[first : first + n] = log_c - r * (t - beta + np.float32(1))
-        mixed = (low ^ (t.view(np.uint32) * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA77)
-        self.code[first : first + n] = (mixed >> np.uint32(16)).astype(np.uint16)
+        rows = self.a[first : first + n]
+        np.subtract(log_c, t, out=rows)
+        bits = rows.view(np.uint64)
+        bits &= np.uint64(0xFFFFFFFFFFFF0000)
+        bits |= code
         self.at.update(zip(keys, range(first, first + n), strict=True))
 
     def __call__(self, text: str) -> np.ndarray | None:
@@ -79,7 +93,7 @@ class Sampler:
         keys = [term if count == 1 else (term, count) for term, count in Counter(text.lower().split()).items()]
         if not keys:
             return None
-        least, codes = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint16)
+        least = np.full(self.samples, np.inf)
         for i in range(0, len(keys), READ):
             part = keys[i : i + READ]
             rows = list(map(self.at.get, part))
@@ -92,14 +106,9 @@ class Sampler:
                 self.draw([part[k] for k in some])
                 for k, row in zip(some, range(first, first + len(some)), strict=True):
                     rows[k] = row
-            rows = np.array(rows)
-            a = np.take(self.a, rows, axis=0, out=self.read[: len(rows)], mode="clip")
-            best = a.argmin(axis=0)
-            value = a[best, np.arange(self.samples)]
-            code = self.code[rows[best], np.arange(self.samples)]
-            less = value < least
-            least, codes = np.where(less, value, least), np.where(less, code, codes)
-        return codes
+            found = np.take(self.a, rows, axis=0, out=self.read[: len(rows)], mode="clip")
+            np.minimum(least, np.minimum.reduce(found, axis=0), out=least)
+        return (least.view(np.uint64) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def as_text(signature: np.ndarray | None) -> str:
