@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import least_keyed, small_batches
+from tidemark.llm.common import least_keyed, sample_key, small_batches
 from tidemark.llm.spans import Span, apart, digest, listed, ordered
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -23,7 +23,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-ANCHOR = re.compile(r"[0-9@]+")
+ANCHOR = re.compile(r"[0-9@]+|[\[(](?:at|dot)[\])]", re.IGNORECASE)
 TOKEN = re.compile(r"\S+")
 
 
@@ -58,7 +58,7 @@ def base_spans(text: str) -> list[Span]:
 def shape(token: str, longest: int) -> str:
     """Letters become A or a, digits 9; runs are cut to `longest`."""
     out, run = [], 0
-    for c in token[:200]:
+    for c in token:
         s = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         run = run + 1 if out and out[-1] == s else 1
         if run <= longest:
@@ -67,7 +67,7 @@ def shape(token: str, longest: int) -> str:
 
 
 def windows(text: str, tokens: list[tuple[int, int]], around: int = 3) -> list[tuple[int, int]]:
-    """Runs of tokens [from, to) around those that hold a digit or an at sign: every kind of span holds one."""
+    """Runs of tokens [from, to) around those that hold a digit, an at sign or one spelled out in brackets: every kind of span holds one."""
     starts = np.array([a for a, _ in tokens])
     held = np.unique(np.searchsorted(starts, [m.start() for m in ANCHOR.finditer(text)], "right") - 1)
     out: list[tuple[int, int]] = []
@@ -154,8 +154,14 @@ class Crf:
         """The best label sequences, by Viterbi over batches of sequences of like length."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(features)
         order = sorted(range(len(features)), key=lambda i: len(features[i]))
-        for at in range(0, len(order), 256):
-            rows = order[at : at + 256]
+        cuts = [0]
+        for at in range(1, len(order)):  # at most 256 sequences and 100,000 places, padding included; a longer sequence is alone
+            if at - cuts[-1] == 256 or (at - cuts[-1] + 1) * len(features[order[at]]) > 100_000:
+                cuts.append(at)
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            rows = order[a:b]
+            if not rows:
+                continue
             scores, lengths = self.emissions([features[r] for r in rows])
             n, t_max, k = scores.shape
             best, back = scores[:, 0], np.zeros((t_max, n, k), np.int8)
@@ -192,28 +198,62 @@ def token_labels(tokens: list[tuple[int, int]], spans: list[Span]) -> np.ndarray
     return out
 
 
-def train(docs: DataFrame, most_texts: int = 600, most_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> Crf:
-    """A model from a small labelled table: at most most_texts texts that hold a digit or an at sign (those of least MD5
-    of the id, up to most_bytes in all), with the rules' spans as labels."""
-    rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("k"), F.col(text_col).alias("text"))
-    rows = least_keyed(rows.where(F.octet_length("text") <= most_bytes // 16), most_texts, "text")
-    features, labels, size = [], [], 0
-    for row in rows.toLocalIterator():
-        size += len(row.text)
-        if size > most_bytes:
-            break
-        spans = base_spans(row.text)
-        for tokens, own in sequences(row.text):
-            features.append(own)
-            labels.append(token_labels(tokens, spans))
-    # Windows over many tokens would only slow the training down.
-    short = [i for i, f in enumerate(features) if len(f) <= 60][:4000]
-    return Crf().fit([features[i] for i in short], [labels[i] for i in short])
+def variants(kind: str, value: str) -> list[str]:
+    """Forms of a finding that the rules miss: spelled out, bracketed, or with other separators."""
+    if kind == "email":
+        local, _, domain = value.partition("@")
+        return [f"{local} (at) {domain}", f"{local}[at]{domain}", f"{local} @ {domain}", f"{local} [at] {domain.replace('.', ' [dot] ')}"]
+    if kind == "ip":
+        return [value.replace(".", x) for x in ("[.]", "(.)", " . ", "[dot]")]
+    digits = "".join(DIGIT.findall(value))
+    if kind == "card":
+        return [x.join(digits[i : i + 4] for i in range(0, len(digits), 4)) for x in (".", "/", "  ", " - ")]
+    return [f"00{digits}", f"+{digits[:-7]}/{digits[-7:-4]}/{digits[-4:]}", f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}.{digits[-7:-4]}.{digits[-4:]}"]
+
+
+def labelled(text: str, around: int = 40, widest: int = 60) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, labels) of the windows of a text, cut to `widest` tokens: the rules' spans where they stand, and once for
+    each variant of a span, put in its place among what is around it."""
+    base, out = base_spans(text), []
+
+    def add(shown: str, spans: list[Span]) -> None:
+        for tokens, own in sequences(shown):
+            y = token_labels(tokens, spans)
+            out.extend((own[i : i + widest], y[i : i + widest]) for i in range(0, len(y), widest))
+
+    add(text, base)
+    for kind, a, b in base:
+        before, after = text[max(0, a - around) : a], text[b : b + around]
+        if not apart([(kind, a - around, b + around)], [s for s in base if s[1:] != (a, b)]):
+            continue  # another span nearby would be unlabelled
+        for form in variants(kind, text[a:b]):
+            add(before + form + after, [(kind, len(before), len(before) + len(form))])
+    return out
+
+
+def train(docs: DataFrame, most_texts: int = 600, most_bytes: int = 8 << 20, longest: int = 1 << 17, most_windows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Crf:
+    """A model from a small labelled table (labelled()): at most most_texts texts that hold a digit or an at sign, those of least MD5
+    of id and text, none over `longest` bytes, most_bytes in all, and at most most_windows windows of them, left out evenly."""
+    rows = docs.where(F.col(text_col).rlike("[0-9@]") & (F.octet_length(text_col) <= longest)).select(sample_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    windows, size = [], 0
+    for row in least_keyed(rows, most_texts, "text").toLocalIterator():
+        own = len(row.text.encode())
+        if size + own <= most_bytes:
+            size += own
+            windows += labelled(row.text)
+    windows = windows[:: -(-len(windows) // most_windows) or 1]
+    return Crf().fit([f for f, _ in windows], [y for _, y in windows])
 
 
 def plausible(kind: str, text: str) -> bool:
-    digits = sum(c.isdigit() for c in text)
-    return {"email": "@" in text, "ip": text.count(".") == 3 and digits >= 4, "card": 12 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
+    """The checks of the rules hold for the model's spans too: what a rule's check has rejected doesn't come back."""
+    digits = "".join(DIGIT.findall(text))
+    if kind == "email":
+        return bool(re.fullmatch(r"(?is)[^\s@]+\s*(?:@|[\[(]at[\])])\s*\S+(?:\.|\s*[\[(]dot[\])]\s*)\S+", text))
+    if kind == "ip":
+        parts = re.split(r"[^0-9]+", text)
+        return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15 and len(digits) < len(text)
 
 
 def field_spans(crf: Crf, texts: list[str]) -> list[list[Span]]:
@@ -247,8 +287,8 @@ def find(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "tex
     """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     The counts and the digest are of the rules' spans; spans also lists those that only the model finds
-    and that overlap none of the rules'. Null texts are empty; whole texts are read, in one pass without a
-    shuffle. Repeated rows give repeated rows. A null id stays null. An empty table gives an empty
+    and that overlap none of the rules', if they pass the rule's own check (plausible()). Null texts are empty; whole texts are read, in one pass without a
+    shuffle, very long ones too. Repeated rows give repeated rows. A null id stays null. An empty table gives an empty
     result. Other columns of docs are not read.
     """
 
@@ -282,7 +322,8 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def mask(docs: DataFrame, crf: Crf, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs with personal data masked in the text, and the length (where there is such a column) set anew.
-    Null texts stay null."""
+    Null texts stay null, texts without personal data stay as they are, very long ones are read whole. Rows stay as many, whatever their ids;
+    an empty table stays empty, and other columns stay as they are."""
     small_batches(docs.sparkSession)
     columns, types = docs.columns, docs.schema
     at = columns.index(text_col)
