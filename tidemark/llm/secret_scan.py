@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from base64 import b32encode, b64encode
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,16 +12,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import least_keyed
+from tidemark.llm.common import least_keyed, sample_key
 from tidemark.llm.spans import Span, apart, digest, listed, ordered
 
 KINDS = ["assign", "access", "hex"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-WORD = re.compile(r"[A-Za-z0-9+/_=.-]{6,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{6,}")
 DIGIT = re.compile(r"[0-9]")
+MIXED = re.compile(r"[a-z][A-Z]")
+#: Texts that can hold a finding of the rules.
+LIKELY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
+#: Runs that are no secret: numbers, dates and addresses, words, names of hosts and files.
+HARMLESS = re.compile(r"[0-9./_-]+|[A-Za-z][a-z]*[.=/_-]*|[A-Z]+[.=/_-]*|[A-Za-z]+(?:[./_-][A-Za-z]+)*\.?[0-9]{0,3}|[A-Za-z-]+[0-9]{0,3}(?:\.[A-Za-z]+)+")
+#: What stands before a secret that the rules miss, and before words that are none.
+CUES = ["pwd is ", "passphrase: ", "credential ", "auth=", "key -> \"", "use ", "login with '", ""]
 BEFORE, AFTER, LONGEST, WIDTH = 16, 8, 96, 5
 
 
@@ -35,15 +43,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str) -> list[Span]:
-    """Every unbroken run of 16 or more key characters with letters and digits in it, with the kind it is most like."""
+    """Every run of 6 or more key characters that has a digit or changes from small to capital letters, or that follows a
+    quotation mark, an equals sign or a colon, with the kind it is most like: what the rules find is among them, and their near misses too."""
     out: list[Span] = []
-    if DIGIT.search(text):
-        for m in LONG.finditer(text):
-            run = m[0]
-            if DIGIT.search(run) and any(c.isalpha() for c in run):
-                before = text[max(0, m.start() - 4) : m.start()].rstrip(" \"'")
-                kind = "assign" if before[-1:] in ("=", ":") and before else "access" if run.upper() == run else "hex"
-                out.append((kind, *m.span()))
+    for m in RUN.finditer(text):
+        run, a = m[0], m.start()
+        before = text[max(0, a - 3) : a].rstrip(" \"'")
+        told = before[-1:] in ("=", ":") and before
+        if told or DIGIT.search(run) or MIXED.search(run) or (a and text[a - 1] in "\"'"):
+            out.append(("assign" if told else "access" if run.upper() == run else "hex", *m.span()))
     return out
 
 
@@ -53,14 +61,18 @@ OTHER, PAD = 1, 0
 
 
 def encoded(text: str, a: int, b: int) -> np.ndarray:
-    """A candidate with its context as character classes; of a very long candidate the middle is left out."""
-    core = text[a:b] if b - a <= LONGEST else text[a : a + LONGEST // 2] + text[b - LONGEST // 2 : b]
-    shown = text[max(0, a - BEFORE) : a].rjust(BEFORE, "\0") + core + text[b : b + AFTER]
+    """A piece of at most LONGEST characters with its context as character classes."""
+    shown = text[max(0, a - BEFORE) : a].rjust(BEFORE, "\0") + text[a:b] + text[b : b + AFTER]
     row = np.zeros(BEFORE + LONGEST + AFTER, np.int64)
     row[: len(shown)] = [PAD if c == "\0" else CLASSES.get(c, OTHER) for c in shown]
     return row
 
 
+def pieces(a: int, b: int) -> list[tuple[int, int]]:
+    """A candidate whole, or a long one as overlapping pieces that together cover it."""
+    return [(i, min(b, i + LONGEST)) for i in range(a, max(a + 1, b - LONGEST // 4), LONGEST * 3 // 4)]
+
+
 class Network:
     """Convolution over characters, rectified, largest and mean over places, and a logistic layer."""
 
@@ -71,7 +83,7 @@ class Network:
         self.shift = np.zeros(filters)
         self.dense = rng.normal(0, 0.2, 2 * filters)
         self.bias = 0.0
-        self.slope, self.offset, self.threshold = 1.0, 0.0, 0.5
+        self.slope, self.offset, self.threshold, self.trained = 1.0, 0.0, 0.5, False
 
     def convolved(self, x: np.ndarray) -> np.ndarray:
         places = x.shape[1] - WIDTH + 1
@@ -87,15 +99,16 @@ class Network:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(x) + self.offset, -50, 50)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, recall: float = 0.99, epochs: int = 8, batch: int = 32, rate: float = 0.005, seed: int = 3) -> "Network":
+    def fit(self, x: np.ndarray, y: np.ndarray, recall: float = 0.99, batch: int = 32, rate: float = 0.005, seed: int = 3) -> "Network":
         """Adam on two thirds; the rest calibrates the probabilities (Platt scaling) and sets the threshold:
-        the largest that keeps the recall, and 0.5 at least."""
+        even odds, or less where fewer than the share `recall` of its labelled findings reach them."""
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(x))
         cut = len(x) * 2 // 3
         learn, check = order[:cut], order[cut:]
         params = [self.kernel, self.shift, self.dense, np.zeros(1)]
         first, second, turn = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        epochs = int(np.clip(20_000 // max(1, len(x)), 6, 20))
         for _ in range(epochs if len(np.unique(y[learn])) == 2 else 0):
             rng.shuffle(learn)
             for at in range(0, len(learn), batch):
@@ -120,6 +133,7 @@ class Network:
                     v += 0.01 * (g * g - v)
                     p -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
                 self.bias = float(params[3][0])
+        self.trained = turn > 0
         if len(np.unique(y[check])) == 2:
             z, t = self.logits(x[check]), y[check]
             soft = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2))  # Platt's targets
@@ -128,37 +142,93 @@ class Network:
                 self.slope -= 0.2 * float(((p - soft) * z).mean() / (1 + (z * z).mean()))
                 self.offset -= 0.2 * float((p - soft).mean())
             kept = np.sort(self.probabilities(x[check][t == 1]))
-            self.threshold = max(0.5, float(kept[int(len(kept) * (1 - recall))]))
+            self.threshold = min(0.5, float(kept[int(len(kept) * (1 - recall))]))
         return self
 
 
-def train(docs: DataFrame, most_texts: int = 600, most_bytes: int = 8 << 20, most_examples: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """A network from labelled findings: in at most most_texts texts that hold a digit (those of least MD5 of the id,
-    up to most_bytes in all), the rules' findings, and as what isn't secret the other words and numbers there, at most
-    most_examples of each."""
-    rows = docs.where(F.col(text_col).rlike("[0-9]") & (F.octet_length(text_col) <= most_bytes // 16)).select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("k"), F.col(text_col).alias("text"))
-    secret, plain, size = [], [], 0
-    for row in least_keyed(rows, most_texts, "text").toLocalIterator():
-        size += len(row.text)
-        if size > most_bytes:
-            break
-        base = base_spans(row.text)
-        secret += [encoded(row.text, a, b) for _, a, b in base]
-        others = apart([("", *m.span()) for m in WORD.finditer(row.text)], base)
-        numbered = [s for s in others if DIGIT.search(row.text[s[1] : s[2]])]
-        plain += [encoded(row.text, a, b) for _, a, b in numbered + others[:: max(1, len(others) // 4)]]
-    secret, plain = secret[:most_examples], plain[:most_examples]
+def disguised(value: str) -> list[str]:
+    """Forms of a secret's value that the rules needn't find: as it is, in capitals, short, in groups, and keys derived from it in
+    the alphabets of base 64, base 36 and base 32."""
+    own = hashlib.sha256(value.encode()).digest()
+    base64 = b64encode(own, b"-_").decode().rstrip("=")
+    size = 14 + own[0] % 24
+    return [value, value.upper()[: size + 4], value[:14], "-".join(value[i : i + 5] for i in range(0, len(value), 5))[:48], base64[:size], base64[::-1].lower()[:size], b32encode(own).decode()[:size], b64encode(own[::-1]).decode()[: size // 4 * 4]]
+
+
+def labelled(text: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(secrets, others) of a text as the network sees them.
+
+    Secrets are the rules' findings (what is assigned without the name before it), and disguised forms of each value after
+    cues that the rules don't know, in place of the finding. Others are runs of harmless form that no rule finds, in place, among capitals, and
+    after the same cues. Runs of other forms have no label: a secret that the rules miss isn't taught as none.
+    """
+    base, secret, other = base_spans(text), [], []
+    for n, (kind, a, b) in enumerate(base):
+        if kind == "assign":
+            a = ASSIGN.match(text, a).start(2)
+        secret += [encoded(text, *piece) for piece in pieces(a, b)]
+        for i, form in enumerate(disguised(text[a:b]) * 2):
+            cue = CUES[(3 * n + i + i // len(CUES)) % len(CUES)]
+            shown = text[max(0, a - 40) : a].rsplit(" ", 2)[0] + " " + cue
+            after = cue[-1:] * (cue[-1:] in "\"'") + text[b : b + 2 * AFTER].lstrip("\"'")
+            secret += [encoded(shown + form + after, *piece) for piece in pieces(len(shown), len(shown) + len(form))]
+    runs = apart([("", *m.span()) for m in RUN.finditer(text)], base)
+    plain = [(a, b) for _, a, b in runs if HARMLESS.fullmatch(text, a, b)]
+    asked = {(a, b) for _, a, b in candidates(text)}
+    step = max(1, len(plain) // 6)
+    for i, (a, b) in enumerate(plain):
+        if (a, b) in asked:
+            loud = text[max(0, a - BEFORE) : a].upper()
+            other += [encoded(t, *piece) for t, k in ((text, a), (loud + text[a:b] + "!!" + text[b : b + AFTER].upper(), len(loud))) for piece in pieces(k, k + b - a)]
+        if i % step == 0:
+            cue = CUES[(a + b) % len(CUES)]
+            shown = text[max(0, a - 40) : a] + cue
+            other.append(encoded(shown + text[a : b + AFTER], len(shown), min(len(shown) + b - a, len(shown) + LONGEST)))
+    return secret, other
+
+
+def train(docs: DataFrame, most_texts: int = 400, most_bytes: int = 8 << 20, longest: int = 1 << 17, most_examples: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Network:
+    """A network from the labelled findings (labelled()) of at most most_texts texts that can hold one and as many others with a digit: those of
+    least MD5 of id and text, none over `longest` bytes, most_bytes of each in all, most_examples of secrets and of others."""
+    short = docs.where(F.octet_length(text_col) <= longest).select(sample_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    likely = F.col("text").rlike(LIKELY)
+    secret, plain = [], []
+    for rows in (short.where(likely), short.where(F.col("text").rlike("[0-9]") & ~likely)):
+        size = 0
+        for row in least_keyed(rows, most_texts, "text").toLocalIterator():
+            own = len(row.text.encode())
+            if size + own <= most_bytes:
+                size += own
+                yes, no = labelled(row.text)
+                secret += yes
+                plain += no
+    # Examples over the bound are left out evenly.
+    secret, plain = (x[:: -(-len(x) // most_examples) or 1] for x in (secret, plain))
     if not secret or not plain:
         return Network()
     return Network().fit(np.stack(secret + plain), np.array([1] * len(secret) + [0] * len(plain)))
 
 
+def judged(network: Network, texts: list[str]) -> tuple[list[list[Span]], list[int]]:
+    """For each text the candidates that the network finds secret, and how many it was asked about. A long candidate is as
+    likely a secret as the likeliest of its pieces."""
+    asked = [(i, s, piece) for i, t in enumerate(texts) for s in candidates(t) for piece in pieces(s[1], s[2])]
+    found: list[dict[Span, bool]] = [{} for _ in texts]
+    for at in range(0, len(asked), 1024):
+        part = asked[at : at + 1024]
+        p = network.probabilities(np.stack([encoded(texts[i], *piece) for i, _, piece in part]))
+        for (i, s, _), q in zip(part, p.tolist(), strict=True):
+            found[i][s] = found[i].get(s, False) or (network.trained and q >= network.threshold)
+    return [[s for s, yes in own.items() if yes] for own in found], [len(own) for own in found]
+
+
 def find(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_candidates, n_judged.
 
-    The counts and the digest are of the rules' spans; spans also lists candidates that overlap none of
-    them and that the network finds secret. An untrained network (no finding to learn from) adds none. Null
-    texts are empty; whole texts are read, in one pass without a shuffle. Repeated rows give repeated rows.
+    The counts and the digest are of the rules' spans, which always stay. The network is asked about every candidate, the rules' findings
+    among them: n_candidates of them, of which it finds n_judged secret; spans also lists those of these
+    that overlap no rule's span. An untrained network (no finding to learn from) adds none. Null
+    texts are empty; whole texts are read, long candidates too, in one pass without a shuffle. Repeated rows give repeated rows.
     A null id stays null. An empty table gives an empty result. Other columns of docs are not read.
     """
 
@@ -166,16 +236,11 @@ def find(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: st
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             base = [base_spans(t) for t in texts]
-            asked = [(i, s) for i, t in enumerate(texts) for s in apart(candidates(t), base[i])]
-            spans = [list(b) for b in base]
-            for at in range(0, len(asked), 2048):
-                part = asked[at : at + 2048]
-                p = network.probabilities(np.stack([encoded(texts[i], a, b) for i, (_, a, b) in part]))
-                for (i, s), q in zip(part, p.tolist(), strict=True):
-                    if q > network.threshold:
-                        spans[i].append(s)
+            more, asked = judged(network, texts)
+            spans = [listed(ordered(b + apart(m, b), KINDS)) for b, m in zip(base, more, strict=True)]
             counts = [pa.array([sum(k == kind for k, _, _ in b) for b in base], pa.int64()) for kind in KINDS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([digest(b) for b in base], pa.string()), pa.array([listed(ordered(x, KINDS)) for x in spans], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            sizes = [pa.array(asked, pa.int64()), pa.array([len(m) for m in more], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([digest(b) for b in base], pa.string()), pa.array(spans, pa.string()), *sizes], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_candidates", "n_judged"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_candidates long, n_judged long")
