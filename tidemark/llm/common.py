@@ -57,7 +57,7 @@ def release(*tables: DataFrame) -> None:
 
 
 #: The column of row numbers that keyed() adds.
-ROW = "_row_number"
+ROW = "_tidemark_row_number"
 
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
@@ -67,8 +67,8 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
 
 def without_rows(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """The rows of keyed() docs whose number isn't in the only column of gone, without the number."""
-    gone = staged(gone.toDF("_gone"), name)
-    return docs.join(gone, docs[ROW] == F.col("_gone"), "left_anti").drop(ROW)
+    gone = staged(gone.toDF("_tidemark_gone"), name)
+    return docs.join(gone, docs[ROW] == gone["_tidemark_gone"], "left_anti").drop(ROW)
 
 
 def least_keyed(rows: DataFrame, most: int, *ties: str) -> DataFrame:

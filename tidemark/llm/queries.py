@@ -106,12 +106,14 @@ SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIG
 FROM texts LEFT JOIN kept USING (r)
 """,
     "op6_decontamination": r"""
-WITH shingled AS (
-  SELECT kind, id, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) AS shingle
-  FROM (SELECT 'doc' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents WHERE text IS NOT NULL
-        UNION ALL
-        SELECT 'item', item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM benchmark WHERE text IS NOT NULL)
-  WHERE len(words) >= 5),
+WITH texts AS (
+  SELECT 'doc' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT 'item', item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM benchmark WHERE text IS NOT NULL),
+widths AS (SELECT DISTINCT least(len(words), 5) AS w FROM texts WHERE kind = 'item' AND len(words) > 0),
+shingled AS (
+  SELECT kind, id, unnest(list_transform(range(1, len(words) - w + 2), lambda i: w || ':' || array_to_string(list_slice(words, i, i + w - 1), ' '))) AS shingle
+  FROM texts, widths WHERE len(words) >= w AND (kind = 'doc' OR w = least(len(words), 5))),
 items AS (SELECT DISTINCT id AS item_id, shingle FROM shingled WHERE kind = 'item'),
 sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id),
 docs AS (SELECT DISTINCT id AS doc_id, shingle FROM shingled WHERE kind = 'doc'),
