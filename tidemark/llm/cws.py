@@ -144,7 +144,7 @@ def edited_fingerprints(docs: DataFrame, samples: int = 128, rows_per_range: int
 
     The ids are cut into ranges at quantiles (at most most_ranges numbers on the driver); a window over each range
     finds the next text, and the largest id of each range is dealt out to the range above as well, so texts
-    move once. One fingerprint goes along with each text. Null texts are empty. With one row, the next text is its own. An
+    move once. One fingerprint goes along with each text. Null texts are empty. With one row, the next text is its own. Very long texts are read whole. An
     empty table gives an empty result. Other columns of docs are not read.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -98,7 +98,7 @@ def pack(docs: DataFrame, capacity: int = 1024, piece: int = 256, batch: int = 2
     read once and never shuffled; ids aren't kept, only their checksums.
 
     Null texts are empty: the document is end_id alone. Repeated rows are documents of their own. A null id
-    stays null. An empty table gives no piece. Other columns of docs are not read.
+    stays null. Very long texts are read whole. An empty table gives no piece. Other columns of docs are not read.
     vocabulary, ranks: files of the tokenizer, by default the public byte-level BPE with 50,257 ids.
     """
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
