@@ -44,6 +44,16 @@ def anchors(words: list[bytes], window: int = WINDOW, phrase: int = PHRASE) -> t
     return best, hashes
 
 
+#: Of the windows of a text one in so many begins a stretch.
+STRETCH = 16
+
+
+def stretches(starts: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Where, among ascending window starts, stretches begin: at a gap, and at windows that their digest picks, so that equal
+    runs of windows are cut alike."""
+    return np.flatnonzero(np.concatenate(([True], (np.diff(starts) > 1) | (low[1:] % STRETCH == 0)))) if len(starts) else starts
+
+
 def automaton(phrases: set[bytes]) -> ahocorasick.Automaton:
     """An automaton of phrases between single spaces, so that only whole words match."""
     out = ahocorasick.Automaton()
@@ -91,11 +101,11 @@ def window_digests(words: list[bytes], starts: np.ndarray, window: int = WINDOW)
     return out[0], out[1]
 
 
-def removed_words(n_words: int, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Which words the windows at starts cover."""
+def removed_words(n_words: int, starts: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which words the windows cover: counts windows in a row from each start."""
     edges = np.zeros(n_words + 1, np.int64)
     np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + window, -1)
+    np.add.at(edges, starts + counts - 1 + window, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -113,8 +123,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
        automaton: a shard of the dictionary with all phrases that these documents can hold, so no document
        passes more than one shard and the shards' size is bounded by the batch's. All documents with a confirmed phrase stream
        through theirs, which finds every occurrence; nothing else tells where a phrase is. The windows
-       around the occurrences are emitted under a 128-bit digest of their words.
-    4. Digests met twice are recurring windows; their places go back to the documents.
+       around the occurrences are known by a 128-bit digest of their words, and go in stretches of about STRETCH, cut where the words say so.
+    4. Stretches met twice recur with all their windows. Of the other stretches, and of one place of each recurring one, all windows are
+       compared: digests met twice are recurring windows. Their places go back to the documents.
 
     Common phrases and large groups are counted by partial aggregation, and their joins have both sides
     shuffled, so Spark splits a skewed one. Null texts have no words; very long texts are read whole, and
@@ -143,11 +154,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     surveyed = staged(source.mapInArrow(survey, "doc_id long, same binary, n_words long, anchors array<long>, phrases array<binary>, kept string"), "repeats-survey")
 
     groups = staged(surveyed.where(F.col("n_words") >= window).groupBy("same").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")), "repeats-groups")
-    first = surveyed.join(groups, "same").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    first = surveyed.select("doc_id", "same", "anchors").join(groups, "same").where(F.col("doc_id").eqNullSafe(F.col("least")))
     # An anchor is listed once for each of its places, so two places in one text count as well.
     counted = first.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     recurring = staged(counted.where("n > 1").select("anchor"), "repeats-recurring")
-    marks = first.select("same", F.explode(F.arrays_zip("anchors", "phrases")).alias("m")).select("same", F.col("m.anchors").alias("anchor"), F.col("m.phrases").alias("phrase"))
+    # Rows of one text have one set of phrases, whichever of them give it.
+    marks = surveyed.select("same", F.explode(F.arrays_zip("anchors", "phrases")).alias("m")).select("same", F.col("m.anchors").alias("anchor"), F.col("m.phrases").alias("phrase"))
     held = marks.join(recurring, "anchor").groupBy("same").agg(F.collect_set("phrase").alias("phrases"))
     asked = staged(held.withColumn("number", F.monotonically_increasing_id()), "repeats-asked")
 
@@ -158,33 +170,42 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for a, b in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(a, b - a)
                 shard = automaton({p for own in part.column(2).to_pylist() for p in own})
-                numbers, starts, low, high = [], [], [], []
+                out = []
                 for number, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = text.split()
                     hits = covering(len(words), located(words, shard), window, phrase)
-                    d1, d2 = window_digests(words, hits, window)
-                    numbers.append(np.full(len(hits), number, np.int64))
-                    starts.append(hits.astype(np.int32))
-                    low.append(d1)
-                    high.append(d2)
-                if numbers:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (low, high, numbers, starts)], names=["low", "high", "number", "start"])
+                    low, high = window_digests(words, hits, window)
+                    begins = stretches(hits, low).tolist()
+                    for x, y in zip(begins, [*begins[1:], len(hits)], strict=True):
+                        out.append((xxhash.xxh3_128_digest(low[x:y].tobytes() + high[x:y].tobytes()), number, int(hits[x]), y - x, low[x:y], high[x:y]))
+                if out:
+                    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["stretch", "number", "start", "n", "low", "high"])
 
     texts = source.join(asked, "same").join(groups.select(F.col("same").alias("_s"), "least"), F.col("same") == F.col("_s")).where(F.col("doc_id").eqNullSafe(F.col("least")))
-    windows = staged(texts.select("number", "text", "phrases").mapInArrow(locate, "low long, high long, number long, start int"), "repeats-windows")
-    twice = staged(windows.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low", "high"), "repeats-twice")
-    hits = windows.join(twice, ["low", "high"]).groupBy("number").agg(F.collect_set("start").alias("starts"))
+    runs = staged(texts.select("number", "text", "phrases").mapInArrow(locate, "stretch binary, number long, start int, n int, low array<long>, high array<long>"), "repeats-stretches")
+    # A stretch met twice recurs with all its windows; one of its places stands for it in what follows.
+    equal = runs.groupBy("stretch").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("number", "start")).alias("stands")).where("places > 1").drop("places")
+    met = runs.join(staged(equal, "repeats-equal"), "stretch", "left")
+    apart = F.col("stands").isNull() | (F.struct("number", "start") == F.col("stands"))
+    met = staged(met.select("number", "start", "n", F.col("stands").isNotNull().alias("whole"), F.when(apart, F.arrays_zip("low", "high")).alias("digests")), "repeats-met")
+    windows = met.where("digests is not null").select("number", "start", "whole", F.posexplode("digests").alias("i", "d"))
+    windows = windows.select(F.col("d.low").alias("low"), F.col("d.high").alias("high"), "number", (F.col("start") + F.col("i")).alias("start"), "whole")
+    twice = staged(windows.groupBy("low", "high").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("low", "high"), "repeats-twice")
+    single = windows.where("not whole").join(twice, ["low", "high"]).select("number", "start", F.lit(1).alias("n"))
+    hits = met.where("whole").select("number", "start", "n").union(single).groupBy("number").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
     groups = groups.select("same", "copies", "least")
     hits = hits.join(asked.select("number", "same"), "number").join(groups, "same").where("copies = 1").select("same", "starts")
-    hits, gone = staged(hits, "repeats-hits"), (recurring, windows, twice)
-    release(*gone)
+    hits = staged(hits, "repeats-hits")
+    release(recurring, runs, met, twice)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone, kept = [], []
             for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = text.split()
-                out = removed_words(len(words), np.array(starts, np.int64), window)
+                at = np.array([(r["start"], r["n"]) for r in starts], np.int64)
+                out = removed_words(len(words), at[:, 0], at[:, 1], window)
                 gone.append(int(out.sum()))
                 kept.append(hashlib.sha256(b" ".join([words[i] for i in np.flatnonzero(~out).tolist()])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.int64()), pa.array(kept)], names=["same", "gone", "left"])
