@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import least_keyed, sample_key
+from tidemark.llm.common import least_keyed, sample_key, staged
 from tidemark.llm.spans import Span, apart, digest, listed, ordered
 
 KINDS = ["assign", "access", "hex"]
@@ -188,14 +188,15 @@ def labelled(text: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 def train(docs: DataFrame, most_texts: int = 400, most_bytes: int = 8 << 20, longest: int = 1 << 17, most_examples: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """A network from the labelled findings (labelled()) of at most most_texts texts that can hold one and as many others with a digit: those of
+    """A network from the labelled findings (labelled()) of at most most_texts texts with a digit that can hold one and as many others: those of
     least MD5 of id and text, none over `longest` bytes, most_bytes of each in all, most_examples of secrets and of others."""
-    short = docs.where(F.octet_length(text_col) <= longest).select(sample_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    likely = F.col("text").rlike(LIKELY)
+    texts = docs.where(F.octet_length(text_col) <= longest).select(sample_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    keys = staged(texts.where(F.col("text").rlike("[0-9]")).select("k", F.col("text").rlike(LIKELY).alias("likely")), "secrets-keys")  # texts are searched once
     secret, plain = [], []
-    for rows in (short.where(likely), short.where(F.col("text").rlike("[0-9]") & ~likely)):
+    for rows in (keys.where("likely"), keys.where("not likely")):
+        chosen = F.broadcast(least_keyed(rows.select("k"), most_texts).distinct())  # at most most_texts keys
         size = 0
-        for row in least_keyed(rows, most_texts, "text").toLocalIterator():
+        for row in texts.join(chosen, "k").dropDuplicates(["k"]).orderBy("k").toLocalIterator():
             own = len(row.text.encode())
             if size + own <= most_bytes:
                 size += own
