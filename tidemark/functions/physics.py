@@ -17,14 +17,29 @@ def relative_humidity(vapour: Column, celsius: Column) -> Column:
     return F.least(100 * vapour / saturation_vapour_pressure(celsius), F.lit(100.0))
 
 
+def vapour_pressure(celsius: Column, humidity: Column) -> Column:
+    return humidity / 100 * saturation_vapour_pressure(celsius)
+
+
+def foreign_fraction(gases: dict[str, Column], clean: dict[str, float], explosive: dict[str, float]) -> Column:
+    """The share of air that gases take over clean air: parts per million, and for those of `explosive` (lower limits in
+    percent of volume) percent of that limit."""
+    over = {g: F.greatest(x - clean.get(g, 0.0), F.lit(0.0)) for g, x in gases.items()}
+    return sum((x / 100 * explosive[g] / 100 if g in explosive else x * 1e-6 for g, x in over.items()), F.lit(0.0))
+
+
+def oxygen(clean_percent: float, fraction: Column) -> Column:
+    return clean_percent * (1 - fraction)
+
+
 def pressure_at(sea_level: Column, metres: Column) -> Column:
     """International standard atmosphere."""
     return sea_level * F.pow(1 - 2.25577e-5 * metres, F.lit(5.25588))
 
 
 def quantised(x: Column, resolution: float, low: float | None = None, high: float | None = None) -> Column:
-    """Nearest multiple of the resolution, halves to even, then clipped to the range."""
-    y = F.rint(x / resolution) * resolution
+    """Nearest multiple of the resolution, halves to even, to ten digits and without a negative zero, then clipped to the range."""
+    y = F.round(F.rint(x / resolution) * resolution, 10) + 0.0
     if low is not None:
         y = F.greatest(y, F.lit(float(low)))
     return F.least(y, F.lit(float(high))) if high is not None else y

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """queries with the last value of samples at or before each time (null before the first).
+def as_of(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str, clip: bool = False) -> DataFrame:
+    """queries with the last value of samples at or before each time; before the first sample that one's (`clip`), or null.
 
     Both are put in one ordered series by key, so there is one shuffle and no join that grows with
     the product. Of samples at one time the one that sorts last counts.
@@ -15,7 +15,10 @@ def as_of(queries: DataFrame, samples: DataFrame, key: str, time: str, value: st
     both = queries.withColumn("_value", F.lit(None).cast(samples.schema[value].dataType)).withColumn("_query", F.lit(1)).unionByName(
         samples.select(key, time, F.col(value).alias("_value"), F.lit(0).alias("_query")), allowMissingColumns=True)
     over = Window.partitionBy(key).orderBy(time, "_query", "_value").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_value", ignorenulls=True).over(over)).where("_query = 1").drop("_value", "_query")
+    held = F.last("_value", ignorenulls=True).over(over)
+    if clip:
+        held = F.coalesce(held, F.first("_value", ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing)))
+    return both.withColumn(value, held).where("_query = 1").drop("_value", "_query")
 
 
 def interpolated(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str) -> DataFrame:
@@ -32,6 +35,24 @@ def interpolated(queries: DataFrame, samples: DataFrame, key: str, time: str, va
     return out.withColumn(value, F.coalesce(line, a["v"], b["v"])).drop("_a", "_b", "_at", "_query")
 
 
+def nearest(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """queries with the value of the sample nearest in time, the earlier of two equally near. time is a number."""
+    known = samples.select(key, time, F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("_at"))
+    both = queries.withColumn("_query", F.lit(1)).unionByName(known.withColumn("_query", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy(time, "_query")
+    a, b = F.col("_a"), F.col("_b")
+    out = both.withColumn("_a", F.last("_at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first("_at", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("_query = 1")
+    near = F.when(a.isNull() | (b["t"] - F.col(time) < F.col(time) - a["t"]), b["v"]).otherwise(a["v"])
+    return out.withColumn(value, near).drop("_a", "_b", "_at", "_query")
+
+
+def outside(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, end: str, span: int) -> DataFrame:
+    """Points in no interval [start, end) of their key."""
+    cut = intervals.where(F.col(end) > F.col(start)).select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / span), F.floor((F.col("_e") - 1) / span))))
+    meets = (F.col(key) == F.col("_k")) & (F.floor(F.col(time) / span) == F.col("_b")) & (F.col(time) >= F.col("_s")) & (F.col(time) < F.col("_e"))
+    return points.join(cut, meets, "left_anti")
+
+
 def within(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, end: str, span: int) -> DataFrame:
     """Pairs of points and intervals [start, end) of one key. time, start and end are whole numbers.
 

@@ -1,38 +1,115 @@
-"""Distribution statistics as grouped aggregation."""
+"""Distribution statistics as grouped aggregation.
+
+Exact ranks need no group in one task: values are counted first, the counts are cut into buckets at approximate
+quantiles of each key, and running counts go over each bucket by itself, on top of what the buckets below it hold.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 64
+
+
+def running_counts(df: DataFrame, key: str, value: str, counts: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
+    """One row for each key and distinct value: the counts, "<name>_upto" (of this and all lesser values), "<name>_all", and next_value."""
+    df = df.where(F.col(value).isNotNull())
+    counted = df.groupBy(key, value).agg(*(c.alias(n) for n, c in counts.items()))
+    cuts = counted.groupBy(key).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    cut = counted.join(cuts, key).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    order = Window.partitionBy(key).orderBy("_bucket")
+    below = cut.groupBy(key, "_bucket").agg(*(F.sum(n).alias(f"_{n}") for n in counts), F.min(value).alias("_least"))
+    below = below.select(key, "_bucket", F.lead("_least").over(order).alias("_after"), *(c for n in counts for c in (F.sum(f"_{n}").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_{n}_below"), F.sum(f"_{n}").over(Window.partitionBy(key)).alias(f"{n}_all"))))
+    own = Window.partitionBy(key, "_bucket").orderBy(value)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(below, [key, "_bucket"])
+    return out.select(key, value, *counts, *(c for n in counts for c in ((F.coalesce(f"_{n}_below", F.lit(0)) + F.sum(n).over(upto)).alias(f"{n}_upto"), F.col(f"{n}_all"))), F.coalesce(F.lead(value).over(own), "_after").alias("next_value"))
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each key, by linear interpolation: one column for each name in shares."""
+    ranked = running_counts(df, key, value, {"n": F.count(F.lit(1))})
+    at = {name: F.lit(p) * (F.col("n_all") - 1) for name, p in shares.items()}
+    found = ranked.groupBy(key).agg(*(c for name, p in at.items() for c in (F.min(F.when(F.col("n_upto") > F.floor(p), F.col(value))).alias(f"_{name}_a"), F.min(F.when(F.col("n_upto") > F.ceil(p), F.col(value))).alias(f"_{name}_b"), F.first(p - F.floor(p)).alias(f"_{name}_s"))))
+    return found.select(key, *((F.col(f"_{n}_a") + (F.col(f"_{n}_b") - F.col(f"_{n}_a")) * F.col(f"_{n}_s")).alias(n) for n in shares))
+
 
 def mad(df: DataFrame, key: str, value: str) -> DataFrame:
     """1.4826 times the median distance from the median."""
-    middle = df.groupBy(key).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    return df.join(middle, key).groupBy(key).agg((1.4826 * F.percentile(F.abs(F.col(value) - F.col("_m")), F.lit(0.5))).alias("mad"))
+    middle = quantiles(df, key, value, {"_m": 0.5})
+    away = df.join(middle, key).select(key, F.abs(F.col(value) - F.col("_m")).alias("_away"))
+    return quantiles(away, key, "_away", {"mad": 0.5}).withColumn("mad", 1.4826 * F.col("mad"))
 
 
 def distances(df: DataFrame, key: str, value: str, side: str) -> DataFrame:
-    """Kolmogorov-Smirnov and Wasserstein distances of the two sides (0 and 1) of each key.
-
-    Values are counted first, so running sums go over distinct values.
-    """
-    counts = df.groupBy(key, value).agg(*(F.count(F.when(F.col(side) == s, 1)).alias(f"n{s}") for s in (0, 1)))
-    order = Window.partitionBy(key).orderBy(value)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(key)
-    cdf = [F.sum(f"n{s}").over(upto) / F.sum(f"n{s}").over(whole) for s in (0, 1)]
-    gaps = counts.select(key, F.abs(cdf[0] - cdf[1]).alias("gap"), (F.lead(value).over(order) - F.col(value)).alias("width"))
-    return gaps.groupBy(key).agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.col("width")).alias("wasserstein"))
+    """Kolmogorov-Smirnov and Wasserstein distances of the two sides (0 and 1) of each key."""
+    ranked = running_counts(df, key, value, {f"n{s}": F.count(F.when(F.col(side) == s, 1)) for s in (0, 1)})
+    gap = F.abs(F.col("n0_upto") / F.col("n0_all") - F.col("n1_upto") / F.col("n1_all"))
+    return ranked.groupBy(key).agg(F.max(gap).alias("ks"), F.sum(gap * (F.col("next_value") - F.col(value))).alias("wasserstein"))
 
 
 def autocorrelation(df: DataFrame, key: str, value: str, order: list[str], lags: int) -> DataFrame:
-    """Sum of x_i x_(i+k) by n times the variance, x about its mean, for lags 0 to `lags`."""
+    """Sum of x_i x_(i+k) by n times the variance, x about its mean, for lags 0 to `lags` (below n); 0 for a constant series. One shuffle by
+    key: all lags are offsets in one window."""
     whole = Window.partitionBy(key)
-    own = df.select(key, F.row_number().over(whole.orderBy(*order)).alias("i"), (F.col(value) - F.avg(value).over(whole)).alias("x"), F.var_pop(value).over(whole).alias("var"), F.count(value).over(whole).alias("n"))
-    a = own.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).withColumn("j", F.col("i") + F.col("lag"))
-    b = own.select(F.col(key), F.col("i").alias("j"), F.col("x").alias("y"))
-    return a.join(b, [key, "j"]).groupBy(key, "lag").agg((F.sum(F.col("x") * F.col("y")) / (F.first("var") * F.first("n"))).alias("acf"))
+    x = F.col(value) - F.avg(value).over(whole)
+    own = df.select(key, *order, x.alias("x"), F.var_pop(value).over(whole).alias("var"), F.count(value).over(whole).alias("n"))
+    over = whole.orderBy(*order)
+    shifted = own.select(key, "var", "n", *((F.col("x") * F.lag("x", k).over(over)).alias(f"p{k}") for k in range(lags + 1)))
+    sums = shifted.groupBy(key).agg(F.first("var").alias("var"), F.first("n").alias("n"), *(F.sum(f"p{k}").alias(f"p{k}") for k in range(lags + 1)))
+    acf = F.array(*(F.struct(F.lit(k).alias("lag"), F.when(F.col("var") < 1e-12, 0.0).otherwise(F.col(f"p{k}") / (F.col("var") * F.col("n"))).alias("acf")) for k in range(lags + 1)))
+    return sums.select(key, "n", F.inline(acf)).where("lag < n").drop("n")
+
+
+def similarity(df: DataFrame, key: str, value: str, side: str, order: list[str], lags: int = 10) -> DataFrame:
+    """One row for each key that compares two series (sides 0 and 1, ordered by `order`): distances of values (by side 0's range) and of
+    increments, Kolmogorov-Smirnov on values of four digits with its critical value for the lesser length, and autocorrelations. A
+    key whose side 0 is constant has no row."""
+    by_side = Window.partitionBy(key, side).orderBy(*order)
+    steps = df.withColumn("_step", F.col(value) - F.lag(value).over(by_side))
+    spans = steps.groupBy(key).agg(*(c for name, x in (("_range", F.col(value)), ("_srange", F.col("_step"))) for c in [(F.max(F.when(F.col(side) == 0, x)) - F.min(F.when(F.col(side) == 0, x))).alias(name)]), *(F.count(F.when(F.col(side) == s, 1)).alias(f"_n{s}") for s in (0, 1)))
+    values, rounded = distances(df, key, value, side), distances(df.withColumn(value, F.round(value, 4)), key, value, side)
+    increments = distances(steps.where("_step is not null"), key, "_step", side)
+    tagged = df.withColumn("_series", F.struct(key, side))
+    acf = autocorrelation(tagged, "_series", value, order, lags).select(F.col(f"_series.{key}").alias(key), F.col(f"_series.{side}").alias("_side"), "lag", "acf")
+    apart = F.max(F.when(F.col("_side") == 0, F.col("acf"))) - F.max(F.when(F.col("_side") == 1, F.col("acf")))
+    curves = acf.groupBy(key, "lag").agg(apart.alias("_d")).groupBy(key).agg(F.avg(F.abs("_d")).alias("acf_diff"), F.avg(F.col("_d") * F.col("_d")).alias("acf_mse"))
+    out = spans.where("_range >= 1e-12").join(values.withColumnRenamed("wasserstein", "_w").drop("ks"), key).join(rounded.drop("wasserstein"), key).join(increments.withColumnRenamed("wasserstein", "_wi").drop("ks"), key).join(curves, key)
+    return out.select(key, (F.col("_w") / F.col("_range")).alias("w_value"), "ks", (1.36 * F.sqrt(2.0 / F.least("_n0", "_n1"))).alias("ks_critical"), (F.col("_wi") / F.when(F.col("_srange") > 1e-12, F.col("_srange")).otherwise(1.0)).alias("w_step"), "acf_diff", "acf_mse")
+
+
+def verdict(value: Column, good: float, ok: float) -> Column:
+    return F.when(value < good, "GOOD").when(value < ok, "OK").otherwise("POOR")
+
+
+def correlation(x: str, y: str, least: int = 10) -> Column:
+    """Pearson's r over pairs of finite numbers; null for fewer than `least` pairs and for a constant side."""
+    pair = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    a, b = F.when(pair, F.col(x)), F.when(pair, F.col(y))
+    return F.when((F.count(a) >= least) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
+
+
+def mode_bin(df: DataFrame, key: str, value: str, bins: int = 30) -> DataFrame:
+    """The fullest of `bins` equal bins of each key's range (the lowest of equals) and its middle."""
+    ends = df.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    at = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
+    counted = df.join(ends, key).groupBy(key, "_lo", "_hi", at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy(key, "_lo", "_hi").agg(F.max(F.struct("n", (-F.col("bin")).alias("_b"))).alias("_m"))
+    return best.select(key, (-F.col("_m._b")).alias("bin"), F.col("_m.n").alias("n"), (F.col("_lo") + (0.5 - F.col("_m._b")) * width).alias("middle"))
+
+
+def otsu(df: DataFrame, key: str, value: str, shares: list[int] | None = None) -> DataFrame:
+    """The threshold, among percentiles 10, 12, to 88, that parts the values of each key with the least variance within both parts."""
+    shares = shares or list(range(10, 90, 2))
+    cuts = quantiles(df, key, value, {f"q{p}": p / 100 for p in shares})
+    tried = df.join(cuts, key)
+    x = F.col(value)
+    side = lambda p, low: F.when((x < F.col(f"q{p}")) if low else (x >= F.col(f"q{p}")), x)
+    parts = tried.groupBy(key).agg(*(F.struct((F.count(side(p, True)) * F.var_pop(side(p, True)) + F.count(side(p, False)) * F.var_pop(side(p, False))).alias("within"), F.first(f"q{p}").alias("t")).alias(f"s{p}") for p in shares))
+    least = F.array_min(F.filter(F.array(*(F.struct(F.col(f"s{p}.within"), F.lit(p).alias("p"), F.col(f"s{p}.t")) for p in shares)), lambda s: s["within"].isNotNull()))
+    return parts.select(key, least["p"].alias("percentile"), least["t"].alias("threshold"))
 
 
 def transitions(df: DataFrame, key: str, state: str, order: list[str]) -> DataFrame:

@@ -34,10 +34,83 @@ def run_id(changed: Column, over: WindowSpec) -> Column:
     return F.sum(F.when(changed, 1).otherwise(0)).over(over.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def latch(trigger: Column, clear: Column, over: WindowSpec) -> Column:
-    """1 from a trigger to a clear, and so on; 0 before."""
+def latch(trigger: Column, clear: Column, over: WindowSpec, latching: bool = False, on: object = 1, off: object = 0) -> Column:
+    """`on` from a trigger to a clear (a latching one never clears), and so on; `off` before."""
+    so_far = over.rowsBetween(Window.unboundedPreceding, 0)
+    if latching:
+        return F.when(F.coalesce(F.max(trigger.cast("int")).over(so_far), F.lit(0)) == 1, on).otherwise(off)
     marks = F.when(trigger, 1).when(clear, 0)
-    return F.coalesce(F.last(marks, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return F.when(F.last(marks, ignorenulls=True).over(so_far) == 1, on).otherwise(off)
+
+
+def threshold_alarm(x: Column, level: float, over: WindowSpec, above: bool = True, hysteresis: float = 0.0, latching: bool = False, on: object = 1, off: object = 0) -> Column:
+    """On at or beyond the level, off again strictly beyond the hysteresis on the other side."""
+    trigger, clear = (x >= level, x < level - hysteresis) if above else (x <= level, x > level + hysteresis)
+    return latch(trigger, clear, over, latching, on, off)
+
+
+def unwrapped_sign(flip: Column, over: WindowSpec) -> Column:
+    """1 or -1: the sign by which a series of quaternions becomes continuous, from rotation.flips()."""
+    return F.when(F.sum(flip).over(over.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1, -1.0).otherwise(1.0)
+
+
+def since(moving: Column, seconds: Column, over: WindowSpec, dt: float) -> Column:
+    """Seconds of stillness: 0 while moving, dt at the first still row; before any movement counted from the first row."""
+    so_far = over.rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(moving, seconds), ignorenulls=True).over(so_far)
+    return F.coalesce(seconds - last, seconds - F.first(seconds).over(so_far) + dt)
+
+
+def moving(axes: list[Column], over: WindowSpec, width: int, threshold: float) -> Column:
+    """Whether the largest standard deviation of the axes over the last `width` rows is over the threshold."""
+    frame = over.rowsBetween(1 - width, 0)
+    sd = [F.stddev_pop(a).over(frame) for a in axes]
+    return (F.greatest(*sd) if len(sd) > 1 else sd[0]) > threshold
+
+
+def stillness(still: Column, detect: float, pre_alarm: float) -> Column:
+    return F.when(still >= detect + pre_alarm, "alert").when(still >= detect, "pre_alarm").otherwise("ok")
+
+
+def gap_bounds(log: DataFrame, key: str, tick: str, value: str, width: int, low: float, high: float) -> DataFrame:
+    """log (one row for each key and tick there is) with the bounds `mean_low`, `mean_high` of the mean over the last `width` ticks and the number
+    `missing` of ticks in it without a row: what is missing lies between low and high, what is before the first row is 0."""
+    over = Window.partitionBy(key).orderBy(tick)
+    frame = over.rangeBetween(1 - width, 0)
+    known, have = F.sum(value).over(frame), F.count(value).over(frame)
+    missing = F.least(F.col(tick) - F.min(tick).over(Window.partitionBy(key)) + 1, F.lit(width)) - have
+    return log.select("*", missing.alias("missing"), ((known + low * missing) / width).alias("mean_low"), ((known + high * missing) / width).alias("mean_high"))
+
+
+def dose_segments(log: DataFrame, key: str, tick: str, value: str) -> DataFrame:
+    """log with the number `segment` of the gapless run of ticks, `gap` (ticks missing before the row), and `inside`, the sum from its run's first row on."""
+    over = Window.partitionBy(key).orderBy(tick)
+    gap = F.coalesce(F.col(tick) - F.lag(tick).over(over) - 1, F.lit(0))
+    own = log.withColumn("gap", gap)
+    own = own.withColumn("segment", F.sum((F.col("gap") > 0).cast("int")).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    return own.withColumn("inside", F.sum(value).over(Window.partitionBy(key, "segment").orderBy(tick).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def rolling_deviation(x: Column, over: WindowSpec, width: int) -> Column:
+    """Sample deviation over the last `width` rows; null where it has fewer than max(2, width // 2)."""
+    frame = over.rowsBetween(1 - width, 0)
+    return F.when(F.count(x).over(frame) >= max(2, width // 2), F.stddev_samp(x).over(frame))
+
+
+def held(df: DataFrame, column: str, key: str, order: list[str], every: int, floor: float) -> DataFrame:
+    """column filled backwards, at least `floor`, and held for `every` rows each."""
+    over = series(key, *order)
+    filled = df.withColumn(column, F.greatest(F.first(column, ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing)), F.lit(floor))).withColumn("_i", F.floor((F.row_number().over(over) - 1) / every))
+    return filled.withColumn(column, F.first(column).over(Window.partitionBy(key, "_i").orderBy(*order))).drop("_i")
+
+
+def episodes(df: DataFrame, key: str, start: str, end: str, apart: float) -> DataFrame:
+    """Intervals of a key less than `apart` from the end of all before them, merged: key, episode, start, end, n."""
+    over = Window.partitionBy(key).orderBy(start, end)
+    reach = F.max(end).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach.isNull() | (F.col(start) - reach >= apart), 1).otherwise(0)
+    own = df.withColumn("_new", new).withColumn("episode", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    return own.groupBy(key, "episode").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n"))
 
 
 def runs(df: DataFrame, key: str, state: str, order: list[str]) -> DataFrame:
