@@ -171,8 +171,10 @@ round(stddev_samp(value), 5) AS sd_samp, round(quantile_cont(value, 0.05), 6) AS
 FROM events GROUP BY event_type""")
 def column_summary(e: DataFrame) -> DataFrame:
     v = F.col("value")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), six(F.avg(v)).alias("mean"), six(F.percentile(v, F.lit(0.5))).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.stddev_pop(v), 5).alias("sd_pop"),
-        F.round(F.stddev_samp(v), 5).alias("sd_samp"), six(F.percentile(v, F.lit(0.05))).alias("p5"), six(F.percentile(v, F.lit(0.95))).alias("p95"), F.round(F.kurtosis(v), 4).alias("kurtosis"), F.countDistinct(v).alias("levels"))
+    plain = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), six(F.avg(v)).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.stddev_pop(v), 5).alias("sd_pop"), F.round(F.stddev_samp(v), 5).alias("sd_samp"), F.round(F.kurtosis(v), 4).alias("kurtosis"))
+    levels = e.groupBy("event_type", "value").agg(F.lit(1).alias("one")).groupBy("event_type").agg(F.count("value").alias("levels"))
+    ranks = statistics.quantiles(e, "event_type", "value", {"median": 0.5, "p5": 0.05, "p95": 0.95})
+    return plain.join(levels, "event_type").join(ranks.select("event_type", *(six(F.col(c)).alias(c) for c in ("median", "p5", "p95"))), "event_type")
 
 
 @query("""WITH m AS (SELECT event_type, median(value) AS m FROM events GROUP BY 1)
