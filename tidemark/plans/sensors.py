@@ -5,12 +5,12 @@ A device's day log (one row a day, its largest reading) serves where the operato
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import physics, rotation, text
-from tidemark.operators import gates, lookups, statistics, windows
-from tidemark.plans.catalog import ORDER, OVER, log, query, scalar, six
+from tidemark.operators import gates, lookups, motion, statistics, windows
+from tidemark.plans.catalog import ORDER, OVER, QUERIES, log, query, scalar, six
 
 US = "epoch_us(ts)"
 DAY_SQL = f"d AS (SELECT user_id, ({US} // 86400000000)::BIGINT AS tick, max(value) AS v FROM events GROUP BY ALL)"
@@ -285,7 +285,7 @@ def sensor_pairs(e: DataFrame) -> DataFrame:
 
 # --- statistics
 
-@query("""WITH s AS (SELECT *, user_id % 2 AS side, value - lag(value) OVER (PARTITION BY event_type, user_id % 2 ORDER BY ts, event_id) AS step FROM events),
+SIMILARITY_SQL = """WITH s AS (SELECT *, {side} AS side, value - lag(value) OVER (PARTITION BY event_type, {side} ORDER BY ts, event_id) AS step FROM events),
 sp AS (SELECT event_type, max(value) FILTER (side = 0) - min(value) FILTER (side = 0) AS r, max(step) FILTER (side = 0) - min(step) FILTER (side = 0) AS sr, least(count(*) FILTER (side = 0), count(*) FILTER (side = 1)) AS n FROM s GROUP BY 1),
 long AS (SELECT event_type, side, 'v' AS kind, value AS x FROM s UNION ALL SELECT event_type, side, 'k', round(value, 4) FROM s UNION ALL SELECT event_type, side, 's', step FROM s WHERE step IS NOT NULL),
 c AS (SELECT event_type, kind, x, count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1 FROM long GROUP BY ALL),
@@ -295,12 +295,53 @@ o AS (SELECT event_type, side, row_number() OVER (PARTITION BY event_type, side
 a AS (SELECT l.event_type, l.side, r.i - l.i AS lag, sum(l.x * r.x) / (any_value(l.v) * any_value(l.n)) AS acf FROM o l JOIN o r ON l.event_type = r.event_type AND l.side = r.side AND r.i - l.i BETWEEN 0 AND 10 GROUP BY ALL),
 ad AS (SELECT event_type, avg(abs(e)) AS acf_diff, avg(e * e) AS acf_mse FROM (SELECT event_type, lag, max(acf) FILTER (side = 0) - max(acf) FILTER (side = 1) AS e FROM a GROUP BY ALL) GROUP BY 1)
 SELECT event_type, round(wv / r, 5) AS w_value, round(ks, 6) AS ks, round(1.36 * sqrt(2.0 / n), 6) AS ks_critical, round(ws / sr, 5) AS w_step, round(acf_diff, 5) AS acf_diff, round(acf_mse, 6) AS acf_mse, CASE WHEN ks < 0.02 THEN 'GOOD' WHEN ks < 0.1 THEN 'OK' ELSE 'POOR' END AS verdict
-FROM sp JOIN d USING (event_type) JOIN ad USING (event_type)""")
+FROM sp JOIN d USING (event_type) JOIN ad USING (event_type)"""
+
+
+@query(SIMILARITY_SQL.replace("{side}", "user_id % 2"))
 def agg_similarity_row(e: DataFrame) -> DataFrame:
-    s = statistics.similarity(e.withColumn("side", F.col("user_id") % 2), "event_type", "value", "side", ORDER)
+    return similar(e, F.col("user_id") % 2)
+
+
+def similar(e: DataFrame, side: Column) -> DataFrame:
+    s = statistics.similarity(e.withColumn("side", side), "event_type", "value", "side", ORDER)
     return s.select("event_type", F.round("w_value", 5).alias("w_value"), six(F.col("ks")).alias("ks"), six(F.col("ks_critical")).alias("ks_critical"), F.round("w_step", 5).alias("w_step"), F.round("acf_diff", 5).alias("acf_diff"), six(F.col("acf_mse")).alias("acf_mse"), statistics.verdict(F.col("ks"), 0.02, 0.1).alias("verdict"))
 
 
+@query(SIMILARITY_SQL.replace("{side}", "(epoch_us(ts) // 600000000) % 2"))
+def floor_by_blocks(e: DataFrame) -> DataFrame:
+    """What similarity real data has to itself: odd against even blocks of ten minutes."""
+    return similar(e, F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600000000) % 2)
+
+
+@query(SIMILARITY_SQL.replace("{side}", "(('0x' || substr(md5('3/split/' || event_id), 1, 8))::BIGINT % 2)"))
+def floor_by_chance(e: DataFrame) -> DataFrame:
+    """The same for a seeded random half of the rows against the others."""
+    return similar(e, F.conv(F.substring(F.md5(F.concat(F.lit("3/split/"), F.col("event_id").cast("string"))), 1, 8), 16, 10).cast("long") % 2)
+
+
+@query("""WITH b AS (SELECT epoch_us(ts) // 86400000000 AS day, sum(value) AS s, count(*) AS n FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS k FROM b),
+d AS (SELECT rep, (('0x' || substr(md5('5/boot/' || rep || '/' || i), 1, 8))::BIGINT) % k AS j FROM o, (SELECT unnest(range(1, 201)) AS rep)),
+m AS (SELECT rep, sum(s) / sum(n) AS m FROM d JOIN o ON d.j = o.i GROUP BY rep)
+SELECT count(*) AS reps, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd FROM m""")
+def agg_block_bootstrap(e: DataFrame) -> DataFrame:
+    """Mean and its deviation over 200 draws of as many days, with replacement. What is drawn are the days' sums."""
+    b = e.groupBy(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000).alias("day")).agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
+    o = b.select("s", "n", (F.row_number().over(Window.orderBy("day")) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("k"))  # one row a day
+    draw = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit("5/boot"), F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("k")
+    d = o.select("i", "k", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("rep")).select("rep", draw.alias("j"))
+    m = d.join(o, F.col("j") == F.col("i")).groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("m"))
+    return m.agg(F.count(F.lit(1)).alias("reps"), six(F.avg("m")).alias("mean"), six(F.stddev_samp("m")).alias("sd"))
+
+
+@query(f"""WITH {Q_SQL}, g AS (SELECT user_id, 2 * (qx * qz - qw * qy) AS x, 2 * (qy * qz + qw * qx) AS y, 1 - 2 * (qx * qx + qy * qy) AS z FROM q),
+m AS (SELECT user_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM g GROUP BY 1), u AS (SELECT user_id, mx / s AS mx, my / s AS my, mz / s AS mz FROM (SELECT *, sqrt(mx * mx + my * my + mz * mz) AS s FROM m))
+SELECT user_id, round(mx, 5) AS x, round(mz, 5) AS z, round(sqrt(avg(pow(degrees(acos(greatest(-1, least(1, x * mx + y * my + z * mz)))), 2))), 3) AS spread FROM g JOIN u USING (user_id) GROUP BY user_id, mx, my, mz""")
+def direction_spread(e: DataFrame) -> DataFrame:
+    g = oriented(e).select("user_id", rotation.gravity(F.col("q")).alias("g"))
+    return motion.mean_direction(g, "user_id", "g").select("user_id", F.round("x", 5).alias("x"), F.round("z", 5).alias("z"), F.round("spread", 3).alias("spread"))
+
+
 @query(f"""WITH p AS (SELECT event_type, value AS y, lag(value) OVER {OVER} AS x, (event_type = lag(event_type) OVER {OVER})::INTEGER AS same, user_id FROM events)
 SELECT user_id, CASE WHEN count(x) >= 10 THEN round(corr(x, y), 5) END AS r, round(avg(same), 6) AS sticky FROM p GROUP BY user_id""")
 def agg_sticky(e: DataFrame) -> DataFrame:
@@ -375,3 +416,23 @@ def set_parts(e: DataFrame) -> DataFrame:
 def output_log(e: DataFrame) -> DataFrame:
     """Columns in order, under outside names, with fixed decimals."""
     return e.select(F.col("event_id").alias("id"), text.iso_utc(F.col("ts")).alias("time_utc"), F.bround("value", 1).alias("reading"), F.bround("value", 0).cast("int").alias("whole"), F.concat(F.upper("event_type"), F.lit(" "), F.col("user_id").cast("string")).alias("label"))
+
+
+def orientation_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orientations of devices whose accelerometer sees gravity tilted by the reading and whose gyroscope reads it too. No SQL: each row's state feeds the next."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    a = F.radians("value")
+    own = e.select("user_id", "event_id", F.sin(a).alias("ax"), F.lit(0.0).alias("ay"), F.cos(a).alias("az"), F.lit(0.0).alias("gx"), F.col("value").alias("gy"), F.lit(0.0).alias("gz"))
+    q = motion.orientations(own, "user_id", "event_id", ["ax", "ay", "az"], ["gx", "gy", "gz"])
+    return q.select("user_id", "event_id", *(six(F.col(c)).alias(c) for c in "wxyz"))
+
+
+def fall_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Falls of devices: a reading of 80 is a spike, the change of the reading their tilt. No SQL: a fall ends before the next is looked for."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    tilt = F.abs(F.col("value") - F.lag("value").over(windows.series("user_id", "event_id")))
+    own = e.withColumn("tilt", F.coalesce(tilt, F.lit(0.0)))
+    return motion.falls(own, "user_id", "event_id", F.col("value") >= 80, F.col("tilt"), 4, 2, 40.0)
+
+
+QUERIES |= {"orientation_fusion": orientation_fusion, "fall_alarms": fall_alarms}
