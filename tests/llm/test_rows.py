@@ -51,3 +51,30 @@ def test_language_and_decontamination_of_rows_without_id_and_of_one_id(spark):
     left = language.keep_identified(docs, language.train(docs))
     assert left.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((r[0], r[1]) for r in rows if any(c.isalpha() for c in r[1] or ""))
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 1 << 40, int(rng.integers(0, 900)), np.uint64) << np.uint64(20)) for _ in range(2))
+        b = np.union1d(b, a[: int(rng.integers(0, len(a) + 1))])
+        bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(near_copies.parity(a), near_copies.parity(b), strict=True))
+        assert bits <= len(np.setxor1d(a, b))
+
+
+def test_near_dedup_without_drawn_links(spark, monkeypatch):
+    """Edits of one text, below and above the threshold to each other: the exact comparison alone finds the groups, as do links to drawn nodes before it."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 150)]
+    texts = {}
+    for i in range(150):
+        words = list(base)
+        for at in rng.integers(0, 150, int(rng.integers(1, 8))):
+            words[at] = f"v{rng.integers(0, 10**9)}"
+        texts[i] = " ".join(words)
+    want = set(groups({i: shingles(t) for i, t in texts.items()}).values())
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for rounds in (0, 2):
+        monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+        assert {r.doc_id for r in near_copies.keep_representatives(docs).collect()} == want
+    assert len(want) < 150
