@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidemark.operators import motion
+from tidemark.operators import motion, statistics
 from tidemark.plans import catalog, sensors  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +67,19 @@ def test_queries_against_rows_taken_one_device_at_a_time(spark):
         assert [fused[u, i].w for i, _ in own] == pytest.approx(q[:, 0].round(6).tolist(), abs=2e-6)
         tilt = np.abs(np.diff(v, prepend=v[:1]))
         assert [states[u, i] for i, _ in own] == motion.fall_states(v >= 80, tilt, 4, 2, 40.0)
+
+
+def test_cross_lags_are_those_of_rolled_arrays(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=60)
+    series = {"a": a, "b": np.roll(a, -3) + rng.normal(size=60) / 5, "c": rng.normal(size=60), "d": np.full(60, 2.0)}
+    rows = [(k, t + 100, float(v)) for k, x in series.items() for t, v in enumerate(x)]
+    found = statistics.cross_lags(spark.createDataFrame(rows, "s string, t long, v double"), "s", "t", "v", 5).collect()
+    assert len(found) == 6
+    for f in found:
+        x, y = (series[k] - series[k].mean() for k in (f.a, f.b))
+        scale = (x.std() * y.std() * 60) or 1
+        want = {lag: round(float(x @ np.roll(y, lag) / scale), 9) for lag in range(-5, 6)}
+        lag = max(want, key=want.get)
+        assert (f.lag, f.r) == (lag, pytest.approx(want[lag], abs=1e-8))
+    assert next(f.lag for f in found if (f.a, f.b) == ("a", "b")) == 3

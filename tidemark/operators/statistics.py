@@ -90,6 +90,25 @@ def correlation(x: str, y: str, least: int = 10) -> Column:
     return F.when((F.count(a) >= least) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
 
 
+def cross_lags(df: DataFrame, sensor: str, tick: str, value: str, most: int) -> DataFrame:
+    """For each pair of sensors (a before b) the shift of b, of -most to most ticks around the end of the span, at which they correlate best (the least of equals).
+
+    df has one row for each sensor and tick. Ticks without a row count as the sensor's mean; a shift at which no rows meet isn't considered, and a constant
+    sensor has correlation 0. Each row is dealt to 2 * most + 1 ticks and meets the other sensors' rows there, so work grows with the ticks, not their square.
+    """
+    span = df.agg(F.min(tick).alias("_first"), (F.max(tick) - F.min(tick) + 1).alias("_n"))  # one row
+    x = F.col(value) - F.avg(value).over(Window.partitionBy(sensor))
+    own = df.select(F.col(sensor).alias("a"), F.col(tick).alias("_t"), x.alias("x")).join(F.broadcast(span))
+    own = own.select("a", (F.col("_t") - F.col("_first")).alias("i"), "x", "_n")
+    power = own.groupBy("a").agg(F.sum(F.col("x") * F.col("x")).alias("p"))
+    shifted = own.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).select(F.col("a").alias("b"), F.pmod(F.col("i") + F.col("lag"), F.col("_n")).alias("i"), F.col("x").alias("y"), "lag")
+    met = own.select("a", "i", "x").join(shifted, "i").where("a < b").groupBy("a", "b", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    scale = F.sqrt(F.col("p") * F.col("q"))
+    r = met.join(power, "a").join(power.toDF("b", "q"), "b").select("a", "b", "lag", (F.col("s") / F.when(scale > 0, scale).otherwise(1.0)).alias("r"))
+    best = r.groupBy("a", "b").agg(F.max(F.struct(F.round("r", 9).alias("r"), (-F.col("lag")).alias("back"))).alias("m"))
+    return best.select("a", "b", (-F.col("m.back")).alias("lag"), F.col("m.r").alias("r"))
+
+
 def mode_bin(df: DataFrame, key: str, value: str, bins: int = 30) -> DataFrame:
     """The fullest of `bins` equal bins of each key's range (the lowest of equals) and its middle."""
     ends = df.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))

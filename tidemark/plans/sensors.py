@@ -283,6 +283,18 @@ def sensor_pairs(e: DataFrame) -> DataFrame:
     return x.join(y, ["tick", "g"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), six(F.avg(same)).alias("agree"))
 
 
+@query("""WITH s AS (SELECT event_type AS a, epoch_us(ts) // 3600000000 AS tick, avg(value) AS v FROM events GROUP BY ALL), n AS (SELECT min(tick) AS t0, max(tick) - min(tick) + 1 AS n FROM s),
+x AS (SELECT a, tick - t0 AS i, n, v - avg(v) OVER (PARTITION BY a) AS x FROM s, n), q AS (SELECT a, sum(x * x) AS q FROM x GROUP BY a),
+y AS (SELECT a AS b, (i + lag + n) % n AS i, x AS y, lag FROM x, (SELECT unnest(range(-6, 7)) AS lag)),
+c AS (SELECT a, b, lag, sum(x * y) AS s FROM x JOIN y USING (i) WHERE a < b GROUP BY ALL), r AS (SELECT c.a, c.b, lag, round(s / coalesce(nullif(sqrt(qa.q * qb.q), 0), 1), 9) AS r FROM c JOIN q qa ON qa.a = c.a JOIN q qb ON qb.a = c.b)
+SELECT a, b, lag::INTEGER AS lag, round(r, 6) AS r FROM r QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY r DESC, lag) = 1""")
+def agg_cross_lags(e: DataFrame) -> DataFrame:
+    """Kinds of event as sensors with hourly means: the shift of up to six hours at which two of them go together best."""
+    tick = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000)
+    hourly = e.groupBy("event_type", tick.alias("tick")).agg(F.avg("value").alias("v"))
+    return statistics.cross_lags(hourly, "event_type", "tick", "v", 6).withColumn("r", six(F.col("r")))
+
+
 # --- statistics
 
 SIMILARITY_SQL = """WITH s AS (SELECT *, {side} AS side, value - lag(value) OVER (PARTITION BY event_type, {side} ORDER BY ts, event_id) AS step FROM events),
