@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_parts(parts: Iterable[DataFrame], empty: DataFrame, name: str) -> DataFrame:
+    """staged(), for a table that comes in parts, each written before the next is asked for; empty: a table of its columns, for the case that no part comes."""
+    small_batches(empty.sparkSession)
+    path = f"{shared_folder(empty.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    empty.write.parquet(path)
+    for part in parts:
+        part.select(*empty.columns).write.mode("append").parquet(path)
+    return empty.sparkSession.read.schema(empty.schema).parquet(path)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more. What a result still reads stays, and is the caller's to clear with the folder."""
     for table in tables:

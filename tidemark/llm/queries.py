@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cws, decontaminate, language, packing, pii, secret_scan, sharding, simhash, substrings, toxicity
+from tidemark.llm import cws, decontaminate, hard_negatives, language, packing, pii, secret_scan, sharding, simhash, substrings, token_counts, toxicity, whitening
 from tidemark.llm.common import documents
 
 
@@ -63,9 +63,36 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_windows(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_sharding, op3_fingerprints, op4_packing, op5_pii, op6_decontamination, op7_secrets, op8_language, op9_toxicity, op10_substrings, page_language)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(documents(spark, sf_dir), limit=512)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(documents(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(documents(spark, sf_dir, "embeddings"))
+
+
+NUMBERED = (op1_simhash, op2_sharding, op3_fingerprints, op4_packing, op5_pii, op6_decontamination, op7_secrets, op8_language, op9_toxicity, op10_substrings, op11_token_counts, op12_hard_negatives, op13_whitening)
+QUERIES = {f.__name__: f for f in (*NUMBERED, page_language)}
 
 ORACLE_SQL = {
+    "op12_hard_negatives": """
+WITH longest AS (SELECT max(len(embedding)) AS d FROM embeddings),
+whole AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings, longest WHERE label IS NOT NULL AND len(embedding) = d AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = d),
+scored AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s
+  FROM whole a JOIN whole b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+positives AS (SELECT ar, anchor_id, br, other, s FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY s DESC, other, br) <= 5)
+SELECT p.anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.ar, p.br ORDER BY n.s DESC, n.other, n.br)::INTEGER AS rank, n.other AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positives p JOIN scored n ON p.ar = n.ar AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
+QUALIFY rank <= 10
+""",
     "op2_sharding": r"""
 WITH crc_table AS (
   SELECT list(c ORDER BY i) AS t FROM (
