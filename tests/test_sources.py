@@ -6,8 +6,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import physics, rotation, text
+from tidemark.functions import physics, rotation, text, units
 from tidemark.operators import gates, lookups, statistics, windows
+from tidemark.operators.sliced import Series
 from tidemark.sources import tables
 from tidemark.streaming import features
 
@@ -62,9 +63,9 @@ def test_quaternions(spark):
 def test_texts(spark):
     times = [text.parse_time(F.lit(x)) for x in ("01:30", "1:02:03.5", "90s", "1.5 h", "20min", "7", "soon")]
     assert one(spark, *times) == (5400.0, 3723.5, 90.0, 5400.0, 1200.0, 7.0, None)
-    factors = [text.compound_factor(F.lit(u), t) for u, t in (("mg", "g"), ("uT/√Hz", "µT/√Hz"), ("hPa/year", "hPa/h"), ("%", "%RH"), ("g", "hPa"))]
+    factors = [units.factor(F.lit(u), t) for u, t in (("mg", "g"), ("uT/√Hz", "µT/√Hz"), ("hPa/year", "hPa/h"), ("%", "%RH"), ("g", "hPa"))]
     assert one(spark, *factors)[:2] == (0.001, 1.0) and one(spark, factors[2])[0] == pytest.approx(1 / 8760) and one(spark, *factors[3:]) == (1.0, None)
-    assert text.output_transform("°C", "K") == (1.0, 273.15) and text.output_transform("°C", "K", absolute=False) == (1.0, 0.0) and text.decimals(0.25) == 2
+    assert units.output_transform("°C", "K") == (1.0, 273.15) and units.output_transform("°C", "K", absolute=False) == (1.0, 0.0) and text.decimals(0.25) == 2
 
 
 def test_lookups_before_the_first_sample(spark):
@@ -114,11 +115,11 @@ def test_value_gates_on_tampered_rows(clean):
     stel = lambda d: failed(gates.exposure(d, "k", "tick", "v", "stel", 5, 0.0, 20.0, 0.01))
     changed = lambda t, by: log.withColumn("stel", F.col("stel") + F.when(F.col("tick") == t, by).otherwise(0.0))
     assert stel(log) == set() and stel(changed(10, 0.1)) == {"stel_exact"} and stel(changed(31, 30.0)) == {"stel_bounded"}
-    dosed = log.withColumn("y", windows.dose(F.col("v"), windows.series("k", "tick"), 0.1, 1))
+    dosed = windows.dose(Series(log, "k", ["tick"]), "y", F.col("v"), 0.1, 1).rows
     twa = lambda d: failed(gates.dose(d, "k", "tick", "v", "y", 0.1, 0.0, 20.0, 0.01))
     more = lambda c, by: dosed.withColumn("y", F.col("y") + F.when(c, by).otherwise(0.0))
     assert twa(dosed) == set() and twa(more(F.col("tick") == 45, 1.0)) == {"twa_segment"} and twa(more(F.col("tick") >= 30, 99.0)) == {"twa_jump"}
-    alarmed = log.withColumn("a", windows.threshold_alarm(F.col("v"), 15, windows.series("k", "tick"), hysteresis=5))
+    alarmed = windows.threshold_alarm(Series(log, "k", ["tick"]), "a", F.col("v"), 15, hysteresis=5).rows
     assert failed(gates.alarm(alarmed, "k", ["tick"], "v", "a", 15, 5)) == set()
     assert failed(gates.alarm(alarmed.withColumn("a", F.lit(1)), "k", ["tick"], "v", "a", 15, 5)) == {"alarm"}
     summary = gates.roll_up(gates.counted(log, "k", low=F.col("v") < 0, high=F.col("v") > 18), "k").first()
@@ -150,8 +151,7 @@ def test_session_stream_is_batch_but_for_the_open_ones(spark, tmp_path):
 
 def test_latched_stream_is_batch(spark, tmp_path):
     e, found = streamed(spark, tmp_path, "latched", lambda s: features.latched(s, "user_id", "event_id", "value", 60, 50), "append", "event_id")
-    over = windows.series("user_id", "event_id")
-    batch = e.select("user_id", "event_id", windows.threshold_alarm(F.col("value"), 60, over, hysteresis=10).alias("alarm"), windows.dose(F.col("value"), over, 1, 1).alias("dose"))
+    batch = windows.dose(windows.threshold_alarm(Series(e, "user_id", ["event_id"]), "alarm", F.col("value"), 60, hysteresis=10), "dose", F.col("value"), 1, 1).rows.select("user_id", "event_id", "alarm", "dose")
     rows = lambda df: sorted((r.user_id, r.event_id, r.alarm, round(r.dose, 6)) for r in df.collect())
     assert len(rows(found)) == e.count()
     if [f for f in sorted((tmp_path / "in").glob("*.parquet"))]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
@@ -33,9 +35,17 @@ def product(a: Column, b: Column) -> Column:
     return quaternion(aw * bw - ax * bx - ay * by - az * bz, aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a nested call would copy its expression wherever it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def rotated(q: Column, v: Column) -> Column:
     """v turned by q: v + 2 w (u x v) + 2 u x (u x v) for a unit quaternion (w, u)."""
-    q = normalised(q)
+    return once(F.struct(normalised(q).alias("q"), v.alias("v")), lambda x: rotated_by_unit(x["q"], x["v"]))
+
+
+def rotated_by_unit(q: Column, v: Column) -> Column:
     cross = lambda a, b: (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
     u, own = tuple(q[c] for c in "xyz"), tuple(v[c] for c in "xyz")
     t = tuple(2 * c for c in cross(u, own))
@@ -50,10 +60,9 @@ def from_axis_angle(v: Column) -> Column:
 
 
 def from_euler(roll: Column, pitch: Column, yaw: Column) -> Column:
-    """Yaw, then pitch, then roll about the moving axes, in degrees."""
-    r, p, y = (F.radians(a) / 2 for a in (roll, pitch, yaw))
-    zero = F.lit(0.0)
-    return product(product(quaternion(F.cos(y), zero, zero, F.sin(y)), quaternion(F.cos(p), zero, F.sin(p), zero)), quaternion(F.cos(r), F.sin(r), zero, zero))
+    """Yaw, then pitch, then roll about the moving axes, in degrees: the product of the three turns, written out."""
+    (cr, sr), (cp, sp), (cy, sy) = ((F.cos(F.radians(a) / 2), F.sin(F.radians(a) / 2)) for a in (roll, pitch, yaw))
+    return quaternion(cr * cp * cy + sr * sp * sy, sr * cp * cy - cr * sp * sy, cr * sp * cy + sr * cp * sy, cr * cp * sy - sr * sp * cy)
 
 
 def canonical(q: Column) -> Column:
@@ -68,7 +77,8 @@ def with_w(x: Column, y: Column, z: Column) -> Column:
 
 def angle_degrees(a: Column, b: Column) -> Column:
     """The angle of the rotation between two orientations, whatever their signs."""
-    return F.degrees(2 * F.acos(F.least(F.abs(dot(normalised(a), normalised(b))), F.lit(1.0))))
+    cosine = once(F.struct(a.alias("a"), b.alias("b")), lambda x: dot(x["a"], x["b"]) / F.sqrt(dot(x["a"], x["a"]) * dot(x["b"], x["b"])))
+    return F.degrees(2 * F.acos(F.least(F.abs(cosine), F.lit(1.0))))
 
 
 def gravity(q: Column) -> Column:
@@ -78,8 +88,9 @@ def gravity(q: Column) -> Column:
 
 def tilt_degrees(a: Column, b: Column) -> Column:
     """The angle between the verticals of two orientations."""
-    g, h = gravity(a), gravity(b)
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), g["x"] * h["x"] + g["y"] * h["y"] + g["z"] * h["z"]))))
+    cosine = lambda x: x["g"]["x"] * x["h"]["x"] + x["g"]["y"] * x["h"]["y"] + x["g"]["z"] * x["h"]["z"]
+    inner = once(F.struct(gravity(a).alias("g"), gravity(b).alias("h")), cosine)
+    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), inner))))
 
 
 def flips(q: Column, over: WindowSpec) -> Column:

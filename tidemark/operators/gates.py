@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import lookups, windows
+from tidemark.operators import lookups, sliced, windows
+from tidemark.operators.sliced import Series
 
 
 def counted(df: DataFrame, key: str, **checks: Column) -> DataFrame:
@@ -30,7 +31,8 @@ def off_grid(x: Column, resolution: float, low: float, high: float) -> Column:
 def timestamps(log: DataFrame, key: str, tick: str, gaps: DataFrame, start: str, end: str, span: int = 64) -> DataFrame:
     """Ticks between a key's first and last without a row and outside all announced gaps, rows inside a gap, and repeated ticks."""
     seen = log.groupBy(key, tick).agg(F.count(F.lit(1)).alias("_n"))
-    grid = seen.groupBy(key).agg(F.min(tick).alias("_a"), F.max(tick).alias("_b")).select(key, F.explode(F.sequence("_a", "_b")).alias(tick))
+    grid = seen.groupBy(key).agg(F.min(tick).alias("_a"), F.max(tick).alias("_b")).select(key, "_b", F.explode(F.sequence("_a", "_b", F.lit(4096))).alias("_from"))
+    grid = grid.select(key, F.explode(F.sequence("_from", F.least("_b", F.col("_from") + 4095))).alias(tick))
     missing = lookups.outside(grid.join(seen, [key, tick], "left_anti"), gaps, key, tick, start, end, span)
     marks = [(missing, "missing", F.lit(1)), (seen, "repeated", F.col("_n") - 1)]
     inside = seen.select(key, tick).join(lookups.outside(seen, gaps, key, tick, start, end, span).select(key, tick), [key, tick], "left_anti")
@@ -40,10 +42,16 @@ def timestamps(log: DataFrame, key: str, tick: str, gaps: DataFrame, start: str,
     return reduce(DataFrame.unionByName, parts).groupBy(key, "rule").agg(F.sum("violations").alias("violations"))
 
 
-def alarm(log: DataFrame, key: str, order: list[str], value: str, reported: str, level: float, hysteresis: float = 0.0, above: bool = True) -> DataFrame:
-    """Rows whose reported alarm (1 or 0) isn't the latch's."""
-    state = windows.threshold_alarm(F.col(value), level, windows.series(key, *order), above, hysteresis)
-    return counted(log.withColumn("_state", state), key, alarm=F.col("_state") != F.col(reported))
+def alarm(log: DataFrame, key: str, order: list[str], value: str, reported: str, level: float, hysteresis: float = 0.0, above: bool = True, latching: bool = False, seconds: str | None = None, gap: float = 0.0, rows: int | None = None) -> DataFrame:
+    """Rows whose reported alarm (1 or 0) isn't the latch's. At the first row, and where `seconds` is named after every gap longer than `gap`, the latch
+    starts anew: a reading between the levels leaves it as it is reported there, since what was before isn't known."""
+    x = F.col(value)
+    on, off = (x >= level, x < level - hysteresis) if above else (x <= level, x > level + hysteresis)
+    anew = lambda w: F.lag(F.lit(1)).over(w).isNull() | (F.coalesce(F.col(seconds) - F.lag(seconds).over(w) > gap, F.lit(False)) if seconds else F.lit(False))
+    own = Series(log, key, order, rows).framed(1, _anew=anew)
+    marks = F.when(on, 1).when(F.col("_anew"), F.when(off, 0).otherwise(F.col(reported)))
+    marks = marks if latching else marks.when(off, 0)
+    return counted(own.running(_state=sliced.last(marks)).rows, key, alarm=F.col("_state") != F.col(reported))
 
 
 def exposure(log: DataFrame, key: str, tick: str, value: str, reported: str, width: int, low: float, high: float, resolution: float) -> DataFrame:
@@ -55,20 +63,16 @@ def exposure(log: DataFrame, key: str, tick: str, value: str, reported: str, wid
 
 def dose(log: DataFrame, key: str, tick: str, value: str, reported: str, share: float, low: float, high: float, resolution: float) -> DataFrame:
     """Rows whose reported dose (the running sum times `share`) is off within a run without gaps, and gaps across which it grows by what no readings could give."""
-    own = windows.dose_segments(log, key, tick, value)
-    over, run = windows.series(key, tick), Window.partitionBy(key, "segment").orderBy(tick)
+    own = windows.dose_segments(log, key, tick, value, reported, value).framed(1, _before=lambda w: F.lag(reported).over(w)).rows
     y = F.col(reported)
-    own = own.withColumn("_first", F.first(reported).over(run)).withColumn("_own", F.first(value).over(run)).withColumn("_before", F.lag(reported).over(over))
-    expected = F.when(F.col("segment") == 0, F.col("inside") * share).otherwise(F.col("_first") + (F.col("inside") - F.col("_own")) * share)
+    expected = F.when(F.col("segment") == 0, F.col("inside") * share).otherwise(F.col(f"{reported}_first") + (F.col("inside") - F.col(f"{value}_first")) * share)
     jump, least, most = y - F.col("_before"), (F.col(value) + low * F.col("gap")) * share, (F.col(value) + high * F.col("gap")) * share
     return counted(own, key, twa_segment=F.abs(y - expected) > F.when(F.col("segment") == 0, resolution / 2).otherwise(resolution) + 1e-9, twa_jump=(F.col("gap") > 0) & ((jump < least - resolution - 1e-9) | (jump > most + resolution + 1e-9)))
 
 
 def cause(log: DataFrame, key: str, order: list[str], seconds: str, alarm_on: Column, event_on: Column, within: float) -> DataFrame:
     """Alarm rows without an event in the last `within` seconds, and alarm rows without any event so far."""
-    over = windows.series(key, *order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(event_on, F.col(seconds)), ignorenulls=True).over(over)
-    own = log.withColumn("_on", alarm_on).withColumn("_last", last)
+    own = Series(log.withColumn("_on", alarm_on), key, order).running(_last=sliced.last(F.when(event_on, F.col(seconds)))).rows
     return counted(own, key, no_recent_cause=F.col("_on") & F.coalesce(F.col(seconds) - F.col("_last") >= within, F.lit(True)), no_cause=F.col("_on") & F.col("_last").isNull())
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import sliced
+from tidemark.operators.sliced import Series
 
-def as_of(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str, clip: bool = False) -> DataFrame:
+
+def as_of(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str, clip: bool = False, rows: int | None = None) -> DataFrame:
     """queries with the last value of samples at or before each time; before the first sample that one's (`clip`), or null.
 
     Both are put in one ordered series by key, so there is one shuffle and no join that grows with
@@ -14,36 +17,30 @@ def as_of(queries: DataFrame, samples: DataFrame, key: str, time: str, value: st
     """
     both = queries.withColumn("_value", F.lit(None).cast(samples.schema[value].dataType)).withColumn("_query", F.lit(1)).unionByName(
         samples.select(key, time, F.col(value).alias("_value"), F.lit(0).alias("_query")), allowMissingColumns=True)
-    over = Window.partitionBy(key).orderBy(time, "_query", "_value").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.last("_value", ignorenulls=True).over(over)
-    if clip:
-        held = F.coalesce(held, F.first("_value", ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing)))
-    return both.withColumn(value, held).where("_query = 1").drop("_value", "_query")
+    found = Series(both, key, [time, "_query", "_value"], rows).running(_held=sliced.last(F.col("_value")), _next=sliced.upcoming(F.col("_value"))).rows.where("_query = 1")
+    return found.withColumn(value, F.coalesce("_held", "_next") if clip else F.col("_held")).drop("_value", "_query", "_held", "_next")
 
 
-def interpolated(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """queries with the value of samples at each time by linear interpolation, constant beyond the ends. time is a number."""
+def neighbours(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str, rows: int) -> DataFrame:
+    """queries with the samples (t, v) at or before each time, `_a`, and at or after it, `_b`."""
     known = samples.select(key, time, F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("_at"))
     both = queries.withColumn("_query", F.lit(1)).unionByName(known.withColumn("_query", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy(time, "_query")
-    before = F.last("_at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_at", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    return Series(both, key, [time, "_query"], rows).running(_a=sliced.last(F.col("_at")), _b=sliced.upcoming(F.col("_at"))).rows.where("_query = 1").drop("_at", "_query")
+
+
+def interpolated(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str, rows: int | None = None) -> DataFrame:
+    """queries with the value of samples at each time by linear interpolation, constant beyond the ends. time is a number."""
     a, b = F.col("_a"), F.col("_b")
     share = (F.col(time) - a["t"]) / (b["t"] - a["t"])
-    line = F.when(a["t"] == b["t"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * share)
-    out = both.withColumn("_a", before).withColumn("_b", after).where("_query = 1")
-    return out.withColumn(value, F.coalesce(line, a["v"], b["v"])).drop("_a", "_b", "_at", "_query")
+    line = F.when(a["t"] == b["t"], a["v"]).when(a["t"] == F.col(time), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * share)
+    return neighbours(queries, samples, key, time, value, rows).withColumn(value, F.coalesce(line, a["v"], b["v"])).drop("_a", "_b")
 
 
-def nearest(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str) -> DataFrame:
+def nearest(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str, rows: int | None = None) -> DataFrame:
     """queries with the value of the sample nearest in time, the earlier of two equally near. time is a number."""
-    known = samples.select(key, time, F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("_at"))
-    both = queries.withColumn("_query", F.lit(1)).unionByName(known.withColumn("_query", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy(time, "_query")
     a, b = F.col("_a"), F.col("_b")
-    out = both.withColumn("_a", F.last("_at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first("_at", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("_query = 1")
     near = F.when(a.isNull() | (b["t"] - F.col(time) < F.col(time) - a["t"]), b["v"]).otherwise(a["v"])
-    return out.withColumn(value, near).drop("_a", "_b", "_at", "_query")
+    return neighbours(queries, samples, key, time, value, rows).withColumn(value, near).drop("_a", "_b")
 
 
 def outside(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, end: str, span: int) -> DataFrame:

@@ -1,82 +1,103 @@
 """Distribution statistics as grouped aggregation.
 
-Exact ranks need no group in one task: values are counted first, the counts are cut into buckets at approximate
-quantiles of each key, and running counts go over each bucket by itself, on top of what the buckets below it hold.
+Exact ranks need no group in one task: values are counted first, and the counted values of a key are a series in the order of the values, whose running
+counts come from sliced.Series. So the rows are read once, whatever is asked of their ranks.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from tidemark.operators import sliced
+from tidemark.operators.sliced import Series
 
 
-def running_counts(df: DataFrame, key: str, value: str, counts: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
-    """One row for each key and distinct value: the counts, "<name>_upto" (of this and all lesser values), "<name>_all", and next_value."""
-    df = df.where(F.col(value).isNotNull())
-    counted = df.groupBy(key, value).agg(*(c.alias(n) for n, c in counts.items()))
-    cuts = counted.groupBy(key).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
-    cut = counted.join(cuts, key).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    order = Window.partitionBy(key).orderBy("_bucket")
-    below = cut.groupBy(key, "_bucket").agg(*(F.sum(n).alias(f"_{n}") for n in counts), F.min(value).alias("_least"))
-    below = below.select(key, "_bucket", F.lead("_least").over(order).alias("_after"), *(c for n in counts for c in (F.sum(f"_{n}").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_{n}_below"), F.sum(f"_{n}").over(Window.partitionBy(key)).alias(f"{n}_all"))))
-    own = Window.partitionBy(key, "_bucket").orderBy(value)
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(below, [key, "_bucket"])
-    return out.select(key, value, *counts, *(c for n in counts for c in ((F.coalesce(f"_{n}_below", F.lit(0)) + F.sum(n).over(upto)).alias(f"{n}_upto"), F.col(f"{n}_all"))), F.coalesce(F.lead(value).over(own), "_after").alias("next_value"))
+def running_counts(df: DataFrame, key: str, value: str, counts: dict[str, Column], rows: int | None = None) -> DataFrame:
+    """One row for each key and distinct value: the counts (sums of rows, or of anything), "<name>_upto" (of this and all lesser values), "<name>_all", and next_value."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(*(c.alias(n) for n, c in counts.items()))
+    folds = {f"{n}_upto": sliced.total(F.col(n)) for n in counts} | {f"{n}_from": sliced.remaining(F.col(n)) for n in counts}
+    own = Series(counted, key, [value], rows).framed(0, 1, next_value=lambda w: F.lead(value).over(w)).running(**folds)
+    return own.rows.select(key, value, *counts, *(c for n in counts for c in (F.col(f"{n}_upto"), (F.col(f"{n}_upto") + F.col(f"{n}_from") - F.col(n)).alias(f"{n}_all"))), "next_value")
 
 
-def quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact quantiles of each key, by linear interpolation: one column for each name in shares."""
-    ranked = running_counts(df, key, value, {"n": F.count(F.lit(1))})
+def between(value: str, shares: dict[str, float]) -> list[Column]:
+    """For a grouped table of running_counts(), whose count is n: "_<name>_a" and "_<name>_b", the values at both sides of each share of the ranks, and "_<name>_s", how far between."""
     at = {name: F.lit(p) * (F.col("n_all") - 1) for name, p in shares.items()}
-    found = ranked.groupBy(key).agg(*(c for name, p in at.items() for c in (F.min(F.when(F.col("n_upto") > F.floor(p), F.col(value))).alias(f"_{name}_a"), F.min(F.when(F.col("n_upto") > F.ceil(p), F.col(value))).alias(f"_{name}_b"), F.first(p - F.floor(p)).alias(f"_{name}_s"))))
-    return found.select(key, *((F.col(f"_{n}_a") + (F.col(f"_{n}_b") - F.col(f"_{n}_a")) * F.col(f"_{n}_s")).alias(n) for n in shares))
+    return [c for name, p in at.items() for c in (F.min(F.when(F.col("n_upto") > F.floor(p), F.col(value))).alias(f"_{name}_a"), F.min(F.when(F.col("n_upto") > F.ceil(p), F.col(value))).alias(f"_{name}_b"), F.first(p - F.floor(p)).alias(f"_{name}_s"))]
+
+
+def line(name: str) -> Column:
+    a, b = F.col(f"_{name}_a"), F.col(f"_{name}_b")
+    return F.when(a == b, a).otherwise(a + (b - a) * F.col(f"_{name}_s"))
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float], rows: int | None = None) -> DataFrame:
+    """Exact quantiles of each key, by linear interpolation: one column for each name in shares."""
+    found = running_counts(df, key, value, {"n": F.count(F.lit(1))}, rows).groupBy(key).agg(*between(value, shares))
+    return found.select(key, *(line(n).alias(n) for n in shares))
 
 
-def mad(df: DataFrame, key: str, value: str) -> DataFrame:
+def mad(df: DataFrame, key: str, value: str, rows: int | None = None) -> DataFrame:
     """1.4826 times the median distance from the median."""
-    middle = quantiles(df, key, value, {"_m": 0.5})
-    away = df.join(middle, key).select(key, F.abs(F.col(value) - F.col("_m")).alias("_away"))
-    return quantiles(away, key, "_away", {"mad": 0.5}).withColumn("mad", 1.4826 * F.col("mad"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_w"))
+    ranked = lambda d, v: running_counts(d, key, v, {"n": F.sum("_w")}, rows).groupBy(key).agg(*between(v, {"m": 0.5}))
+    middle = ranked(counted, value).select(F.col(key).alias("_key"), line("m").alias("_m"))
+    away = counted.join(middle, F.col(key).eqNullSafe(F.col("_key"))).select(key, F.abs(F.col(value) - F.col("_m")).alias("_away"), "_w")
+    return ranked(away, "_away").select(key, (1.4826 * line("m")).alias("mad"))
 
 
-def distances(df: DataFrame, key: str, value: str, side: str) -> DataFrame:
+def distances(df: DataFrame, key: str, value: str, side: str, rows: int | None = None) -> DataFrame:
     """Kolmogorov-Smirnov and Wasserstein distances of the two sides (0 and 1) of each key."""
-    ranked = running_counts(df, key, value, {f"n{s}": F.count(F.when(F.col(side) == s, 1)) for s in (0, 1)})
+    ranked = running_counts(df, key, value, {f"n{s}": F.count(F.when(F.col(side) == s, 1)) for s in (0, 1)}, rows)
     gap = F.abs(F.col("n0_upto") / F.col("n0_all") - F.col("n1_upto") / F.col("n1_all"))
     return ranked.groupBy(key).agg(F.max(gap).alias("ks"), F.sum(gap * (F.col("next_value") - F.col(value))).alias("wasserstein"))
 
 
-def autocorrelation(df: DataFrame, key: str, value: str, order: list[str], lags: int) -> DataFrame:
-    """Sum of x_i x_(i+k) by n times the variance, x about its mean, for lags 0 to `lags` (below n); 0 for a constant series. One shuffle by
-    key: all lags are offsets in one window."""
-    whole = Window.partitionBy(key)
-    x = F.col(value) - F.avg(value).over(whole)
-    own = df.select(key, *order, x.alias("x"), F.var_pop(value).over(whole).alias("var"), F.count(value).over(whole).alias("n"))
-    over = whole.orderBy(*order)
-    shifted = own.select(key, "var", "n", *((F.col("x") * F.lag("x", k).over(over)).alias(f"p{k}") for k in range(lags + 1)))
-    sums = shifted.groupBy(key).agg(F.first("var").alias("var"), F.first("n").alias("n"), *(F.sum(f"p{k}").alias(f"p{k}") for k in range(lags + 1)))
+def autocorrelation(df: DataFrame, key: str, value: str, order: list[str], lags: int, rows: int | None = None) -> DataFrame:
+    """Sum of x_i x_(i+k) by n times the variance, x about its mean, for lags 0 to `lags` (below n); 0 for a constant series. All lags are offsets in one window,
+    of a series that is cut where it is long; means come from a grouped aggregate."""
+    whole = df.groupBy(F.col(key).alias("_key")).agg(F.avg(value).alias("_mean"), F.var_pop(value).alias("var"), F.count(value).alias("n"))
+    own = df.join(whole, F.col(key).eqNullSafe(F.col("_key"))).select(key, *order, (F.col(value) - F.col("_mean")).alias("_x"))
+    shifted = Series(own, key, order, rows).framed(lags, **{f"p{k}": (lambda w, k=k: F.col("_x") * (F.lag("_x", k).over(w) if k else F.col("_x"))) for k in range(lags + 1)}).rows
+    sums = shifted.groupBy(key).agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(lags + 1))).join(whole, F.col(key).eqNullSafe(F.col("_key")))
     acf = F.array(*(F.struct(F.lit(k).alias("lag"), F.when(F.col("var") < 1e-12, 0.0).otherwise(F.col(f"p{k}") / (F.col("var") * F.col("n"))).alias("acf")) for k in range(lags + 1)))
     return sums.select(key, "n", F.inline(acf)).where("lag < n").drop("n")
 
 
-def similarity(df: DataFrame, key: str, value: str, side: str, order: list[str], lags: int = 10) -> DataFrame:
+def ks_p_value(d: Column, n: Column, m: Column) -> Column:
+    """The limit distribution's chance of a Kolmogorov-Smirnov distance of d or more between samples of n and m equal distributions: 2 * sum of (-1)^(k-1) exp(-2 k^2 x^2)."""
+    x2 = d * d * n * m / (n + m)
+    # For a small x the terms fall slowly, and the other form of the same sum, of pi^2 / 8 x^2, is exact to double precision.
+    tail = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(0.0), lambda a, k: a + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * k * k * x2))
+    head = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(0.0), lambda a, k: a + F.exp(-F.pow(2 * k - 1, F.lit(2)) * math.pi**2 / (8 * x2)))
+    small = 1 - F.sqrt(2 * math.pi / x2) * head
+    return F.when(x2 <= 0, 1.0).when(x2 < 1, small).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
+
+
+def similarity(df: DataFrame, key: str, value: str, side: str, order: list[str], lags: int = 10, rows: int | None = None) -> DataFrame:
     """One row for each key that compares two series (sides 0 and 1, ordered by `order`): distances of values (by side 0's range) and of
-    increments, Kolmogorov-Smirnov on values of four digits with its critical value for the lesser length, and autocorrelations. A
-    key whose side 0 is constant has no row."""
-    by_side = Window.partitionBy(key, side).orderBy(*order)
-    steps = df.withColumn("_step", F.col(value) - F.lag(value).over(by_side))
-    spans = steps.groupBy(key).agg(*(c for name, x in (("_range", F.col(value)), ("_srange", F.col("_step"))) for c in [(F.max(F.when(F.col(side) == 0, x)) - F.min(F.when(F.col(side) == 0, x))).alias(name)]), *(F.count(F.when(F.col(side) == s, 1)).alias(f"_n{s}") for s in (0, 1)))
-    values, rounded = distances(df, key, value, side), distances(df.withColumn(value, F.round(value, 4)), key, value, side)
-    increments = distances(steps.where("_step is not null"), key, "_step", side)
+    increments, Kolmogorov-Smirnov on values of four digits with its p-value and its critical value for the lesser length, and autocorrelations. A
+    key whose side 0 is constant has no row. All three distances are read off one table of counted values."""
     tagged = df.withColumn("_series", F.struct(key, side))
-    acf = autocorrelation(tagged, "_series", value, order, lags).select(F.col(f"_series.{key}").alias(key), F.col(f"_series.{side}").alias("_side"), "lag", "acf")
+    steps = Series(tagged, "_series", order, rows).framed(1, _step=lambda w: F.col(value) - F.lag(value).over(w)).rows
+    kinds = F.array(F.struct(F.lit("v").alias("kind"), F.col(value).alias("x")), F.struct(F.lit("k").alias("kind"), F.round(value, 4).alias("x")), F.struct(F.lit("s").alias("kind"), F.col("_step").alias("x")))
+    long = steps.select(key, side, F.inline(kinds)).select(F.struct(key, "kind").alias("_k"), "x", side)
+    at = lambda kind, s: F.when((F.col("_k.kind") == kind) & (F.col(f"n{s}") > 0), F.col("x"))
+    ranked = running_counts(long, "_k", "x", {f"n{s}": F.count(F.when(F.col(side) == s, 1)) for s in (0, 1)}, rows)
+    gap = F.abs(F.col("n0_upto") / F.col("n0_all") - F.col("n1_upto") / F.col("n1_all"))
+    of = lambda kind, c: F.when(F.col("_k.kind") == kind, c)
+    area = gap * (F.col("next_value") - F.col("x"))
+    spans = {"_range": ("v", F.max(at("v", 0)) - F.min(at("v", 0))), "_srange": ("s", F.max(at("s", 0)) - F.min(at("s", 0)))}
+    found = ranked.groupBy(F.col(f"_k.{key}").alias(key)).agg(F.sum(of("v", area)).alias("_w"), F.max(of("k", gap)).alias("ks"), F.sum(of("s", area)).alias("_wi"), *(c.alias(n) for n, (_, c) in spans.items()), *(F.first(of("v", F.col(f"n{s}_all")), ignorenulls=True).alias(f"_n{s}") for s in (0, 1)))
+    acf = autocorrelation(tagged, "_series", value, order, lags, rows).select(F.col(f"_series.{key}").alias(key), F.col(f"_series.{side}").alias("_side"), "lag", "acf")
     apart = F.max(F.when(F.col("_side") == 0, F.col("acf"))) - F.max(F.when(F.col("_side") == 1, F.col("acf")))
     curves = acf.groupBy(key, "lag").agg(apart.alias("_d")).groupBy(key).agg(F.avg(F.abs("_d")).alias("acf_diff"), F.avg(F.col("_d") * F.col("_d")).alias("acf_mse"))
-    out = spans.where("_range >= 1e-12").join(values.withColumnRenamed("wasserstein", "_w").drop("ks"), key).join(rounded.drop("wasserstein"), key).join(increments.withColumnRenamed("wasserstein", "_wi").drop("ks"), key).join(curves, key)
-    return out.select(key, (F.col("_w") / F.col("_range")).alias("w_value"), "ks", (1.36 * F.sqrt(2.0 / F.least("_n0", "_n1"))).alias("ks_critical"), (F.col("_wi") / F.when(F.col("_srange") > 1e-12, F.col("_srange")).otherwise(1.0)).alias("w_step"), "acf_diff", "acf_mse")
+    out = found.where("_range >= 1e-12").join(curves, key)
+    least = F.least("_n0", "_n1")
+    return out.select(key, (F.col("_w") / F.col("_range")).alias("w_value"), "ks", ks_p_value(F.col("ks"), least, least).alias("ks_p"), (1.36 * F.sqrt(2.0 / least)).alias("ks_critical"), (F.col("_wi") / F.when(F.col("_srange") > 1e-12, F.col("_srange")).otherwise(1.0)).alias("w_step"), "acf_diff", "acf_mse")
 
 
 def verdict(value: Column, good: float, ok: float) -> Column:
@@ -97,8 +118,8 @@ def cross_lags(df: DataFrame, sensor: str, tick: str, value: str, most: int) ->
     sensor has correlation 0. Each row is dealt to 2 * most + 1 ticks and meets the other sensors' rows there, so work grows with the ticks, not their square.
     """
     span = df.agg(F.min(tick).alias("_first"), (F.max(tick) - F.min(tick) + 1).alias("_n"))  # one row
-    x = F.col(value) - F.avg(value).over(Window.partitionBy(sensor))
-    own = df.select(F.col(sensor).alias("a"), F.col(tick).alias("_t"), x.alias("x")).join(F.broadcast(span))
+    means = df.groupBy(F.col(sensor).alias("_key")).agg(F.avg(value).alias("_mean"))
+    own = df.join(means, F.col(sensor).eqNullSafe(F.col("_key"))).select(F.col(sensor).alias("a"), F.col(tick).alias("_t"), (F.col(value) - F.col("_mean")).alias("x")).join(F.broadcast(span))
     own = own.select("a", (F.col("_t") - F.col("_first")).alias("i"), "x", "_n")
     power = own.groupBy("a").agg(F.sum(F.col("x") * F.col("x")).alias("p"))
     shifted = own.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).select(F.col("a").alias("b"), F.pmod(F.col("i") + F.col("lag"), F.col("_n")).alias("i"), F.col("x").alias("y"), "lag")
@@ -119,20 +140,33 @@ def mode_bin(df: DataFrame, key: str, value: str, bins: int = 30) -> DataFrame:
     return best.select(key, (-F.col("_m._b")).alias("bin"), F.col("_m.n").alias("n"), (F.col("_lo") + (0.5 - F.col("_m._b")) * width).alias("middle"))
 
 
-def otsu(df: DataFrame, key: str, value: str, shares: list[int] | None = None) -> DataFrame:
-    """The threshold, among percentiles 10, 12, to 88, that parts the values of each key with the least variance within both parts."""
-    shares = shares or list(range(10, 90, 2))
-    cuts = quantiles(df, key, value, {f"q{p}": p / 100 for p in shares})
-    tried = df.join(cuts, key)
-    x = F.col(value)
-    side = lambda p, low: F.when((x < F.col(f"q{p}")) if low else (x >= F.col(f"q{p}")), x)
-    parts = tried.groupBy(key).agg(*(F.struct((F.count(side(p, True)) * F.var_pop(side(p, True)) + F.count(side(p, False)) * F.var_pop(side(p, False))).alias("within"), F.first(f"q{p}").alias("t")).alias(f"s{p}") for p in shares))
-    least = F.array_min(F.filter(F.array(*(F.struct(F.col(f"s{p}.within"), F.lit(p).alias("p"), F.col(f"s{p}.t")) for p in shares)), lambda s: s["within"].isNotNull()))
-    return parts.select(key, least["p"].alias("percentile"), least["t"].alias("threshold"))
+def otsu(df: DataFrame, key: str, value: str, shares: list[int] | None = None, least: int = 10, rows: int | None = None) -> DataFrame:
+    """The threshold, among percentiles 10, 12, to 88, that parts the values of each key (up to it, and above) with the least variance within both parts; the first of
+    equals. A threshold that leaves fewer than `least` values on a side isn't considered; a key without any has no row. With both parts' means.
 
-
-def transitions(df: DataFrame, key: str, state: str, order: list[str]) -> DataFrame:
+    Counts, sums and squares up to each percentile are read off one ranked table; there is no second pass over the rows.
+    """
+    shares = shares or list(range(10, 90, 2))
+    x = F.col("_y")
+    whole = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.avg(value).alias("_mean"))
+    centred = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_w")).join(whole, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_y", F.col(value) - F.col("_mean"))
+    ranked = running_counts(centred, key, value, {"n": F.sum("_w"), "s": F.sum(x * F.col("_w")), "q": F.sum(x * x * F.col("_w"))}, rows)
+    at = lambda p: F.lit(p / 100) * (F.col("n_all") - 1)
+    here = F.struct(F.col(value).alias("v"), F.col("n_upto").alias("n"), F.col("s_upto").alias("s"), F.col("q_upto").alias("q"))
+    found = ranked.groupBy(key).agg(F.first("n_all").alias("_n"), F.max(F.struct(value, F.col("s_upto").alias("s"), F.col("q_upto").alias("q"))).alias("_all"), *(c for p in shares for c in (F.min(F.when(F.col("n_upto") > F.floor(at(p)), here)).alias(f"_{p}_a"), F.min(F.when(F.col("n_upto") > F.ceil(at(p)), here)).alias(f"_{p}_b"), F.first(at(p) - F.floor(at(p))).alias(f"_{p}_s"))))
+    tries = []
+    for p in shares:
+        a, b = F.col(f"_{p}_a"), F.col(f"_{p}_b")
+        t = F.when(a["v"] == b["v"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * F.col(f"_{p}_s"))
+        n, s, q = (F.when(t >= b["v"], b[c]).otherwise(a[c]) for c in "nsq")
+        m, r, u = F.col("_n") - n, F.col("_all.s") - s, F.col("_all.q") - q
+        tries.append(F.when((n >= least) & (m >= least), F.struct((q - s * s / n + u - r * r / m).alias("within"), F.lit(p).alias("p"), t.alias("t"), (s / n).alias("low"), (r / m).alias("high"))))
+    best = found.select(key, F.array_min(F.filter(F.array(*tries), lambda x: x.isNotNull())).alias("_best")).where("_best is not null").join(whole, F.col(key).eqNullSafe(F.col("_key")))
+    return best.select(key, F.col("_best.p").alias("percentile"), F.col("_best.t").alias("threshold"), (F.col("_best.low") + F.col("_mean")).alias("low_mean"), (F.col("_best.high") + F.col("_mean")).alias("high_mean"))
+
+
+def transitions(df: DataFrame, key: str, state: str, order: list[str], rows: int | None = None) -> DataFrame:
     """Shares of the next states after each state, over changes of state."""
-    after = df.select(F.col(state).alias("a"), F.lead(state).over(Window.partitionBy(key).orderBy(*order)).alias("b")).where("a <> b")
-    counts = after.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    after = Series(df.select(key, state, *order), key, order, rows).framed(0, 1, _next=lambda w: F.lead(state).over(w)).rows
+    counts = after.select(F.col(state).alias("a"), F.col("_next").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("a")))

@@ -1,13 +1,15 @@
-"""Windowed logic over ordered series: exposure, rates, runs, latches."""
+"""Windowed logic over ordered series: exposure, rates, runs, latches.
+
+Functions of a Series give it back with a column more; they need no series whole in one task. Functions of a window are for Series.framed().
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-
-def series(key: str, *order: str) -> WindowSpec:
-    return Window.partitionBy(key).orderBy(*order)
+from tidemark.operators import sliced
+from tidemark.operators.sliced import Series
 
 
 def exposure_mean(x: Column, over: WindowSpec, width: int) -> Column:
@@ -15,8 +17,8 @@ def exposure_mean(x: Column, over: WindowSpec, width: int) -> Column:
     return F.sum(x).over(over.rowsBetween(1 - width, 0)) / width
 
 
-def dose(x: Column, over: WindowSpec, dt: float, period: float) -> Column:
-    return F.sum(x).over(over.rowsBetween(Window.unboundedPreceding, 0)) * dt / period
+def dose(s: Series, name: str, x: Column, dt: float, period: float) -> Series:
+    return s.running(**{name: sliced.total(x)}).with_columns(**{name: F.col(name) * dt / period})
 
 
 def rate_of_change(x: Column, over: WindowSpec, width: int, dt: float, per: float) -> Column:
@@ -29,36 +31,33 @@ def centred(width: int, over: WindowSpec) -> WindowSpec:
     return over.rowsBetween(-(width // 2), (width - 1) // 2)
 
 
-def run_id(changed: Column, over: WindowSpec) -> Column:
-    """Number of the run of equal states; changed: whether a row begins one."""
-    return F.sum(F.when(changed, 1).otherwise(0)).over(over.rowsBetween(Window.unboundedPreceding, 0))
+def run_id(s: Series, name: str, state: str) -> Series:
+    """Number of the run of equal states, null states included."""
+    changed = s.framed(1, **{name: lambda w: F.when(F.row_number().over(w) == 1, 1).when(F.col(state).eqNullSafe(F.lag(state).over(w)), 0).otherwise(1)})
+    return changed.running(**{name: sliced.total(F.col(name))})
 
 
-def latch(trigger: Column, clear: Column, over: WindowSpec, latching: bool = False, on: object = 1, off: object = 0) -> Column:
+def latch(s: Series, name: str, trigger: Column, clear: Column, latching: bool = False, on: object = 1, off: object = 0) -> Series:
     """`on` from a trigger to a clear (a latching one never clears), and so on; `off` before."""
-    so_far = over.rowsBetween(Window.unboundedPreceding, 0)
-    if latching:
-        return F.when(F.coalesce(F.max(trigger.cast("int")).over(so_far), F.lit(0)) == 1, on).otherwise(off)
-    marks = F.when(trigger, 1).when(clear, 0)
-    return F.when(F.last(marks, ignorenulls=True).over(so_far) == 1, on).otherwise(off)
+    marks = F.when(trigger, 1) if latching else F.when(trigger, 1).when(clear, 0)
+    return s.running(**{name: sliced.last(marks)}).with_columns(**{name: F.when(F.col(name) == 1, on).otherwise(off)})
 
 
-def threshold_alarm(x: Column, level: float, over: WindowSpec, above: bool = True, hysteresis: float = 0.0, latching: bool = False, on: object = 1, off: object = 0) -> Column:
+def threshold_alarm(s: Series, name: str, x: Column, level: float, above: bool = True, hysteresis: float = 0.0, latching: bool = False, on: object = 1, off: object = 0) -> Series:
     """On at or beyond the level, off again strictly beyond the hysteresis on the other side."""
     trigger, clear = (x >= level, x < level - hysteresis) if above else (x <= level, x > level + hysteresis)
-    return latch(trigger, clear, over, latching, on, off)
+    return latch(s, name, trigger, clear, latching, on, off)
 
 
-def unwrapped_sign(flip: Column, over: WindowSpec) -> Column:
+def unwrapped_sign(s: Series, name: str, flip: Column) -> Series:
     """1 or -1: the sign by which a series of quaternions becomes continuous, from rotation.flips()."""
-    return F.when(F.sum(flip).over(over.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1, -1.0).otherwise(1.0)
+    return s.running(**{name: sliced.total(flip)}).with_columns(**{name: F.when(F.col(name) % 2 == 1, -1.0).otherwise(1.0)})
 
 
-def since(moving: Column, seconds: Column, over: WindowSpec, dt: float) -> Column:
+def since(s: Series, name: str, moving: Column, seconds: Column, dt: float) -> Series:
     """Seconds of stillness: 0 while moving, dt at the first still row; before any movement counted from the first row."""
-    so_far = over.rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(moving, seconds), ignorenulls=True).over(so_far)
-    return F.coalesce(seconds - last, seconds - F.first(seconds).over(so_far) + dt)
+    own = s.running(_last=sliced.last(F.when(moving, seconds)), _start=sliced.first(seconds))
+    return own.same(own.df.withColumn(name, F.coalesce(seconds - F.col("_last"), seconds - F.col("_start") + dt)).drop("_last", "_start"))
 
 
 def moving(axes: list[Column], over: WindowSpec, width: int, threshold: float) -> Column:
@@ -72,23 +71,25 @@ def stillness(still: Column, detect: float, pre_alarm: float) -> Column:
     return F.when(still >= detect + pre_alarm, "alert").when(still >= detect, "pre_alarm").otherwise("ok")
 
 
-def gap_bounds(log: DataFrame, key: str, tick: str, value: str, width: int, low: float, high: float) -> DataFrame:
+def gap_bounds(log: DataFrame, key: str, tick: str, value: str, width: int, low: float, high: float, rows: int | None = None) -> DataFrame:
     """log (one row for each key and tick there is) with the bounds `mean_low`, `mean_high` of the mean over the last `width` ticks and the number
     `missing` of ticks in it without a row: what is missing lies between low and high, what is before the first row is 0."""
-    over = Window.partitionBy(key).orderBy(tick)
-    frame = over.rangeBetween(1 - width, 0)
-    known, have = F.sum(value).over(frame), F.count(value).over(frame)
-    missing = F.least(F.col(tick) - F.min(tick).over(Window.partitionBy(key)) + 1, F.lit(width)) - have
-    return log.select("*", missing.alias("missing"), ((known + low * missing) / width).alias("mean_low"), ((known + high * missing) / width).alias("mean_high"))
+    frame = lambda w: w.rangeBetween(1 - width, 0)
+    own = Series(log, key, [tick], rows).framed(width - 1, _known=lambda w: F.sum(value).over(frame(w)), _have=lambda w: F.count(value).over(frame(w))).running(_first=sliced.first(F.col(tick)))
+    missing = F.least(F.col(tick) - F.col("_first") + 1, F.lit(width)) - F.col("_have")
+    out = own.rows.withColumn("missing", missing)
+    return out.select(*log.columns, "missing", ((F.col("_known") + low * F.col("missing")) / width).alias("mean_low"), ((F.col("_known") + high * F.col("missing")) / width).alias("mean_high"))
 
 
-def dose_segments(log: DataFrame, key: str, tick: str, value: str) -> DataFrame:
-    """log with the number `segment` of the gapless run of ticks, `gap` (ticks missing before the row), and `inside`, the sum from its run's first row on."""
-    over = Window.partitionBy(key).orderBy(tick)
-    gap = F.coalesce(F.col(tick) - F.lag(tick).over(over) - 1, F.lit(0))
-    own = log.withColumn("gap", gap)
-    own = own.withColumn("segment", F.sum((F.col("gap") > 0).cast("int")).over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    return own.withColumn("inside", F.sum(value).over(Window.partitionBy(key, "segment").orderBy(tick).rowsBetween(Window.unboundedPreceding, 0)))
+def dose_segments(log: DataFrame, key: str, tick: str, value: str, *held: str, rows: int | None = None) -> Series:
+    """log with the number `segment` of the gapless run of ticks, `gap` (ticks missing before the row), `inside`, the sum from its run's first row on,
+    and for each column held its value at the run's first row, "<name>_first"."""
+    own = Series(log, key, [tick], rows).framed(1, gap=lambda w: F.coalesce(F.col(tick) - F.lag(tick).over(w) - 1, F.lit(0)), _new=lambda w: F.lag(tick).over(w).isNull() | (F.col(tick) - F.lag(tick).over(w) > 1))
+    own = own.running(segment=sliced.total((F.col("gap") > 0).cast("int")), _all=sliced.total(F.col(value)))
+    start = {f"{c}_first": sliced.last(F.when(F.col("_new"), F.col(c))) for c in held}
+    own = own.running(_before=sliced.last(F.when(F.col("_new"), F.col("_all") - F.col(value))), **start)
+    own = own.with_columns(inside=F.col("_all") - F.col("_before"))
+    return own.same(own.df.drop("_new", "_all", "_before"))
 
 
 def rolling_deviation(x: Column, over: WindowSpec, width: int) -> Column:
@@ -97,24 +98,21 @@ def rolling_deviation(x: Column, over: WindowSpec, width: int) -> Column:
     return F.when(F.count(x).over(frame) >= max(2, width // 2), F.stddev_samp(x).over(frame))
 
 
-def held(df: DataFrame, column: str, key: str, order: list[str], every: int, floor: float) -> DataFrame:
+def held(s: Series, column: str, every: int, floor: float) -> DataFrame:
     """column filled backwards, at least `floor`, and held for `every` rows each."""
-    over = series(key, *order)
-    filled = df.withColumn(column, F.greatest(F.first(column, ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing)), F.lit(floor))).withColumn("_i", F.floor((F.row_number().over(over) - 1) / every))
-    return filled.withColumn(column, F.first(column).over(Window.partitionBy(key, "_i").orderBy(*order))).drop("_i")
+    own = s.running(_filled=sliced.upcoming(F.col(column)), _i=sliced.number()).with_columns(_block=F.floor((F.col("_i") - 1) / every))
+    block = Window.partitionBy(s.key, "_block").orderBy("_i")
+    return own.rows.withColumn(column, F.first(F.greatest("_filled", F.lit(floor))).over(block)).drop("_filled", "_i", "_block")
 
 
-def episodes(df: DataFrame, key: str, start: str, end: str, apart: float) -> DataFrame:
+def episodes(df: DataFrame, key: str, start: str, end: str, apart: float, rows: int | None = None) -> DataFrame:
     """Intervals of a key less than `apart` from the end of all before them, merged: key, episode, start, end, n."""
-    over = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(over.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col(start) - reach >= apart), 1).otherwise(0)
-    own = df.withColumn("_new", new).withColumn("episode", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    return own.groupBy(key, "episode").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n"))
+    own = Series(df, key, [start, end], rows).running(_reach=sliced.highest(F.col(end))).framed(1, _reach_before=lambda w: F.lag("_reach").over(w))
+    new = F.when(F.col("_reach_before").isNull() | (F.col(start) - F.col("_reach_before") >= apart), 1).otherwise(0)
+    return own.running(episode=sliced.total(new)).rows.groupBy(key, "episode").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n"))
 
 
-def runs(df: DataFrame, key: str, state: str, order: list[str]) -> DataFrame:
+def runs(s: Series, state: str) -> DataFrame:
     """One row for each run of a state: key, run, state, first, last, n."""
-    over = series(key, *order)
-    own = df.withColumn("run", run_id(~F.col(state).eqNullSafe(F.lag(state).over(over)), over))
-    return own.groupBy(key, "run").agg(F.first(state).alias(state), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count(F.lit(1)).alias("n"))
+    time = s.order[0]
+    return run_id(s, "run", state).rows.groupBy(s.key, "run").agg(F.first(state).alias(state), F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("n"))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import physics
-from tidemark.operators import lookups, statistics, windows
+from tidemark.operators import lookups, sliced, statistics, windows
+from tidemark.operators.sliced import Series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,8 +35,9 @@ def six(x: Column) -> Column:
     return F.round(x, 6)
 
 
-def log() -> Window:
-    return windows.series("user_id", *ORDER)
+def log(e: DataFrame) -> Series:
+    """The devices' series."""
+    return Series(e, "user_id", ORDER)
 
 
 def scalar(name: str, column: Callable[[Column], Column], sql: str) -> None:
@@ -69,64 +71,66 @@ WITH m AS (SELECT event_id, user_id, ts, sum(value) OVER (PARTITION BY user_id O
 l AS (SELECT *, coalesce(last_value(CASE WHEN stel >= 40 THEN 1 WHEN stel < 30 THEN 0 END IGNORE NULLS) OVER {OVER}, 0) AS alarm FROM m)
 SELECT event_id, user_id, round(stel, 6) AS stel, alarm::INTEGER AS alarm FROM l""")
 def exposure_alarms(e: DataFrame) -> DataFrame:
-    m = e.withColumn("stel", windows.exposure_mean(F.col("value"), log(), 10))
-    return m.select("event_id", "user_id", six(F.col("stel")).alias("stel"), windows.latch(F.col("stel") >= 40, F.col("stel") < 30, log()).alias("alarm"))
+    m = log(e).framed(9, stel=lambda w: windows.exposure_mean(F.col("value"), w, 10))
+    return windows.latch(m, "alarm", F.col("stel") >= 40, F.col("stel") < 30).rows.select("event_id", "user_id", six(F.col("stel")).alias("stel"), "alarm")
 
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) * 10 / 28800, 8) AS twa FROM events")
 def cumulative_dose(e: DataFrame) -> DataFrame:
-    return e.select("event_id", F.round(windows.dose(F.col("value"), log(), 10, 28800), 8).alias("twa"))
+    return windows.dose(log(e), "twa", F.col("value"), 10, 28800).rows.select("event_id", F.round("twa", 8).alias("twa"))
 
 
 @query(f"SELECT event_id, round(coalesce((value - lag(value, 3) OVER {OVER}) / 30 * 60, 0), 6) AS rate FROM events")
 def rate_of_change(e: DataFrame) -> DataFrame:
-    return e.select("event_id", six(windows.rate_of_change(F.col("value"), log(), 3, 10, 60)).alias("rate"))
+    return log(e).framed(3, rate=lambda w: six(windows.rate_of_change(F.col("value"), w, 3, 10, 60))).rows.select("event_id", "rate")
 
 
 @query("""SELECT event_id, round(avg(value) OVER w, 6) AS mean, round(quantile_cont(value, 0.5) OVER w, 6) AS median FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)""")
 def centred_window(e: DataFrame) -> DataFrame:
-    w = windows.centred(10, log())
-    return e.select("event_id", six(F.avg("value").over(w)).alias("mean"), six(F.percentile("value", F.lit(0.5)).over(w)).alias("median"))
+    own = log(e).framed(5, 4, mean=lambda w: six(F.avg("value").over(windows.centred(10, w))), median=lambda w: six(F.percentile("value", F.lit(0.5)).over(windows.centred(10, w))))
+    return own.rows.select("event_id", "mean", "median")
 
 
 @query("""SELECT event_id, round(CASE WHEN count(value) OVER w >= 5 THEN stddev_samp(value) OVER w END, 5) AS sd FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 9 PRECEDING)""")
 def rolling_deviation(e: DataFrame) -> DataFrame:
-    w = log().rowsBetween(-9, 0)
-    return e.select("event_id", F.round(F.when(F.count("value").over(w) >= 5, F.stddev_samp("value").over(w)), 5).alias("sd"))
+    return log(e).framed(9, sd=lambda w: F.round(windows.rolling_deviation(F.col("value"), w, 10), 5)).rows.select("event_id", "sd")
 
 
 @query(f"SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS high, round(value - lag(value) OVER {OVER}, 6) AS diff FROM events")
 def running_maximum(e: DataFrame) -> DataFrame:
-    return e.select("event_id", F.max("value").over(log().rowsBetween(Window.unboundedPreceding, 0)).alias("high"), six(F.col("value") - F.lag("value").over(log())).alias("diff"))
+    own = log(e).running(high=sliced.highest(F.col("value"))).framed(1, diff=lambda w: six(F.col("value") - F.lag("value").over(w)))
+    return own.rows.select("event_id", "high", "diff")
 
 
 @query(f"""WITH c AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER {OVER} THEN 1 ELSE 0 END AS c FROM events),
 r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
 SELECT user_id, run::BIGINT AS run, min(event_type) AS event_type, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY user_id, run""")
 def state_runs(e: DataFrame) -> DataFrame:
-    return windows.runs(e, "user_id", "event_type", ORDER)
+    return windows.runs(log(e), "event_type")
 
 
 @query(f"""WITH c AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER {OVER} THEN 1 ELSE 0 END AS c FROM events),
 r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
 SELECT event_id, round(percent_rank() OVER (PARTITION BY user_id, run ORDER BY ts, event_id), 6) AS progress FROM r""")
 def run_progress(e: DataFrame) -> DataFrame:
-    own = e.withColumn("run", windows.run_id(~F.col("event_type").eqNullSafe(F.lag("event_type").over(log())), log()))
-    return own.select("event_id", six(F.percent_rank().over(Window.partitionBy("user_id", "run").orderBy(*ORDER))).alias("progress"))
+    own = windows.run_id(log(e), "run", "event_type").running(i=sliced.number()).framed(1, 1, starts=lambda w: ~F.col("run").eqNullSafe(F.lag("run").over(w)), ends=lambda w: ~F.col("run").eqNullSafe(F.lead("run").over(w)))
+    own = own.running(a=sliced.last(F.when(F.col("starts"), F.col("i"))), b=sliced.upcoming(F.when(F.col("ends"), F.col("i"))))
+    return own.rows.select("event_id", six(F.when(F.col("b") == F.col("a"), 0.0).otherwise((F.col("i") - F.col("a")) / (F.col("b") - F.col("a")))).alias("progress"))
 
 
 @query(f"SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER {OVER})) // 1000000 AS gap_s FROM events QUALIFY gap_s > 21600")
 def gaps(e: DataFrame) -> DataFrame:
-    g = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(log()).cast("timestamp"))) / 1000000)
-    return e.select("event_id", g.alias("gap_s")).where("gap_s > 21600")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = log(e).with_columns(us=micros).framed(1, gap_s=lambda w: F.floor((F.col("us") - F.lag("us").over(w)) / 1000000))
+    return own.rows.select("event_id", "gap_s").where("gap_s > 21600")
 
 
 @query(f"""SELECT event_id, (epoch_us(ts) - epoch_us(last_value(CASE WHEN value > 60 THEN ts END IGNORE NULLS) OVER {OVER})) // 1000000 AS still_s FROM events""")
 def time_since_movement(e: DataFrame) -> DataFrame:
-    last = F.last(F.when(F.col("value") > 60, F.col("ts")), ignorenulls=True).over(log().rowsBetween(Window.unboundedPreceding, 0))
-    return e.select("event_id", F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / 1000000).alias("still_s"))
+    own = log(e).with_columns(us=F.unix_micros(F.col("ts").cast("timestamp"))).running(last=sliced.last(F.when(F.col("value") > 60, F.col("us"))))
+    return own.rows.select("event_id", F.floor((F.col("us") - F.col("last")) / 1000000).alias("still_s"))
 
 
 @query("""WITH s AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY ALL)
@@ -215,7 +219,7 @@ def histogram(e: DataFrame) -> DataFrame:
 @query(f"""WITH p AS (SELECT event_type, value AS y, lag(value) OVER {OVER} AS x FROM events)
 SELECT event_type, round(corr(x, y), 5) AS r, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 4) AS intercept, round(regr_r2(y, x), 5) AS r2 FROM p GROUP BY event_type""")
 def lag_regression(e: DataFrame) -> DataFrame:
-    p = e.select("event_type", F.col("value").alias("y"), F.lag("value").over(log()).alias("x"))
+    p = log(e).framed(1, x=lambda w: F.lag("value").over(w)).rows.select("event_type", F.col("value").alias("y"), "x")
     return p.groupBy("event_type").agg(F.round(F.corr("x", "y"), 5).alias("r"), F.round(F.regr_slope("y", "x"), 5).alias("slope"), F.round(F.regr_intercept("y", "x"), 4).alias("intercept"), F.round(F.regr_r2("y", "x"), 5).alias("r2"))
 
 

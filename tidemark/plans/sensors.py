@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import physics, rotation, text
-from tidemark.operators import gates, lookups, motion, statistics, windows
+from tidemark.functions import physics, rotation, text, units
+from tidemark.operators import gates, lookups, motion, sliced, statistics, windows
+from tidemark.operators.sliced import Series
 from tidemark.plans.catalog import ORDER, OVER, QUERIES, log, query, scalar, six
 
 US = "epoch_us(ts)"
@@ -31,7 +32,7 @@ scalar("vapour_pressure", lambda e: physics.vapour_pressure(F.pmod(e.v, F.lit(40
 scalar("oxygen_left", lambda e: physics.oxygen(20.9, physics.foreign_fraction({"co": e.v * 10, "ch4": e.v / 5}, {"co": 25.0}, {"ch4": 4.4})), "20.9 * (1 - (greatest(v * 10 - 25, 0) * 1e-6 + greatest(v / 5, 0) / 100 * 4.4 / 100))")
 scalar("quantised_decimal", lambda e: physics.quantised(e.v - 25, 0.1, -20, 60), "least(greatest(round(round_even((v - 25) / 0.1, 0) * 0.1, 10) + 0.0, -20), 60)")
 scalar("raw_counts", lambda e: text.raw_counts(e.v, 0.25) * 100 + text.sample_bits(0, 500, 0.25), "round_even(v / 0.25, 0) * 100 + ceil(log2(500 / 0.25 + 1))")
-scalar("fahrenheit_output", lambda e: e.v * text.output_transform("°C", "degF")[0] + text.output_transform("°C", "degF")[1] + e.v * text.output_transform("°C/min", "F/min")[0], "v * 1.8 + 32 + v * 1.8")
+scalar("fahrenheit_output", lambda e: e.v * units.output_transform("°C", "degF")[0] + units.output_transform("°C", "degF")[1] + e.v * units.output_transform("°C/min", "F/min")[0], "v * 1.8 + 32 + v * 1.8")
 
 
 @query("""SELECT event_id, unit, round(value * CASE unit WHEN 'Pa' THEN 0.01 WHEN 'kPa' THEN 10 WHEN 'mbar' THEN 1 WHEN 'hPa' THEN 1 END, 8) AS hpa,
@@ -40,7 +41,7 @@ FROM (SELECT *, CASE event_type WHEN 'click' THEN 'Pa' WHEN 'view' THEN 'kPa' WH
 def unit_convert(e: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     own = e.withColumn("unit", F.when(kind == "click", "Pa").when(kind == "view", "kPa").when(kind == "purchase", "mbar").when(kind == "login", "hPa").otherwise("mg"))
-    return own.select("event_id", "unit", F.round(F.col("value") * text.unit_factor(F.col("unit"), "hPa"), 8).alias("hpa"), F.round(F.col("value") * text.compound_factor(F.concat("unit", F.lit("/month")), "hPa/day"), 8).alias("hpa_per_day"))
+    return own.select("event_id", "unit", F.round(F.col("value") * units.factor(F.col("unit"), "hPa"), 8).alias("hpa"), F.round(F.col("value") * units.factor(F.concat("unit", F.lit("/month")), "hPa/day"), 8).alias("hpa_per_day"))
 
 
 @query("""WITH s AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%H:%M:%S') WHEN 1 THEN strftime(ts, '%H:%M') WHEN 2 THEN round(value)::BIGINT || 'min' WHEN 3 THEN round(value)::BIGINT || ' h' ELSE 'soon' END AS s, ts, round(value)::BIGINT AS v FROM events),
@@ -101,14 +102,14 @@ def quat_canonical(e: DataFrame) -> DataFrame:
 @query(f"""WITH {Q_SQL}, f AS (SELECT *, CASE WHEN qw * lag(qw) OVER w + qx * lag(qx) OVER w + qy * lag(qy) OVER w + qz * lag(qz) OVER w < 0 THEN 1 ELSE 0 END AS f FROM q WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_id, round(qw * CASE WHEN sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) % 2 = 1 THEN -1 ELSE 1 END, 6) AS w FROM f""")
 def quat_unwrap(e: DataFrame) -> DataFrame:
-    own = oriented(e).withColumn("f", rotation.flips(F.col("q"), log()))
-    return own.select("event_id", six(F.col("q.w") * windows.unwrapped_sign(F.col("f"), log())).alias("w"))
+    own = log(oriented(e)).framed(1, f=lambda w: rotation.flips(F.col("q"), w))
+    return windows.unwrapped_sign(own, "sign", F.col("f")).rows.select("event_id", six(F.col("q.w") * F.col("sign")).alias("w"))
 
 
 @query(f"""WITH {Q_SQL} SELECT event_id, round(degrees(2 * acos(least(abs(qw * lag(qw) OVER w + qx * lag(qx) OVER w + qy * lag(qy) OVER w + qz * lag(qz) OVER w), 1))) / (t - lag(t) OVER w), 5) AS speed
 FROM q WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def angular_speed(e: DataFrame) -> DataFrame:
-    return oriented(e).select("event_id", F.round(rotation.angular_speed(F.col("q"), F.col("t"), log()), 5).alias("speed"))
+    return log(oriented(e)).framed(1, speed=lambda w: F.round(rotation.angular_speed(F.col("q"), F.col("t"), w), 5)).rows.select("event_id", "speed")
 
 
 # --- windows and state
@@ -117,8 +118,8 @@ def angular_speed(e: DataFrame) -> DataFrame:
 s AS (SELECT event_id, t - coalesce(last_value(CASE WHEN m THEN t END IGNORE NULLS) OVER {OVER}, first_value(t) OVER {OVER} - 60) AS still FROM m)
 SELECT event_id, still::BIGINT AS still, CASE WHEN still >= 90000 THEN 'alert' WHEN still >= 40000 THEN 'pre_alarm' ELSE 'ok' END AS state FROM s""")
 def stillness_timer(e: DataFrame) -> DataFrame:
-    own = e.withColumn("t", seconds()).withColumn("m", windows.moving([F.col("value")], log(), 4, 30.0))
-    own = own.withColumn("still", windows.since(F.col("m"), F.col("t"), log(), 60))
+    own = log(e).with_columns(t=seconds()).framed(3, m=lambda w: windows.moving([F.col("value")], w, 4, 30.0))
+    own = windows.since(own, "still", F.col("m"), F.col("t"), 60).rows
     return own.select("event_id", F.col("still").cast("long").alias("still"), windows.stillness(F.col("still"), 40000, 50000).alias("state"))
 
 
@@ -126,7 +127,8 @@ def stillness_timer(e: DataFrame) -> DataFrame:
 SELECT event_id, CASE WHEN last_value(m IGNORE NULLS) OVER {OVER} = 1 THEN 'LOW' ELSE 'fine' END AS low, max((value >= 120)::INTEGER) OVER {OVER} AS ever FROM m""")
 def alarm_chain(e: DataFrame) -> DataFrame:
     v = F.col("value")
-    return e.select("event_id", windows.threshold_alarm(v, 5, log(), above=False, hysteresis=3, on="LOW", off="fine").alias("low"), windows.threshold_alarm(v, 120, log(), latching=True).alias("ever"))
+    own = windows.threshold_alarm(log(e), "low", v, 5, above=False, hysteresis=3, on="LOW", off="fine")
+    return windows.threshold_alarm(own, "ever", v, 120, latching=True).rows.select("event_id", "low", "ever")
 
 
 @query(f"""WITH d0 AS (SELECT event_id, user_id, {US} // 1000000 AS t FROM events), i AS (SELECT user_id, t AS s, t + 10800 AS e FROM d0 JOIN events USING (event_id, user_id) WHERE event_type = 'login')
@@ -142,7 +144,7 @@ def state_flag(e: DataFrame) -> DataFrame:
 SELECT event_id, CASE WHEN last_value(m IGNORE NULLS) OVER {OVER} = 1 THEN 'exposed' ELSE 'normal' END AS mode FROM p""")
 def event_mode(e: DataFrame) -> DataFrame:
     """From an event's row until the reading is back below 20."""
-    return e.select("event_id", windows.latch(F.col("event_type") == "purchase", F.col("value") < 20, log(), on="exposed", off="normal").alias("mode"))
+    return windows.latch(log(e), "mode", F.col("event_type") == "purchase", F.col("value") < 20, on="exposed", off="normal").rows.select("event_id", "mode")
 
 
 @query(f"""WITH i AS (SELECT user_id, {US} // 1000000 AS s, {US} // 1000000 + 3600 AS e FROM events WHERE event_type = 'login'),
@@ -158,8 +160,8 @@ def merged_episodes(e: DataFrame) -> DataFrame:
 b AS (SELECT *, greatest(first_value(sd IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.5) AS g FROM m)
 SELECT event_id, round(first_value(g) OVER (PARTITION BY user_id, (i - 1) // 4 ORDER BY ts, event_id), 5) AS sd FROM b""")
 def held_deviation(e: DataFrame) -> DataFrame:
-    own = e.withColumn("sd", windows.rolling_deviation(F.col("value"), log(), 6))
-    return windows.held(own, "sd", "user_id", ORDER, 4, 1.5).select("event_id", F.round("sd", 5).alias("sd"))
+    own = log(e).framed(5, sd=lambda w: windows.rolling_deviation(F.col("value"), w, 6))
+    return windows.held(own, "sd", 4, 1.5).select("event_id", F.round("sd", 5).alias("sd"))
 
 
 # --- gaps and gates over the day log
@@ -215,8 +217,8 @@ SELECT user_id, 'stel_exact' AS "rule", count(*) FILTER (missing = 0 AND abs(y -
 UNION ALL SELECT user_id, 'stel_bounded', count(*) FILTER (missing > 0 AND (y < known / 5 - 0.005 - 1e-9 OR y > (known + 500 * missing) / 5 + 0.005 + 1e-9)) FROM r GROUP BY user_id""")
 def gate_stel(e: DataFrame) -> DataFrame:
     """The reported mean takes the last five rows, whatever their days, and is tampered with in places."""
-    y = windows.exposure_mean(F.col("v"), windows.series("user_id", "tick"), 5) + F.when((F.col("user_id") + F.col("tick")) % 17 == 0, 300.0).otherwise(0.0)
-    return gates.exposure(days(e).withColumn("y", y), "user_id", "tick", "v", "y", 5, 0.0, 500.0, 0.01)
+    own = Series(days(e), "user_id", ["tick"]).framed(4, y=lambda w: windows.exposure_mean(F.col("v"), w, 5) + F.when((F.col("user_id") + F.col("tick")) % 17 == 0, 300.0).otherwise(0.0))
+    return gates.exposure(own.rows, "user_id", "tick", "v", "y", 5, 0.0, 500.0, 0.01)
 
 
 TWA_SQL = f"""{DAY_SQL}, y AS (SELECT *, coalesce(tick - lag(tick) OVER w - 1, 0) AS gap, sum(v) OVER w * 0.1 + CASE WHEN (user_id + tick) % 19 = 0 THEN 5 ELSE 0 END AS y FROM d WINDOW w AS (PARTITION BY user_id ORDER BY tick)),
@@ -228,9 +230,9 @@ f AS (SELECT *, sum(v) OVER w AS inside, first_value(y) OVER w AS y0, first_valu
 SELECT user_id, 'twa_segment' AS "rule", count(*) FILTER (abs(y - CASE WHEN seg = 0 THEN inside * 0.1 ELSE y0 + (inside - v0) * 0.1 END) > CASE WHEN seg = 0 THEN 0.005 ELSE 0.01 END + 1e-9) AS violations FROM f GROUP BY user_id
 UNION ALL SELECT user_id, 'twa_jump', count(*) FILTER (gap > 0 AND (y - before < v * 0.1 - 0.01 - 1e-9 OR y - before > (v + 500 * gap) * 0.1 + 0.01 + 1e-9)) FROM f GROUP BY user_id""")
 def gate_twa(e: DataFrame) -> DataFrame:
-    over = windows.series("user_id", "tick")
-    y = windows.dose(F.col("v"), over, 0.1, 1) + F.when((F.col("user_id") + F.col("tick")) % 19 == 0, 5.0).otherwise(0.0)
-    return gates.dose(days(e).withColumn("y", y), "user_id", "tick", "v", "y", 0.1, 0.0, 500.0, 0.01)
+    own = windows.dose(Series(days(e), "user_id", ["tick"]), "y", F.col("v"), 0.1, 1)
+    own = own.with_columns(y=F.col("y") + F.when((F.col("user_id") + F.col("tick")) % 19 == 0, 5.0).otherwise(0.0))
+    return gates.dose(own.rows, "user_id", "tick", "v", "y", 0.1, 0.0, 500.0, 0.01)
 
 
 @query(f"""WITH m AS (SELECT user_id, value >= 80 AS a, {US} // 1000000 AS t, last_value(CASE WHEN event_type = 'purchase' THEN {US} // 1000000 END IGNORE NULLS) OVER {OVER} AS l FROM events)
@@ -306,7 +308,7 @@ d AS (SELECT event_type, sum(gap * width) FILTER (kind = 'v') AS wv, max(gap) FI
 o AS (SELECT event_type, side, row_number() OVER (PARTITION BY event_type, side ORDER BY ts, event_id) AS i, value - avg(value) OVER (PARTITION BY event_type, side) AS x, var_pop(value) OVER (PARTITION BY event_type, side) AS v, count(*) OVER (PARTITION BY event_type, side) AS n FROM s),
 a AS (SELECT l.event_type, l.side, r.i - l.i AS lag, sum(l.x * r.x) / (any_value(l.v) * any_value(l.n)) AS acf FROM o l JOIN o r ON l.event_type = r.event_type AND l.side = r.side AND r.i - l.i BETWEEN 0 AND 10 GROUP BY ALL),
 ad AS (SELECT event_type, avg(abs(e)) AS acf_diff, avg(e * e) AS acf_mse FROM (SELECT event_type, lag, max(acf) FILTER (side = 0) - max(acf) FILTER (side = 1) AS e FROM a GROUP BY ALL) GROUP BY 1)
-SELECT event_type, round(wv / r, 5) AS w_value, round(ks, 6) AS ks, round(1.36 * sqrt(2.0 / n), 6) AS ks_critical, round(ws / sr, 5) AS w_step, round(acf_diff, 5) AS acf_diff, round(acf_mse, 6) AS acf_mse, CASE WHEN ks < 0.02 THEN 'GOOD' WHEN ks < 0.1 THEN 'OK' ELSE 'POOR' END AS verdict
+SELECT event_type, round(wv / r, 5) AS w_value, round(ks, 6) AS ks, round(least(1, greatest(0, CASE WHEN ks = 0 THEN 1 ELSE list_sum(list_transform(range(1, 400), lambda k: (CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END) * exp(-2 * k * k * ks * ks * n / 2.0))) END)), 6) AS ks_p, round(1.36 * sqrt(2.0 / n), 6) AS ks_critical, round(ws / sr, 5) AS w_step, round(acf_diff, 5) AS acf_diff, round(acf_mse, 6) AS acf_mse, CASE WHEN ks < 0.02 THEN 'GOOD' WHEN ks < 0.1 THEN 'OK' ELSE 'POOR' END AS verdict
 FROM sp JOIN d USING (event_type) JOIN ad USING (event_type)"""
 
 
@@ -317,7 +319,7 @@ def agg_similarity_row(e: DataFrame) -> DataFrame:
 
 def similar(e: DataFrame, side: Column) -> DataFrame:
     s = statistics.similarity(e.withColumn("side", side), "event_type", "value", "side", ORDER)
-    return s.select("event_type", F.round("w_value", 5).alias("w_value"), six(F.col("ks")).alias("ks"), six(F.col("ks_critical")).alias("ks_critical"), F.round("w_step", 5).alias("w_step"), F.round("acf_diff", 5).alias("acf_diff"), six(F.col("acf_mse")).alias("acf_mse"), statistics.verdict(F.col("ks"), 0.02, 0.1).alias("verdict"))
+    return s.select("event_type", F.round("w_value", 5).alias("w_value"), six(F.col("ks")).alias("ks"), six(F.col("ks_p")).alias("ks_p"), six(F.col("ks_critical")).alias("ks_critical"), F.round("w_step", 5).alias("w_step"), F.round("acf_diff", 5).alias("acf_diff"), six(F.col("acf_mse")).alias("acf_mse"), statistics.verdict(F.col("ks"), 0.02, 0.1).alias("verdict"))
 
 
 @query(SIMILARITY_SQL.replace("{side}", "(epoch_us(ts) // 600000000) % 2"))
@@ -357,7 +359,7 @@ def direction_spread(e: DataFrame) -> DataFrame:
 @query(f"""WITH p AS (SELECT event_type, value AS y, lag(value) OVER {OVER} AS x, (event_type = lag(event_type) OVER {OVER})::INTEGER AS same, user_id FROM events)
 SELECT user_id, CASE WHEN count(x) >= 10 THEN round(corr(x, y), 5) END AS r, round(avg(same), 6) AS sticky FROM p GROUP BY user_id""")
 def agg_sticky(e: DataFrame) -> DataFrame:
-    p = e.select("user_id", F.col("value").alias("y"), F.lag("value").over(log()).alias("x"), (F.col("event_type") == F.lag("event_type").over(log())).cast("int").alias("same"))
+    p = log(e).framed(1, x=lambda w: F.lag("value").over(w), same=lambda w: (F.col("event_type") == F.lag("event_type").over(w)).cast("int")).rows.withColumn("y", F.col("value"))
     return p.groupBy("user_id").agg(F.round(statistics.correlation("x", "y"), 5).alias("r"), six(F.avg("same")).alias("sticky"))
 
 
@@ -370,10 +372,11 @@ def agg_mode_bin(e: DataFrame) -> DataFrame:
 
 @query("""WITH q AS (SELECT event_type, quantile_cont(value, list_transform(range(10, 90, 2), lambda p: p / 100.0)) AS ts FROM events GROUP BY 1),
 t AS (SELECT event_type, unnest(range(10, 90, 2)) AS p, unnest(ts) AS t FROM q),
-w AS (SELECT event_type, p, t, (SELECT count(*) FILTER (value < t) * var_pop(value) FILTER (value < t) + count(*) FILTER (value >= t) * var_pop(value) FILTER (value >= t) FROM events e WHERE e.event_type = t.event_type) AS within FROM t)
-SELECT event_type, p::INTEGER AS percentile, round(t, 6) AS threshold FROM w WHERE within IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY within, p) = 1""")
+w AS (SELECT t.event_type, p, t, count(*) FILTER (value <= t) * var_pop(value) FILTER (value <= t) + count(*) FILTER (value > t) * var_pop(value) FILTER (value > t) AS within, avg(value) FILTER (value <= t) AS low, avg(value) FILTER (value > t) AS high
+  FROM t JOIN events e ON e.event_type = t.event_type GROUP BY ALL HAVING count(*) FILTER (value <= t) >= 10 AND count(*) FILTER (value > t) >= 10)
+SELECT event_type, p::INTEGER AS percentile, round(t, 6) AS threshold, round(low, 5) AS low_mean, round(high, 5) AS high_mean FROM w QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY within, p) = 1""")
 def agg_otsu(e: DataFrame) -> DataFrame:
-    return statistics.otsu(e, "event_type", "value").withColumn("threshold", six(F.col("threshold")))
+    return statistics.otsu(e, "event_type", "value").select("event_type", "percentile", six(F.col("threshold")).alias("threshold"), F.round("low_mean", 5).alias("low_mean"), F.round("high_mean", 5).alias("high_mean"))
 
 
 @query(f"""WITH r AS (SELECT event_type, user_id, value, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER {OVER} THEN 1 ELSE 0 END AS c FROM events)),
@@ -381,7 +384,7 @@ s AS (SELECT event_type, user_id, run, avg(value) AS m, var_pop(value) AS v, cou
 SELECT event_type, count(*) AS segments, round(sum(m * n) / sum(n), 6) AS mean, round(avg(v), 4) AS within, round(var_pop(m), 4) AS "between" FROM s GROUP BY event_type""")
 def fit_by_label(e: DataFrame) -> DataFrame:
     """Per label: its segments, mean, and the variance within and between segments."""
-    own = e.withColumn("run", windows.run_id(~F.col("event_type").eqNullSafe(F.lag("event_type").over(log())), log()))
+    own = windows.run_id(log(e), "run", "event_type").rows
     s = own.groupBy("event_type", "user_id", "run").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.count(F.lit(1)).alias("n"))
     return s.groupBy("event_type").agg(F.count(F.lit(1)).alias("segments"), six(F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean"), F.round(F.avg("v"), 4).alias("within"), F.round(F.var_pop("m"), 4).alias("between"))
 
@@ -403,9 +406,8 @@ SELECT event_id, half::BIGINT AS half, (u < 2147483648) AS chosen, (i % 4 = 1) A
 def splits_and_strides(e: DataFrame) -> DataFrame:
     """A span of time: odd and even blocks of ten minutes, a seeded half, every fourth row, rows above all before."""
     u = F.conv(F.substring(F.md5(F.concat(F.lit("3/split/"), F.col("event_id").cast("string"))), 1, 8), 16, 10).cast("long")
-    before = log().rowsBetween(Window.unboundedPreceding, -1)
-    own = e.select("event_id", "ts", (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600000000) % 2).alias("half"), (u < 2147483648).alias("chosen"), (F.row_number().over(log()) % 4 == 1).alias("strided"), F.coalesce(F.col("value") > F.max("value").over(before), F.lit(True)).alias("record"))
-    return own.where("ts >= '2024-01-05' AND ts < '2024-01-20'").drop("ts")
+    own = log(e).running(i=sliced.number(), high=sliced.highest(F.col("value"))).framed(1, before=lambda w: F.lag("high").over(w)).rows.where("ts >= '2024-01-05' AND ts < '2024-01-20'")
+    return own.select("event_id", (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600000000) % 2).alias("half"), (u < 2147483648).alias("chosen"), (F.col("i") % 4 == 1).alias("strided"), F.coalesce(F.col("value") > F.col("before"), F.lit(True)).alias("record"))
 
 
 @query("""SELECT user_id, event_id, value, k::INTEGER AS k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(value - 40), event_id) AS k FROM events) WHERE k <= 3""")
@@ -442,8 +444,7 @@ def orientation_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fall_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Falls of devices: a reading of 80 is a spike, the change of the reading their tilt. No SQL: a fall ends before the next is looked for."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    tilt = F.abs(F.col("value") - F.lag("value").over(windows.series("user_id", "event_id")))
-    own = e.withColumn("tilt", F.coalesce(tilt, F.lit(0.0)))
+    own = Series(e, "user_id", ["event_id"]).framed(1, tilt=lambda w: F.coalesce(F.abs(F.col("value") - F.lag("value").over(w)), F.lit(0.0))).rows
     return motion.falls(own, "user_id", "event_id", F.col("value") >= 80, F.col("tilt"), 4, 2, 40.0)
 
 
