@@ -22,7 +22,7 @@ HELPERS = ("_slice", "_long")
 class Fold:
     """What is known at a row from all rows up to it (backwards: from it on)."""
 
-    inside: Callable[[WindowSpec], Column]  # over the rows of one slice up to this one
+    inside: Callable[[WindowSpec], Column]  # over the rows of one slice up to this one; backwards: from its end down to this one
     across: Callable[[Column, WindowSpec], Column]  # of slices' results, over the slices before this one
     both: Callable[[Column, Column], Column]  # what came before, and inside
     backwards: bool = False
@@ -62,7 +62,7 @@ def last(x: Column) -> Fold:
 
 def upcoming(x: Column) -> Fold:
     """The first value from here on that isn't null."""
-    return Fold(lambda w: F.first(x, ignorenulls=True).over(w), lambda c, w: F.first(c, ignorenulls=True).over(w), lambda a, b: F.coalesce(b, a), backwards=True)
+    return Fold(lambda w: F.last(x, ignorenulls=True).over(w), lambda c, w: F.first(c, ignorenulls=True).over(w), lambda a, b: F.coalesce(b, a), backwards=True)
 
 
 class Series:
@@ -105,8 +105,8 @@ class Series:
     def with_columns(self, **columns: Column) -> Series:
         return self.same(self.df.withColumns(columns))
 
-    def window(self, *also: str) -> WindowSpec:
-        return Window.partitionBy(self.key, *also).orderBy(*self.order)
+    def window(self, *also: str, backwards: bool = False) -> WindowSpec:
+        return Window.partitionBy(self.key, *also).orderBy(*(F.desc(c) if backwards else F.asc(c) for c in self.order))
 
     def others(self, new: dict) -> list[str]:
         """The columns that new ones don't replace."""
@@ -114,9 +114,11 @@ class Series:
 
     def running(self, **folds: Fold) -> Series:
         """With a column for each fold."""
-        w = self.window("_slice") if self.is_cut else self.window()
-        so_far, onward = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-        inside = {n: f.inside(onward if f.backwards else so_far) for n, f in folds.items()}
+        within = ["_slice"] if self.is_cut else []
+        w = self.window(*within)
+        # A frame up to the last row would be summed anew for each row; in reverse order it is a running one.
+        so_far = [x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, self.window(*within, backwards=True))]
+        inside = {n: f.inside(so_far[f.backwards]) for n, f in folds.items()}
         if not self.is_cut:
             return self.same(self.df.select(*self.others(folds), *(c.alias(n) for n, c in inside.items())))
         here = [c.alias(f"_slice_{n}") for n, c in inside.items()]

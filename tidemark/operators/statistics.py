@@ -151,17 +151,20 @@ def otsu(df: DataFrame, key: str, value: str, shares: list[int] | None = None, l
     whole = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.avg(value).alias("_mean"))
     centred = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_w")).join(whole, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_y", F.col(value) - F.col("_mean"))
     ranked = running_counts(centred, key, value, {"n": F.sum("_w"), "s": F.sum(x * F.col("_w")), "q": F.sum(x * x * F.col("_w"))}, rows)
-    at = lambda p: F.lit(p / 100) * (F.col("n_all") - 1)
-    here = F.struct(F.col(value).alias("v"), F.col("n_upto").alias("n"), F.col("s_upto").alias("s"), F.col("q_upto").alias("q"))
-    found = ranked.groupBy(key).agg(F.first("n_all").alias("_n"), F.max(F.struct(value, F.col("s_upto").alias("s"), F.col("q_upto").alias("q"))).alias("_all"), *(c for p in shares for c in (F.min(F.when(F.col("n_upto") > F.floor(at(p)), here)).alias(f"_{p}_a"), F.min(F.when(F.col("n_upto") > F.ceil(at(p)), here)).alias(f"_{p}_b"), F.first(at(p) - F.floor(at(p))).alias(f"_{p}_s"))))
-    tries = []
-    for p in shares:
-        a, b = F.col(f"_{p}_a"), F.col(f"_{p}_b")
-        t = F.when(a["v"] == b["v"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * F.col(f"_{p}_s"))
-        n, s, q = (F.when(t >= b["v"], b[c]).otherwise(a[c]) for c in "nsq")
-        m, r, u = F.col("_n") - n, F.col("_all.s") - s, F.col("_all.q") - q
-        tries.append(F.when((n >= least) & (m >= least), F.struct((q - s * s / n + u - r * r / m).alias("within"), F.lit(p).alias("p"), t.alias("t"), (s / n).alias("low"), (r / m).alias("high"))))
-    best = found.select(key, F.array_min(F.filter(F.array(*tries), lambda x: x.isNotNull())).alias("_best")).where("_best is not null").join(whole, F.col(key).eqNullSafe(F.col("_key")))
+    # Each percentile lies between two ranks: the rows that hold them, a few of each key, have all that is needed of the values up to them.
+    rank = lambda p, side: (F.floor if side == "a" else F.ceil)(p / 100 * (F.col("n_all") - 1))
+    held = lambda side: F.transform(F.filter(F.array(*map(F.lit, shares)), lambda p: (rank(p, side) >= F.col("n_upto") - F.col("n")) & (rank(p, side) < F.col("n_upto"))), lambda p: F.struct(p.alias("p"), F.lit(side).alias("side")))
+    ends = ranked.groupBy(F.col(key).alias("_key")).agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.sum("q").alias("_q"))
+    hits = ranked.select(key, F.col(value).alias("v"), "n_upto", "s_upto", "q_upto", "n_all", F.inline(F.concat(held("a"), held("b"))))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{c}_{side}")
+    tried = hits.groupBy(key, "p").agg(*(of(side, c) for side in "ab" for c in ("v", "n_upto", "s_upto", "q_upto")), F.first("n_all").alias("_all"))
+    share = F.col("p") / 100 * (F.col("_all") - 1)
+    t = F.when(F.col("v_a") == F.col("v_b"), F.col("v_a")).otherwise(F.col("v_a") + (F.col("v_b") - F.col("v_a")) * (share - F.floor(share)))
+    tried = tried.join(ends, F.col(key).eqNullSafe(F.col("_key"))).select(key, "p", t.alias("t"), *(F.when(t >= F.col("v_b"), F.col(f"{c}_upto_b")).otherwise(F.col(f"{c}_upto_a")).alias(c) for c in "nsq"), "_n", "_s", "_q")
+    m, r, u = F.col("_n") - F.col("n"), F.col("_s") - F.col("s"), F.col("_q") - F.col("q")
+    within = F.col("q") - F.col("s") * F.col("s") / F.col("n") + u - r * r / m
+    sound = tried.where((F.col("n") >= least) & (m >= least)).select(key, F.struct(within.alias("within"), "p", "t", (F.col("s") / F.col("n")).alias("low"), (r / m).alias("high")).alias("_try"))
+    best = sound.groupBy(key).agg(F.min("_try").alias("_best")).join(whole, F.col(key).eqNullSafe(F.col("_key")))
     return best.select(key, F.col("_best.p").alias("percentile"), F.col("_best.t").alias("threshold"), (F.col("_best.low") + F.col("_mean")).alias("low_mean"), (F.col("_best.high") + F.col("_mean")).alias("high_mean"))
 
 
