@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemark.plans import catalog, sensors  # noqa: F401
+from tidemark.plans import catalog, recordings, sensors  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

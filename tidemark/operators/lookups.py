@@ -21,6 +21,12 @@ def as_of(queries: DataFrame, samples: DataFrame, key: str, time: str, value: st
     return found.withColumn(value, F.coalesce("_held", "_next") if clip else F.col("_held")).drop("_value", "_query", "_held", "_next")
 
 
+def following(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str, rows: int | None = None) -> DataFrame:
+    """queries with the value of the first sample strictly after each time, or null."""
+    both = queries.withColumn("_query", F.lit(1)).unionByName(samples.select(key, time, F.col(value).alias("_value"), F.lit(0).alias("_query")), allowMissingColumns=True)
+    return Series(both, key, [time, "_query", "_value"], rows).running(_next=sliced.upcoming(F.col("_value"))).rows.where("_query = 1").withColumn(value, F.col("_next")).drop("_value", "_query", "_next")
+
+
 def neighbours(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str, rows: int) -> DataFrame:
     """queries with the samples (t, v) at or before each time, `_a`, and at or after it, `_b`."""
     known = samples.select(key, time, F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("_at"))

@@ -52,7 +52,7 @@ def mad(df: DataFrame, key: str, value: str, rows: int | None = None) -> DataFra
 def distances(df: DataFrame, key: str, value: str, side: str, rows: int | None = None) -> DataFrame:
     """Kolmogorov-Smirnov and Wasserstein distances of the two sides (0 and 1) of each key."""
     ranked = running_counts(df, key, value, {f"n{s}": F.count(F.when(F.col(side) == s, 1)) for s in (0, 1)}, rows)
-    gap = F.abs(F.col("n0_upto") / F.col("n0_all") - F.col("n1_upto") / F.col("n1_all"))
+    gap = F.abs(F.col("n0_upto") / F.nullif(F.col("n0_all"), F.lit(0)) - F.col("n1_upto") / F.nullif(F.col("n1_all"), F.lit(0)))
     return ranked.groupBy(key).agg(F.max(gap).alias("ks"), F.sum(gap * (F.col("next_value") - F.col(value))).alias("wasserstein"))
 
 
@@ -87,7 +87,7 @@ def similarity(df: DataFrame, key: str, value: str, side: str, order: list[str],
     long = steps.select(key, side, F.inline(kinds)).select(F.struct(key, "kind").alias("_k"), "x", side)
     at = lambda kind, s: F.when((F.col("_k.kind") == kind) & (F.col(f"n{s}") > 0), F.col("x"))
     ranked = running_counts(long, "_k", "x", {f"n{s}": F.count(F.when(F.col(side) == s, 1)) for s in (0, 1)}, rows)
-    gap = F.abs(F.col("n0_upto") / F.col("n0_all") - F.col("n1_upto") / F.col("n1_all"))
+    gap = F.abs(F.col("n0_upto") / F.nullif(F.col("n0_all"), F.lit(0)) - F.col("n1_upto") / F.nullif(F.col("n1_all"), F.lit(0)))
     of = lambda kind, c: F.when(F.col("_k.kind") == kind, c)
     area = gap * (F.col("next_value") - F.col("x"))
     spans = {"_range": ("v", F.max(at("v", 0)) - F.min(at("v", 0))), "_srange": ("s", F.max(at("s", 0)) - F.min(at("s", 0)))}
