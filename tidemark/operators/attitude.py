@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rotation
 from tidemark.operators import lookups, physical, sliced, statistics, windows
 from tidemark.operators.sliced import Series
+from tidemark.operators.staging import settled
 
 # Share of its 95th percentile from which a sensor turns; seconds and degrees of episodes that count.
 TURNING, MERGE_S, LEAST_S, LEAST_DEGREES = 0.2, 1.0, 1.0, 1.0
@@ -122,12 +123,13 @@ def counter_rotation(yaws: DataFrame, pairs: DataFrame, key: str, hertz: float =
     """
     x, y = yaws.select(F.col(key).alias("a"), F.col("tick"), F.col("rate").alias("wa")), yaws.select(F.col(key).alias("b"), "tick", F.col("rate").alias("wb"))
     met = pairs.select("a", "b").join(x, "a").join(y, ["b", "tick"])
-    own = met.select(F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string")).alias("_pair"), "a", "b", "tick", "wa", "wb")
+    own = settled(met.select(F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string")).alias("_pair"), "a", "b", "tick", "wa", "wb"))
     level = lambda c, n: statistics.quantiles(own.select("_pair", F.abs(c).alias("_r")), "_pair", "_r", {n: 0.95}, rows)
     limits = level("wa", "_la").join(level("wb", "_lb"), "_pair").select("_pair", (TURNING * F.col("_la")).alias("_la"), (TURNING * F.col("_lb")).alias("_lb"))
     on = lambda s: F.abs(f"w{s}") > F.col(f"_l{s}")
     turning = own.join(limits, "_pair").withColumn("_both", on("a") & on("b")).withColumn("_any", on("a") | on("b")).drop("_la", "_lb")
     s = Series(turning, "_pair", ["tick"], rows).running(i=sliced.number(), _ca=sliced.total(F.col("wa")), _cb=sliced.total(F.col("wb")))
+    s = s.same(settled(s.df))
     opposite = F.signum("wa") != F.signum("wb")
     senses = s.rows.groupBy("_pair", "a", "b").agg((100 * F.count(F.when(F.col("_both") & opposite, 1)) / F.nullif(F.count(F.when(F.col("_both"), 1)), F.lit(0))).alias("per_sample_pct"))
     marked = windows.run_id(s, "_run", "_any").rows.where("_any")

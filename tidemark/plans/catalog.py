@@ -230,9 +230,9 @@ def seeded_sample(e: DataFrame) -> DataFrame:
 
 
 @query("""SELECT user_id, count(*) AS rows, count(*) FILTER (value < 0 OR value > 500) AS out_of_range, count(*) FILTER (abs(value / 0.01 - round_even(value / 0.01, 0)) > 1e-6 * greatest(1, abs(value / 0.01))) AS off_grid,
-count(*) FILTER (event_type NOT IN ('click', 'view', 'purchase', 'login', 'logout')) AS unknown_state FROM events GROUP BY user_id""")
+count(*) FILTER (event_type NOT IN ('click', 'view', 'purchase', 'signup', 'error')) AS unknown_state FROM events GROUP BY user_id""")
 def reading_gate(e: DataFrame) -> DataFrame:
     q = F.col("value") / 0.01
     bad = lambda c: F.count(F.when(c, 1))
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"), bad((F.col("value") < 0) | (F.col("value") > 500)).alias("out_of_range"), bad(F.abs(q - F.rint(q)) > 1e-6 * F.greatest(F.lit(1.0), F.abs(q))).alias("off_grid"),
-        bad(~F.col("event_type").isin("click", "view", "purchase", "login", "logout")).alias("unknown_state"))
+        bad(~F.col("event_type").isin("click", "view", "purchase", "signup", "error")).alias("unknown_state"))

@@ -169,7 +169,7 @@ def registered(f):  # noqa: ANN001, ANN201
 def fit_rhythm(e: DataFrame) -> DataFrame:
     """Rhythm of the readings of each kind of event. No SQL: medians are trimmed in rounds."""
     own = e.select("event_type", "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("t"), "value")
-    return rhythm.rhythm(own, "event_type", ["t", "event_id"], "value", 8, 9, least_ratio=1.0)
+    return rhythm.rhythm(own, "event_type", ["t", "event_id"], "value", 8, 9, least_ratio=1.0, most_apart=1000.0)
 
 
 @registered
@@ -187,7 +187,7 @@ def counter_rotation(e: DataFrame) -> DataFrame:
     """Neighbouring kinds of event as sensors on an hourly grid: how often they turn against each other. No SQL: orientations are interpolated on the sphere."""
     own = oriented(e).join(e.select("event_id", "event_type"), "event_id")
     yaws = attitude.yaw_rates(own, "event_type", "t", "q", hertz=1 / 3600)
-    pairs = e.sparkSession.createDataFrame([("click", "view"), ("view", "purchase"), ("purchase", "login"), ("login", "logout")], "a string, b string")
+    pairs = e.sparkSession.createDataFrame([("click", "view"), ("view", "purchase"), ("purchase", "signup"), ("signup", "error")], "a string, b string")
     return attitude.counter_rotation(yaws, pairs, "event_type", hertz=1 / 3600, merge=3600, least=3600)
 
 

@@ -37,10 +37,10 @@ scalar("fahrenheit_output", lambda e: e.v * units.output_transform("°C", "degF"
 
 @query("""SELECT event_id, unit, round(value * CASE unit WHEN 'Pa' THEN 0.01 WHEN 'kPa' THEN 10 WHEN 'mbar' THEN 1 WHEN 'hPa' THEN 1 END, 8) AS hpa,
   round(value * CASE unit WHEN 'Pa' THEN 0.01 WHEN 'kPa' THEN 10 WHEN 'mbar' THEN 1 WHEN 'hPa' THEN 1 END * 24.0 / 730.0, 8) AS hpa_per_day
-FROM (SELECT *, CASE event_type WHEN 'click' THEN 'Pa' WHEN 'view' THEN 'kPa' WHEN 'purchase' THEN 'mbar' WHEN 'login' THEN 'hPa' ELSE 'mg' END AS unit FROM events)""")
+FROM (SELECT *, CASE event_type WHEN 'click' THEN 'Pa' WHEN 'view' THEN 'kPa' WHEN 'purchase' THEN 'mbar' WHEN 'signup' THEN 'hPa' ELSE 'mg' END AS unit FROM events)""")
 def unit_convert(e: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    own = e.withColumn("unit", F.when(kind == "click", "Pa").when(kind == "view", "kPa").when(kind == "purchase", "mbar").when(kind == "login", "hPa").otherwise("mg"))
+    own = e.withColumn("unit", F.when(kind == "click", "Pa").when(kind == "view", "kPa").when(kind == "purchase", "mbar").when(kind == "signup", "hPa").otherwise("mg"))
     return own.select("event_id", "unit", F.round(F.col("value") * units.factor(F.col("unit"), "hPa"), 8).alias("hpa"), F.round(F.col("value") * units.factor(F.concat("unit", F.lit("/month")), "hPa/day"), 8).alias("hpa_per_day"))
 
 
@@ -55,11 +55,11 @@ def times_parsed(e: DataFrame) -> DataFrame:
     return own.select("event_id", "t", F.when(F.col("t").isNotNull(), text.hms(F.col("t"))).alias("hms"), text.iso_utc(F.col("ts")).alias("utc"))
 
 
-@query("""SELECT event_id, trim(regexp_replace(lower(event_type || ' / Temp ' || props), '[^a-z0-9]+', '_', 'g'), '_') AS slug, CASE WHEN event_type = 'login' THEN 'humidity' WHEN event_type = 'view' THEN 'magnetic' WHEN event_type = 'click' THEN 'temperature' ELSE 'other' END AS category,
+@query("""SELECT event_id, trim(regexp_replace(lower(event_type || ' / Temp ' || props), '[^a-z0-9]+', '_', 'g'), '_') AS slug, CASE WHEN event_type = 'signup' THEN 'humidity' WHEN event_type = 'view' THEN 'magnetic' WHEN event_type = 'click' THEN 'temperature' ELSE 'other' END AS category,
   (event_id % 2 = 0) AS iso, (props->>'$.k')::INTEGER AS k FROM events""")
 def names_and_json(e: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    column = F.when(kind == "login", "Rel_HUMidity").when(kind == "view", "mag_x").when(kind == "click", "temperature_mag").otherwise("gps")
+    column = F.when(kind == "signup", "Rel_HUMidity").when(kind == "view", "mag_x").when(kind == "click", "temperature_mag").otherwise("gps")
     stamp = F.when(F.col("event_id") % 2 == 0, text.iso_utc(F.col("ts"))).otherwise(F.col("ts").cast("string"))
     return e.select("event_id", text.slug(F.concat(kind, F.lit(" / Temp "), "props")).alias("slug"), text.category(column).alias("category"), text.is_iso_utc(stamp).alias("iso"), F.get_json_object("props", "$.k").cast("int").alias("k"))
 
@@ -131,11 +131,11 @@ def alarm_chain(e: DataFrame) -> DataFrame:
     return windows.threshold_alarm(own, "ever", v, 120, latching=True).rows.select("event_id", "low", "ever")
 
 
-@query(f"""WITH d0 AS (SELECT event_id, user_id, {US} // 1000000 AS t FROM events), i AS (SELECT user_id, t AS s, t + 10800 AS e FROM d0 JOIN events USING (event_id, user_id) WHERE event_type = 'login')
+@query(f"""WITH d0 AS (SELECT event_id, user_id, {US} // 1000000 AS t FROM events), i AS (SELECT user_id, t AS s, t + 10800 AS e FROM d0 JOIN events USING (event_id, user_id) WHERE event_type = 'signup')
 SELECT event_id, EXISTS (SELECT 1 FROM i WHERE i.user_id = d0.user_id AND t >= s AND t < e)::INTEGER AS flag FROM d0""")
 def state_flag(e: DataFrame) -> DataFrame:
     p = e.select("event_id", "user_id", seconds().alias("t"), "event_type")
-    i = p.where("event_type = 'login'").select("user_id", F.col("t").alias("s"), (F.col("t") + 10800).alias("e"))
+    i = p.where("event_type = 'signup'").select("user_id", F.col("t").alias("s"), (F.col("t") + 10800).alias("e"))
     clear = lookups.outside(p, i, "user_id", "t", "s", "e", 10800).select("event_id", F.lit(1).alias("clear"))
     return p.join(clear, "event_id", "left").select("event_id", F.when(F.col("clear").isNull(), 1).otherwise(0).alias("flag"))
 
@@ -147,12 +147,12 @@ def event_mode(e: DataFrame) -> DataFrame:
     return windows.latch(log(e), "mode", F.col("event_type") == "purchase", F.col("value") < 20, on="exposed", off="normal").rows.select("event_id", "mode")
 
 
-@query(f"""WITH i AS (SELECT user_id, {US} // 1000000 AS s, {US} // 1000000 + 3600 AS e FROM events WHERE event_type = 'login'),
+@query(f"""WITH i AS (SELECT user_id, {US} // 1000000 AS s, {US} // 1000000 + 3600 AS e FROM events WHERE event_type = 'signup'),
 m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
 n AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach >= 7200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS episode FROM m)
 SELECT user_id, episode::BIGINT AS episode, min(s)::BIGINT AS s, max(e)::BIGINT AS e, count(*) AS n FROM n GROUP BY user_id, episode""")
 def merged_episodes(e: DataFrame) -> DataFrame:
-    i = e.where("event_type = 'login'").select("user_id", seconds().alias("s"), (seconds() + 3600).alias("e"))
+    i = e.where("event_type = 'signup'").select("user_id", seconds().alias("s"), (seconds() + 3600).alias("e"))
     return windows.episodes(i, "user_id", "s", "e", 7200)
 
 
@@ -175,22 +175,22 @@ def win_gap_bounds(e: DataFrame) -> DataFrame:
     return b.select("user_id", "tick", "missing", six(F.col("mean_low")).alias("low"), six(F.col("mean_high")).alias("high"))
 
 
-@query(f"""WITH p AS (SELECT event_id, user_id, event_type, {US} // 1000000 AS t FROM events), g AS (SELECT user_id, t + 1 AS s, t + 7200 AS e FROM p WHERE event_type = 'logout')
+@query(f"""WITH p AS (SELECT event_id, user_id, event_type, {US} // 1000000 AS t FROM events), g AS (SELECT user_id, t + 1 AS s, t + 7200 AS e FROM p WHERE event_type = 'error')
 SELECT event_id, user_id, t::BIGINT AS t FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.user_id = p.user_id AND t >= s AND t < e)""")
 def filter_gap(e: DataFrame) -> DataFrame:
     p = e.select("event_id", "user_id", "event_type", seconds().alias("t"))
-    g = p.where("event_type = 'logout'").select("user_id", (F.col("t") + 1).alias("s"), (F.col("t") + 7200).alias("e"))
+    g = p.where("event_type = 'error'").select("user_id", (F.col("t") + 1).alias("s"), (F.col("t") + 7200).alias("e"))
     return lookups.outside(p, g, "user_id", "t", "s", "e", 7200).select("event_id", "user_id", "t")
 
 
-@query("""WITH b AS (SELECT user_id, count(*) FILTER (NOT (value >= 0 - 1e-9 AND value <= 200 + 1e-9)) AS range, count(*) FILTER (NOT (abs(value / 0.05 - round_even(value / 0.05, 0)) < 1e-6 + 1e-9 * abs(value / 0.05) OR value = 0 OR value = 200)) AS resolution, count(*) FILTER (event_type NOT IN ('click', 'view', 'login', 'logout')) AS states FROM events GROUP BY user_id)
+@query("""WITH b AS (SELECT user_id, count(*) FILTER (NOT (value >= 0 - 1e-9 AND value <= 200 + 1e-9)) AS range, count(*) FILTER (NOT (abs(value / 0.05 - round_even(value / 0.05, 0)) < 1e-6 + 1e-9 * abs(value / 0.05) OR value = 0 OR value = 200)) AS resolution, count(*) FILTER (event_type NOT IN ('click', 'view', 'signup', 'error')) AS states FROM events GROUP BY user_id)
 SELECT user_id, 'range' AS "rule", range AS violations FROM b UNION ALL SELECT user_id, 'resolution', resolution FROM b UNION ALL SELECT user_id, 'states', states FROM b""")
 def gate_range_grid(e: DataFrame) -> DataFrame:
     v = F.col("value")
-    return gates.counted(e, "user_id", range=gates.out_of_range(v, 0, 200), resolution=gates.off_grid(v, 0.05, 0, 200), states=~F.col("event_type").isin("click", "view", "login", "logout"))
+    return gates.counted(e, "user_id", range=gates.out_of_range(v, 0, 200), resolution=gates.off_grid(v, 0.05, 0, 200), states=~F.col("event_type").isin("click", "view", "signup", "error"))
 
 
-TIMES_SQL = f"""{DAY_SQL}, g AS (SELECT DISTINCT user_id, {US} // 86400000000 - 1 AS s, {US} // 86400000000 + 1 AS e FROM events WHERE event_type = 'logout'),
+TIMES_SQL = f"""{DAY_SQL}, g AS (SELECT DISTINCT user_id, {US} // 86400000000 - 1 AS s, {US} // 86400000000 + 1 AS e FROM events WHERE event_type = 'error'),
 grid AS (SELECT user_id, unnest(range(min(tick), max(tick) + 1)) AS tick FROM d GROUP BY user_id),
 u AS (SELECT DISTINCT user_id FROM d)
 SELECT user_id, 'missing' AS "rule", (SELECT count(*) FROM grid WHERE grid.user_id = u.user_id AND NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = grid.user_id AND d.tick = grid.tick) AND NOT EXISTS (SELECT 1 FROM g WHERE g.user_id = grid.user_id AND grid.tick >= s AND grid.tick < e)) AS violations FROM u
@@ -201,7 +201,7 @@ UNION ALL SELECT user_id, 'repeated', 0 FROM u"""
 @query(f"WITH {TIMES_SQL}")
 def gate_timestamps(e: DataFrame) -> DataFrame:
     tick = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000)
-    g = e.where("event_type = 'logout'").select("user_id", (tick - 1).alias("s"), (tick + 1).alias("e")).distinct()
+    g = e.where("event_type = 'error'").select("user_id", (tick - 1).alias("s"), (tick + 1).alias("e")).distinct()
     return gates.timestamps(days(e), "user_id", "tick", g, "s", "e", 8)
 
 
@@ -242,12 +242,12 @@ def gate_cause(e: DataFrame) -> DataFrame:
     return gates.cause(e.withColumn("t", seconds()), "user_id", ORDER, "t", F.col("value") >= 80, F.col("event_type") == "purchase", 43200)
 
 
-ROLL_SQL = """c AS (SELECT user_id, unnest(['range', 'alarm', 'gap']) AS "rule", unnest([count(*) FILTER (value > 150), count(*) FILTER (value >= 60 AND event_type = 'view'), count(*) FILTER (event_type = 'logout' AND value > 100)]) AS n FROM events GROUP BY user_id)"""
+ROLL_SQL = """c AS (SELECT user_id, unnest(['range', 'alarm', 'gap']) AS "rule", unnest([count(*) FILTER (value > 150), count(*) FILTER (value >= 60 AND event_type = 'view'), count(*) FILTER (event_type = 'error' AND value > 100)]) AS n FROM events GROUP BY user_id)"""
 
 
 def three_checks(e: DataFrame) -> DataFrame:
     v, kind = F.col("value"), F.col("event_type")
-    return gates.counted(e, "user_id", range=v > 150, alarm=(v >= 60) & (kind == "view"), gap=(kind == "logout") & (v > 100))
+    return gates.counted(e, "user_id", range=v > 150, alarm=(v >= 60) & (kind == "view"), gap=(kind == "error") & (v > 100))
 
 
 @query(f"""WITH {ROLL_SQL} SELECT user_id, bool_and(n = 0) AS passed, count(*) FILTER (n > 0) AS n_failed, coalesce(string_agg("rule", ',' ORDER BY "rule") FILTER (n > 0), '') AS failed FROM c GROUP BY user_id""")
@@ -417,10 +417,10 @@ def topk_nearest(e: DataFrame) -> DataFrame:
     return e.select("user_id", "event_id", "value", k.alias("k")).where("k <= 3")
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 60), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'login' AND value > 60)
+@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 60), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND value > 60)
 SELECT user_id, 'both' AS part FROM (FROM a INTERSECT FROM b) UNION ALL SELECT user_id, 'first' FROM (FROM a EXCEPT FROM b) UNION ALL SELECT user_id, 'second' FROM (FROM b EXCEPT FROM a)""")
 def set_parts(e: DataFrame) -> DataFrame:
-    a, b = (e.where((F.col("event_type") == k) & (F.col("value") > 60)).select("user_id").distinct() for k in ("purchase", "login"))
+    a, b = (e.where((F.col("event_type") == k) & (F.col("value") > 60)).select("user_id").distinct() for k in ("purchase", "signup"))
     parts = [(a.intersect(b), "both"), (a.subtract(b), "first"), (b.subtract(a), "second")]
     x, y, z = (df.select("user_id", F.lit(n).alias("part")) for df, n in parts)
     return x.unionByName(y).unionByName(z)
