@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import rotation
-from tidemark.operators import attitude, copies, periods, physical, rhythm
+from tidemark.operators import attitude, copies, forecast, periods, physical, rhythm
 from tidemark.plans.catalog import ORDER, QUERIES, query, six
 from tidemark.plans.sensors import Q_SQL, US, oriented
 
@@ -159,6 +159,20 @@ def filter_gated(e: DataFrame) -> DataFrame:
     return rhythm.gated(own, "user_id", ["t", "event_id"], "off", 43200, 43200).select("event_id")
 
 
+@query("""WITH s AS (SELECT event_type, user_id % 2 AS side, value AS y, row_number() OVER w - 1 AS i, lag(value) OVER w AS x, count(*) OVER (PARTITION BY event_type, user_id % 2) AS n FROM events WINDOW w AS (PARTITION BY event_type, user_id % 2 ORDER BY ts, event_id)),
+t AS (SELECT event_type, greatest(2, floor(max(n) * 0.3)) AS train, max(y) - min(y) AS span FROM s WHERE side = 0 GROUP BY 1),
+m AS (SELECT event_type, side, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s JOIN t USING (event_type) WHERE i >= 1 AND i < train GROUP BY ALL),
+p AS (SELECT event_type, CASE side WHEN 0 THEN 'real' ELSE 'synthetic' END AS model, y, a + b * x AS p, span FROM (SELECT event_type, i, x, y FROM s WHERE side = 0) JOIN t USING (event_type) JOIN m USING (event_type) WHERE i >= train
+  UNION ALL SELECT event_type, unnest(['lag_1', 'lag_window']), y, x, span FROM s JOIN t USING (event_type) WHERE side = 0 AND i >= train),
+r AS (SELECT event_type, model, count(*) AS n, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae, any_value(span) AS span FROM p GROUP BY ALL)
+SELECT event_type, model, n, round(rmse, 5) AS rmse, round(rmse / span, 6) AS nrmse, round(mae, 5) AS mae, round(rmse / first_value(rmse) OVER (PARTITION BY event_type ORDER BY model <> 'lag_1'), 6) AS relative FROM r""")
+def forecast_transfer(e: DataFrame) -> DataFrame:
+    """Readings of even devices forecast from the one before, learnt from their first 30 % or from odd devices'. (One lag, so that SQL has the same regression.)"""
+    real, other = (e.where(F.col("user_id") % 2 == side) for side in (0, 1))
+    found = forecast.transfer(real, other, "event_type", ORDER, "value", 1, 0.3)
+    return found.select("event_type", "model", "n", F.round("rmse", 5).alias("rmse"), six(F.col("nrmse")).alias("nrmse"), F.round("mae", 5).alias("mae"), six(F.col("relative")).alias("relative"))
+
+
 def registered(f):  # noqa: ANN001, ANN201
     """A query that has no SQL; tests compare its operator with plain Python."""
     QUERIES[f.__name__] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/events.parquet"))
