@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import motion, statistics
 from tidemark.plans import catalog, sensors  # noqa: F401
@@ -44,12 +45,26 @@ def test_turning_device_is_followed():
     assert abs((2 * np.degrees(np.arctan2(found[3], found[0])) - np.degrees(turns[-1]) + 180) % 360 - 180) < 5
 
 
-def test_falls():
-    spike, tilt = np.zeros(12, bool), np.array([0, 0, 10, 70, 80, 80, 80, 20, 0, 0, 0, 0.0])
+def test_falls(spark):
+    spike, tilt = np.zeros(12, bool), [0, 0, 10, 70, 80, 80, 80, 20, 0, 0, 0, 0]
     spike[[1, 5, 9]] = True
-    assert motion.fall_states(spike, tilt, 3, 2, 60) == ["ok"] * 3 + ["pre_alarm"] * 2 + ["alert"] * 2 + ["ok"] * 5
-    assert motion.fall_states(spike, tilt, 2, 2, 60) == ["ok"] * 5 + ["pre_alarm"] * 2 + ["ok"] * 5
-    assert motion.fall_states(spike[:0], tilt[:0], 2, 2, 60) == []
+    df = spark.createDataFrame([("a", i, bool(s), float(t)) for i, (s, t) in enumerate(zip(spike, tilt, strict=True))], "k string, i int, spike boolean, tilt double")
+    states = lambda d, within: [r.state for r in motion.falls(d, "k", ["i"], F.col("spike"), F.col("tilt"), within, 2, 60.0).orderBy("i").collect()]
+    assert states(df, 3) == ["ok"] * 3 + ["pre_alarm"] * 2 + ["alert"] * 2 + ["ok"] * 5
+    assert states(df, 2) == ["ok"] * 5 + ["pre_alarm"] * 2 + ["ok"] * 5
+    assert states(df.limit(0), 2) == []
+
+
+def test_tilt_is_measured_against_the_first_rows(spark):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(40, 3)) * 0.2 + np.outer(np.linspace(1, -1, 40), [0, 0, 1]) + [0.5, 0, 0]
+    df = spark.createDataFrame([("a", i, tuple(map(float, v))) for i, v in enumerate(a)], "k string, i int, a struct<x:double,y:double,z:double>")
+    up = a[:6].mean(0)
+    mean = np.array([a[max(0, i - 3) : i + 1].mean(0) for i in range(40)])
+    want = np.degrees(np.arccos(mean @ up / np.linalg.norm(mean, axis=1) / np.linalg.norm(up)))
+    for rows in (None, 12):
+        found = motion.tilts(df, "k", ["i"], "a", 4, 6, rows).orderBy("i").collect()
+        assert [r.tilt for r in found] == pytest.approx(want.tolist(), abs=1e-6) and [r["size"] for r in found] == pytest.approx(np.linalg.norm(a, axis=1).tolist())
 
 
 def test_queries_against_rows_taken_one_device_at_a_time(spark):
@@ -58,15 +73,40 @@ def test_queries_against_rows_taken_one_device_at_a_time(spark):
     for u, i, v in rows:
         by_device.setdefault(u, []).append((i, v))
     fused = {(r.user_id, r.event_id): r for r in catalog.QUERIES["orientation_fusion"](spark, SF).collect()}
-    states = {(r.user_id, r.event_id): r.state for r in catalog.QUERIES["fall_alarms"](spark, SF).collect()}
-    assert len(fused) == len(states) == len(rows) and set(states.values()) == {"ok", "pre_alarm", "alert"}
+    assert len(fused) == len(rows)
     for u, own in by_device.items():
         v = np.array([x for _, x in own])
         a, zero = np.radians(v), np.zeros(len(v))
         q = motion.fuse(np.stack([np.sin(a), zero, np.cos(a)], 1), np.stack([zero, v, zero], 1), None, 0.04, 0.1)
         assert [fused[u, i].w for i, _ in own] == pytest.approx(q[:, 0].round(6).tolist(), abs=2e-6)
-        tilt = np.abs(np.diff(v, prepend=v[:1]))
-        assert [states[u, i] for i, _ in own] == motion.fall_states(v >= 80, tilt, 4, 2, 40.0)
+
+
+def walked(spike, tilt, within, pre_alarm, limit):
+    """States of one device, by walking from spike to spike."""
+    out, spikes, n = ["ok"] * len(spike), list(np.flatnonzero(spike)), len(spike)
+    while spikes:
+        s = spikes.pop(0)
+        down = [k for k in range(s, min(n, s + within)) if tilt[k] >= limit]
+        if down:
+            up = next((k for k in range(down[0], n) if tilt[k] < limit / 2), n)
+            for k in range(down[0], up):
+                out[k] = "pre_alarm" if k < down[0] + pre_alarm else "alert"
+            spikes = [k for k in spikes if k >= up]
+    return out
+
+
+@pytest.mark.parametrize("rows", [None, 60])
+def test_falls_are_those_of_a_walk(spark, rows):
+    rng = np.random.default_rng(12)
+    table, want = [], {}
+    for k, n in (("a", 400), ("b", 90), ("calm", 30)):
+        spike = rng.random(n) < (0.2 if k != "calm" else 0)
+        tilt = np.clip(np.repeat(rng.uniform(0, 60, n // 5), 5) + rng.normal(0, 4, n), 0, 90)
+        table += [(k, i, bool(s), float(t)) for i, (s, t) in enumerate(zip(spike, tilt, strict=True))]
+        want[k] = walked(spike, tilt, 7, 3, 30.0)
+    df = spark.createDataFrame(table, "k string, i int, spike boolean, tilt double")
+    found = motion.falls(df, "k", ["i"], F.col("spike"), F.col("tilt"), 7, 3, 30.0, rows).orderBy("k", "i").collect()
+    assert {k: [r.state for r in found if r.k == k] for k in want} == want and set(want["a"]) == {"ok", "pre_alarm", "alert"}
 
 
 def test_cross_lags_are_those_of_rolled_arrays(spark):

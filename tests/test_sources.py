@@ -33,6 +33,30 @@ def test_csv_with_fallback_encoding_gzip_and_quoted_names(spark, tmp_path):
         tables.numeric(df.toDF("a", "b", "c"))
 
 
+def test_encodings_are_tried_in_order(spark, tmp_path):
+    schema = "a string, b int"
+    tried = ("US-ASCII", "UTF-8", "ISO-8859-1")
+    for name, word, encoding in (("j", "plain", "US-ASCII"), ("k", "Żółw", "UTF-8"), ("l", "caf\xe9 \xff", "ISO-8859-1")):
+        (tmp_path / f"{name}.csv").write_bytes(f"a,b\n{word},1\n".encode(encoding))
+        assert tables.encoding_of(spark, str(tmp_path / f"{name}.csv"), tried) == encoding
+        assert tables.read_csv(spark, str(tmp_path / f"{name}.csv"), schema, tried).first().a == word
+    (tmp_path / "packed.csv").write_bytes(gzip.compress(b"a,b\nx,1\n"))
+    with pytest.raises(ValueError, match="packed.csv"):
+        tables.read_csv(spark, str(tmp_path / "packed.csv"), schema)
+
+
+def test_recording_summary_and_report(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('" timestamp ",sensor_id,orientation_x\n1000,a,0.5\n1040,a,x\n1080,a,0.25\n')
+    found = tables.recording(spark, str(tmp_path / "r.csv"), "timestamp long, sensor_id string, orientation_x string", "sensor_id").orderBy("timestamp").collect()
+    assert [(r.seconds, r.x) for r in found] == [(0.0, 0.5), (0.04, None), (0.08, 0.25)]
+    checks = spark.createDataFrame([("a", "range", 0), ("a", "alarm", 3), ("b", "range", 0)], "k string, rule string, violations long")
+    tables.summary(checks, "k", str(tmp_path / "s"))
+    back = {r.k: r for r in spark.read.schema("k string, passed boolean, rules int, failed array<struct<rule:string,violations:long>>").json(str(tmp_path / "s")).collect()}
+    assert (back["a"].passed, back["a"].rules, [tuple(f) for f in back["a"].failed]) == (False, 2, [("alarm", 3)]) and back["b"].passed and back["b"].failed == []
+    tables.report(checks, "k", str(tmp_path / "t"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect()) == ["FAIL a alarm 3", "ok   a range 0", "ok   b range 0"]
+
+
 def test_log_labels_and_manifest_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.345, 7.5, "a"), (2, 2.355, 8.5, "b")], "t long, x double, n double, device string")
     tables.write_log(df, str(tmp_path / "log"), ["t", "x", "n"], {"x": "reading"}, {"x": 2, "n": 0}, "device")

@@ -1,4 +1,4 @@
-"""Motion by device: orientation fusion and fall detection, whose states feed back on themselves, by Python over each device's rows in order."""
+"""Motion by device: orientation fusion, whose state feeds back on itself, by Python over each device's rows in order; falls and directions as column expressions and joins."""
 
 from __future__ import annotations
 
@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import lookups, periods, sliced
+from tidemark.operators.sliced import Series
+from tidemark.operators.staging import settled
+
 
 def cross(a: tuple, b: tuple) -> tuple:
     return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
@@ -86,30 +90,45 @@ def orientations(df: DataFrame, key: str, order: str, accel: list[str], gyro: li
     return df.select(key, order, *accel, *gyro, *(mag or [])).groupBy(key).applyInPandas(run, f"{key} {types[key]}, {order} {types[order]}, w double, x double, y double, z double")
 
 
-def fall_states(spike: np.ndarray, tilt: np.ndarray, within: int, pre_alarm: int, limit: float) -> list[str]:
-    """ok; from the first row tilted by the limit among the `within` rows from a spike on, pre_alarm for that many rows and then alert, until
-    upright again (below half the limit). Spikes before that are part of the same fall."""
-    out, row, n = ["ok"] * len(spike), 0, len(spike)
-    while row < n:
-        fallen = next((k for k in range(row, min(n, row + within)) if tilt[k] >= limit), None) if spike[row] else None
-        if fallen is None:
-            row += 1
-            continue
-        row = next((k for k in range(fallen, n) if tilt[k] < limit / 2), n)
-        for k in range(fallen, row):
-            out[k] = "pre_alarm" if k < fallen + pre_alarm else "alert"
-    return out
-
-
-def falls(df: DataFrame, key: str, order: str, spike: Column, tilt: Column, within: int, pre_alarm: int, limit: float) -> DataFrame:
-    """(key, order, state) of each row by fall_states(), each device's rows in order."""
-    types = dict(df.dtypes)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        return pd.DataFrame({key: part[key], order: part[order], "state": fall_states(part["_spike"].to_numpy(bool), part["_tilt"].to_numpy(float), within, pre_alarm, limit)})
-
-    return df.select(key, order, spike.alias("_spike"), tilt.alias("_tilt")).groupBy(key).applyInPandas(run, f"{key} {types[key]}, {order} {types[order]}, state string")
+def tilts(df: DataFrame, key: str, order: list[str], accel: str, mean: int, reference: int, rows: int | None = None) -> DataFrame:
+    """df with `size` of the acceleration and `tilt`: degrees between the mean of the last `mean` accelerations and that of the key's first `reference` ones; an acceleration of nothing is at 90 degrees to all."""
+    frame = lambda w: w.rowsBetween(1 - mean, 0)
+    own = Series(df, key, order, rows).framed(mean - 1, **{f"_{c}": (lambda w, c=c: F.avg(f"{accel}.{c}").over(frame(w))) for c in "xyz"}).running(_i=sliced.number())
+    up = own.rows.where(F.col("_i") <= reference).groupBy(F.col(key).alias("_key")).agg(*(F.avg(f"{accel}.{c}").alias(f"_u{c}") for c in "xyz"))
+    length = lambda names: F.sqrt(sum((F.col(n) ** 2 for n in names[1:]), F.col(names[0]) ** 2))
+    inner = F.col("_x") * F.col("_ux") + F.col("_y") * F.col("_uy") + F.col("_z") * F.col("_uz")
+    cosine = inner / F.greatest(length(["_x", "_y", "_z"]), F.lit(1e-9)) / F.nullif(length(["_ux", "_uy", "_uz"]), F.lit(0.0))
+    found = own.rows.join(up, F.col(key).eqNullSafe(F.col("_key")))
+    return found.select(*df.columns, length([f"{accel}.{c}" for c in "xyz"]).alias("size"), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))).alias("tilt"))
+
+
+def falls(df: DataFrame, key: str, order: list[str], spike: Column, tilt: Column, within: int, pre_alarm: int, limit: float, rows: int | None = None) -> DataFrame:
+    """df with `state`: ok; from the first row tilted by the limit among the `within` rows from a spike on, pre_alarm for that many rows and then alert, until
+    upright again (below half the limit). Spikes before that are part of the same fall.
+
+    Each spike that leads to a fall has the first spike after that fall's end as its successor, and the falls that count are those reached from a key's first: a chain of few rows,
+    not a walk over the series.
+    """
+    own = Series(df.withColumn("_spike", F.coalesce(spike, F.lit(False))).withColumn("_tilt", tilt), key, order, rows).running(_i=sliced.number())
+    own = own.running(_down=sliced.upcoming(F.when(F.col("_tilt") >= limit, F.col("_i"))), _up=sliced.upcoming(F.when(F.col("_tilt") < limit / 2, F.col("_i"))))
+    own = own.same(settled(own.df))
+    ends = own.rows.select(F.col(key).alias("_key"), F.col("_i").alias("_at"), F.col("_up").alias("_end"))
+    spikes = own.rows.where(F.col("_spike") & (F.col("_down") < F.col("_i") + within)).select(key, F.col("_i").alias("at"), "_down")
+    found = settled(spikes.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_down") == F.col("_at"))).select(key, "at", "_down", "_end"))
+    after = lookups.following(found.where("_end is not null").select(key, (F.col("_end") - 0.5).alias("t"), "at"), found.select(key, F.col("at").cast("double").alias("t"), F.col("at").alias("to")), key, "t", "to", rows)
+    reached = periods.chained(found.groupBy(key).agg(F.min("at").alias("at")), after.select(key, "at", "to"), key).select(F.col(key).alias("_rkey"), F.col("at").alias("_rat"))
+    chosen = found.join(reached, F.col(key).eqNullSafe(F.col("_rkey")) & (F.col("at") == F.col("_rat"))).select(F.col(key).alias("_key"), F.col("_down").alias("_from"), F.struct(F.col("_down").alias("a"), F.col("_end").alias("b")).alias("_fall"))
+    marked = own.same(own.df.join(chosen, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_i") == F.col("_from")), "left").drop("_key", "_from")).running(_fall=sliced.last(F.col("_fall")))
+    i, fall = F.col("_i"), F.col("_fall")
+    on = fall.isNotNull() & (fall["b"].isNull() | (i < fall["b"]))
+    state = F.when(on & (i < fall["a"] + pre_alarm), "pre_alarm").when(on, "alert").otherwise("ok")
+    return marked.rows.select(*df.columns, state.alias("state"))
+
+
+def spike_then_still(df: DataFrame, key: str, order: list[str], accel: str, spike_g: float, limit: float, within: int, pre_alarm: int, reference: int, mean: int, rows: int | None = None) -> DataFrame:
+    """df with `state` by falls(): a spike is an acceleration of spike_g or more, the tilt that of the gravity direction of `mean` rows against the first `reference` rows."""
+    own = tilts(df, key, order, accel, mean, reference, rows)
+    return falls(own, key, order, F.col("size") >= spike_g, F.col("tilt"), within, pre_alarm, limit, rows).drop("size", "tilt")
 
 
 def mean_direction(df: DataFrame, key: str, v: str) -> DataFrame:

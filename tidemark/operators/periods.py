@@ -69,6 +69,20 @@ def quiet_runs(df: DataFrame, key: str, order: list[str], still: str, least: flo
     return found.select(key, "run", ((F.col("_a") + F.col("_b")) / 2).alias("mid"), (F.col("_b") - F.col("_a")).alias("size"))
 
 
+def chained(first: DataFrame, following: DataFrame, key: str) -> DataFrame:
+    """(key, at): what is reached from first (key, at) over following (key, at, to), where each node has one successor, or a null one.
+
+    By pointer doubling: each round adds what the reached ones reach over pointers of twice the length, so a chain of n takes log2(n) rounds.
+    """
+    reached, jumps = settled(first), following.select(F.col(key).alias("_key"), F.col("at").alias("_at"), "to").where("to is not null")
+    while not jumps.isEmpty():
+        step = reached.join(jumps, F.col(key).eqNullSafe(F.col("_key")) & (F.col("at") == F.col("_at"))).select(key, F.col("to").alias("at"))
+        reached = settled(reached.union(step).distinct())
+        second = jumps.toDF("_key2", "_at2", "_to2")
+        jumps = settled(jumps.join(second, F.col("_key").eqNullSafe(F.col("_key2")) & (F.col("to") == F.col("_at2"))).select("_key", "_at", F.col("_to2").alias("to")))
+    return reached
+
+
 def cycles(df: DataFrame, key: str, order: list[str], still: str, periods: DataFrame, least: float = 1.0, rows: int | None = None) -> DataFrame:
     """(key, cycle, start, end): stretches between the middles of quiet runs that are about a period apart.
 
@@ -88,12 +102,7 @@ def cycles(df: DataFrame, key: str, order: list[str], still: str, periods: DataF
     near = met.groupBy(key, "at").agg(F.max(F.struct(F.col("size"), (-F.col("mid")).alias("back"), F.col("run"))).alias("_best")).select(F.col(key).alias("_nkey"), F.col("at").alias("_nat"), F.col("_best.run").alias("near"))
     late = lookups.following(runs.select(key, after[1].alias("mid"), F.col("run").alias("at")), runs.select(key, "mid", "run"), key, "mid", "run", rows)
     following = settled(late.join(near, F.col(key).eqNullSafe(F.col("_nkey")) & (F.col("at") == F.col("_nat")), "left").select(key, "at", F.coalesce("near", "run").alias("to"), F.col("near").isNotNull().alias("_cycle")))
-    reached, jumps = settled(first), following.select(F.col(key).alias("_key"), F.col("at").alias("_at"), "to").where("to is not null")
-    while not jumps.isEmpty():
-        step = reached.join(jumps, F.col(key).eqNullSafe(F.col("_key")) & (F.col("at") == F.col("_at"))).select(key, F.col("to").alias("at"))
-        reached = settled(reached.union(step).distinct())
-        second = jumps.toDF("_key2", "_at2", "_to2")
-        jumps = settled(jumps.join(second, F.col("_key").eqNullSafe(F.col("_key2")) & (F.col("to") == F.col("_at2"))).select("_key", "_at", F.col("_to2").alias("to")))
+    reached = chained(first, following, key)
     at = reached.select(F.col(key).alias("_rkey"), F.col("at").alias("_rat"))
     chosen = following.where("_cycle").join(at, F.col(key).eqNullSafe(F.col("_rkey")) & (F.col("at") == F.col("_rat"))).select(key, "at", "to")
     mids = runs.select(F.col(key).alias("_key"), "run", "mid")

@@ -212,6 +212,19 @@ def gate_alarm(e: DataFrame) -> DataFrame:
     return gates.alarm(e.withColumn("reported", (F.col("value") >= 60).cast("int")), "user_id", ORDER, "value", "reported", 60, 10)
 
 
+@query(f"""WITH p AS (SELECT *, {US} / 1e6 - lag({US}) OVER {OVER} / 1e6 AS step, row_number() OVER {OVER} AS i, CASE WHEN event_id % 3 = 0 THEN 1 ELSE (value >= 60)::INTEGER END AS y FROM events),
+m AS (SELECT *, coalesce(step > 28800, false) OR i = 1 AS anew FROM p),
+s AS (SELECT *, last_value(CASE WHEN value >= 60 THEN 1 WHEN anew THEN CASE WHEN value < 40 THEN 0 ELSE y END WHEN value < 40 THEN 0 END IGNORE NULLS) OVER {OVER} AS s,
+  last_value(CASE WHEN value >= 60 THEN 1 WHEN anew THEN CASE WHEN value < 40 THEN 0 ELSE y END END IGNORE NULLS) OVER {OVER} AS k FROM m)
+SELECT user_id, 'alarm' AS "rule", count(*) FILTER (s <> y) AS violations FROM s GROUP BY user_id UNION ALL SELECT user_id, 'latched', count(*) FILTER (k <> y) FROM s GROUP BY user_id""")
+def gate_alarm_gaps(e: DataFrame) -> DataFrame:
+    """Reported alarms are set on every third event; after gaps of eight hours the latch goes on from what is reported there. With and without a clear."""
+    y = F.when(F.col("event_id") % 3 == 0, 1).otherwise((F.col("value") >= 60).cast("int"))
+    own = e.withColumn("reported", y).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    plain, latched = (gates.alarm(own, "user_id", ORDER, "value", "reported", 60, 20, latching=on, seconds="t", gap=28800) for on in (False, True))
+    return plain.unionByName(latched.withColumn("rule", F.lit("latched")))
+
+
 @query(f"""WITH {BOUNDS_SQL}, r AS (SELECT *, sum(v) OVER (PARTITION BY user_id ORDER BY tick ROWS 4 PRECEDING) / 5 + CASE WHEN (user_id + tick) % 17 = 0 THEN 300 ELSE 0 END AS y FROM b)
 SELECT user_id, 'stel_exact' AS "rule", count(*) FILTER (missing = 0 AND abs(y - known / 5) > 0.005 + 1e-9) AS violations FROM r GROUP BY user_id
 UNION ALL SELECT user_id, 'stel_bounded', count(*) FILTER (missing > 0 AND (y < known / 5 - 0.005 - 1e-9 OR y > (known + 500 * missing) / 5 + 0.005 + 1e-9)) FROM r GROUP BY user_id""")
@@ -441,11 +454,21 @@ def orientation_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("user_id", "event_id", *(six(F.col(c)).alias(c) for c in "wxyz"))
 
 
-def fall_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Falls of devices: a reading of 80 is a spike, the change of the reading their tilt. No SQL: a fall ends before the next is looked for."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    own = Series(e, "user_id", ["event_id"]).framed(1, tilt=lambda w: F.coalesce(F.abs(F.col("value") - F.lag("value").over(w)), F.lit(0.0))).rows
-    return motion.falls(own, "user_id", "event_id", F.col("value") >= 80, F.col("tilt"), 4, 2, 40.0)
-
-
-QUERIES |= {"orientation_fusion": orientation_fusion, "fall_alarms": fall_alarms}
+@query(f"""WITH RECURSIVE a AS (SELECT event_id, user_id, ts, (1 + CASE WHEN value >= 80 THEN 1.5 ELSE 0 END) * sin(radians(value)) AS x, (1 + CASE WHEN value >= 80 THEN 1.5 ELSE 0 END) * cos(radians(value)) AS z FROM events),
+m AS (SELECT *, row_number() OVER w AS i, avg(x) OVER f AS gx, avg(z) OVER f AS gz FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 1 PRECEDING)),
+u AS (SELECT user_id, avg(x) AS ux, avg(z) AS uz FROM m WHERE i <= 5 GROUP BY 1),
+t AS (SELECT m.*, sqrt(x * x + z * z) >= 2 AS spike, degrees(acos(greatest(-1, least(1, (gx * ux + gz * uz) / greatest(sqrt(gx * gx + gz * gz), 1e-9) / sqrt(ux * ux + uz * uz))))) AS tilt FROM m JOIN u USING (user_id)),
+d AS (SELECT s.user_id, s.i AS sp, min(r.i) AS down FROM t s JOIN t r ON s.user_id = r.user_id AND r.i >= s.i AND r.i < s.i + 4 AND r.tilt >= 40 WHERE s.spike GROUP BY ALL),
+n AS (SELECT d.user_id, sp, down, min(r.i) AS up FROM d LEFT JOIN t r ON r.user_id = d.user_id AND r.i >= down AND r.tilt < 20 GROUP BY ALL),
+o AS (SELECT n.*, (SELECT min(sp) FROM n k WHERE k.user_id = n.user_id AND k.sp >= n.up) AS next FROM n),
+c AS (SELECT user_id, min(sp) AS sp FROM o GROUP BY 1 UNION ALL SELECT o.user_id, o.next FROM c JOIN o USING (user_id, sp) WHERE o.next IS NOT NULL),
+f AS (SELECT o.* FROM o JOIN c USING (user_id, sp))
+SELECT t.event_id, coalesce(max(CASE WHEN t.i < f.down + 2 THEN 'pre_alarm' ELSE 'alert' END) FILTER (f.down IS NOT NULL), 'ok') AS state FROM t LEFT JOIN f ON f.user_id = t.user_id AND t.i >= f.down AND (f.up IS NULL OR t.i < f.up) GROUP BY t.event_id""")
+def fall_alarms(e: DataFrame) -> DataFrame:
+    """Falls of devices whose acceleration is tilted by the reading, and larger from 80 on: a spike, then a tilt of 40 degrees against the first five rows, until upright."""
+    size, angle = F.when(F.col("value") >= 80, 2.5).otherwise(1.0), F.radians("value")
+    own = e.select("event_id", "user_id", "ts", rotation.vector(size * F.sin(angle), F.lit(0.0), size * F.cos(angle)).alias("a"))
+    return motion.spike_then_still(own, "user_id", ORDER, "a", 2.0, 40.0, 4, 2, 5, 2).select("event_id", "state")
+
+
+QUERIES |= {"orientation_fusion": orientation_fusion}

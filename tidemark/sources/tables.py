@@ -2,24 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.operators import statistics
+from tidemark.operators.sliced import Series
 
 # Names under which a recording's columns are found, the first that is there.
 NAMES = {"x": ["quat_x", "orientation_x"], "y": ["quat_y", "orientation_y"], "z": ["quat_z", "orientation_z"], "ax": ["accel_x", "acceleration_x"], "ay": ["accel_y", "acceleration_y"], "az": ["accel_z", "acceleration_z"]}
 
 
+def readable(line: bytes, encoding: str) -> bool:
+    try:
+        line.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def encoding_of(spark: SparkSession, path: str, encodings: tuple[str, ...]) -> str:
+    """The first of the encodings in which all lines of the files can be read; the last if none is. One pass over the lines tries all of them; a task sends one row a batch."""
+    tried = encodings[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            lines = part.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([any(not readable(x, e) for x in lines)]) for e in tried], names=[f"e{i}" for i in range(len(tried))])
+
+    if not tried:
+        return encodings[-1]
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("line"))
+    broken = lines.mapInArrow(run, ", ".join(f"e{i} boolean" for i in range(len(tried)))).agg(*(F.coalesce(F.bool_or(f"e{i}"), F.lit(False)).alias(f"e{i}") for i in range(len(tried)))).first()
+    return next((e for e, bad in zip(tried, broken, strict=True) if not bad), encodings[-1])
+
+
+def gzipped(spark: SparkSession, path: str) -> list[str]:
+    """Files that begin with gzip's two magic bytes, whatever their names."""
+    heads = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 2).alias("head"))
+    return [r.path for r in heads.where(F.col("head") == F.unhex(F.lit("1F8B"))).collect()]
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
-    """CSV files (plain or gzip, by suffix) with a header and a given schema: types are never guessed. The first of the encodings is taken in which the files
-    hold no byte sequence that it can't read."""
-    for encoding in encodings[:-1]:
-        broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
-        if encoding.upper() == "UTF-8" and broken.isEmpty():
-            return spark.read.schema(schema).csv(path, header=True, encoding=encoding)
-    return spark.read.schema(schema).csv(path, header=True, encoding=encodings[-1])
+    """CSV files with a header and a given schema: types are never guessed. Files are plain, or gzip by suffix; a gzip file under another name is an error that
+    names it, since Spark unpacks by suffix. The encoding is the first in which all lines can be read."""
+    hidden = [p for p in gzipped(spark, path) if not p.endswith(".gz")]
+    if hidden:
+        raise ValueError(f"packed by gzip, but not named .gz: {', '.join(hidden[:5])}")
+    return spark.read.schema(schema).csv(path, header=True, encoding=encoding_of(spark, path, encodings))
+
+
+def recording(spark: SparkSession, path: str, schema: StructType | str, key: str, time: str = "timestamp", names: dict[str, list[str]] | None = None) -> DataFrame:
+    """A recorded log as operators take it: CSV by read_csv(), plain names, columns under the names of NAMES, and seconds since each key's first row, whatever the unit of its times."""
+    found = aliased(plain_names(read_csv(spark, path, schema)), names or NAMES)
+    return seconds_since_start(found, key, time)
+
+
+def summary(checks: DataFrame, key: str, path: str) -> None:
+    """One JSON object for each key of gates' rows (key, rule, violations): whether all passed, how many rules there are, and those that failed with their violations."""
+    failed = F.collect_list(F.when(F.col("violations") > 0, F.struct("rule", "violations")))
+    found = checks.groupBy(key).agg((F.max("violations") == 0).alias("passed"), F.count(F.lit(1)).alias("rules"), F.array_sort(failed).alias("failed"))
+    found.write.mode("errorifexists").json(path)
+
+
+def report(checks: DataFrame, key: str, path: str) -> None:
+    """Lines of text for each row of gates' checks, in order of key and rule: a sign, the rule and what was found."""
+    line = F.concat_ws(" ", F.when(F.col("violations") == 0, "ok  ").otherwise("FAIL"), F.col(key).cast("string"), F.col("rule"), F.col("violations").cast("string"))
+    checks.orderBy(key, "rule").select(line.alias("value")).write.mode("errorifexists").text(path)
 
 
 def plain_names(df: DataFrame) -> DataFrame:
@@ -45,7 +97,7 @@ def numeric(df: DataFrame, keep: tuple[str, ...] = ("timestamp",)) -> DataFrame:
 
 def seconds_since_start(df: DataFrame, key: str, time: str) -> DataFrame:
     """df with `seconds` since each key's first row, from whole numbers of milliseconds or seconds: milliseconds where a key's median step is 10 or more."""
-    steps = df.withColumn("_step", (F.lead(time).over(Window.partitionBy(key).orderBy(time)) - F.col(time)).cast("double"))
+    steps = Series(df.select(key, time), key, [time]).framed(0, 1, _step=lambda w: (F.lead(time).over(w) - F.col(time)).cast("double")).rows
     unit = statistics.quantiles(steps, key, "_step", {"_median": 0.5})
     first = df.groupBy(key).agg(F.min(time).alias("_first"))
     scaled = (F.col(time) - F.col("_first")) / F.when(F.col("_median") >= 10, 1000.0).otherwise(1.0)
