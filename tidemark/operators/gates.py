@@ -76,6 +76,23 @@ def cause(log: DataFrame, key: str, order: list[str], seconds: str, alarm_on: Co
     return counted(own, key, no_recent_cause=F.col("_on") & F.coalesce(F.col(seconds) - F.col("_last") >= within, F.lit(True)), no_cause=F.col("_on") & F.col("_last").isNull())
 
 
+def bumps(log: DataFrame, key: str, order: list[str], testing: str, channels: dict[str, tuple[float, float, float]], before: int = 30, rows: int | None = None) -> DataFrame:
+    """Runs of `testing` rows in which some channel doesn't move first at the run's own first row, counted by key, and keys without any run.
+
+    channels: (clean reading, reading of the mixture, resolution) of each column. It has moved where it is on the mixture's side of the clean reading by more than a twentieth of the way, two
+    resolutions at least; rows from `before` ahead of the run to its end are looked at.
+    """
+    own = windows.run_id(Series(log, key, order, rows), "_run", testing).running(_i=sliced.number())
+    runs = own.rows.where(testing).groupBy(key, "_run").agg(F.min("_i").alias("_s"), (F.max("_i") + 1).alias("_e")).withColumn("_a", F.greatest(F.lit(1), F.col("_s") - before))
+    moved = {c: (1 if mix > clean else -1) * (F.col(c) - clean) > max(2 * step, 0.05 * abs(mix - clean)) for c, (clean, mix, step) in channels.items()}
+    met = lookups.within(own.rows.select(key, "_i", *channels), runs, key, "_i", "_a", "_e", max(64, before))
+    onsets = met.groupBy(key, "_run", "_s").agg(*(F.min(F.when(m, F.col("_i"))).alias(f"_{c}") for c, m in moved.items()))
+    late = reduce(lambda a, b: a | b, (~F.col(f"_{c}").eqNullSafe(F.col("_s")) for c in channels))
+    found = log.select(F.col(key).alias("_key")).distinct().join(onsets.withColumn("_late", late), F.col("_key").eqNullSafe(F.col(key)), "left").groupBy("_key")
+    counts = found.agg(F.count(F.when(F.col("_late"), 1)).alias("bump_late"), F.when(F.count("_run") == 0, 1).otherwise(0).cast("long").alias("bump_missing"))
+    return counts.select(F.col("_key").alias(key), F.inline(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in ("bump_late", "bump_missing")))))
+
+
 def roll_up(checks: DataFrame, key: str) -> DataFrame:
     """One row for each key: whether all checks passed, how many failed, and their names in order."""
     failed = F.col("violations") > 0

@@ -21,6 +21,16 @@ def as_of(queries: DataFrame, samples: DataFrame, key: str, time: str, value: st
     return found.withColumn(value, F.coalesce("_held", "_next") if clip else F.col("_held")).drop("_value", "_query", "_held", "_next")
 
 
+def aligned(left: DataFrame, right: DataFrame, key: str, order: list[str], rows: int | None = None) -> DataFrame:
+    """Rows of both sides that have the same number within their key, in order: (key, i, left, right), each side a struct of its other columns, null where the other is longer."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        own = Series(df, key, order, rows).running(_i=sliced.number()).rows
+        return own.select(F.col(key).alias(f"_{name}_key"), F.col("_i").alias(f"_{name}_i"), F.struct(*(c for c in df.columns if c != key)).alias(name))
+
+    both = side(left, "left").join(side(right, "right"), F.col("_left_key").eqNullSafe(F.col("_right_key")) & (F.col("_left_i") == F.col("_right_i")), "full")
+    return both.select(F.coalesce("_left_key", "_right_key").alias(key), F.coalesce("_left_i", "_right_i").alias("i"), "left", "right")
+
+
 def following(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str, rows: int | None = None) -> DataFrame:
     """queries with the value of the first sample strictly after each time, or null."""
     both = queries.withColumn("_query", F.lit(1)).unionByName(samples.select(key, time, F.col(value).alias("_value"), F.lit(0).alias("_query")), allowMissingColumns=True)

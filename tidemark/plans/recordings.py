@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import rotation
-from tidemark.operators import attitude, copies, forecast, periods, physical, rhythm
+from tidemark.operators import attitude, copies, forecast, periods, physical, rhythm, twosample
 from tidemark.plans.catalog import ORDER, QUERIES, query, six
 from tidemark.plans.sensors import Q_SQL, US, oriented
 
@@ -211,3 +211,12 @@ def fingerprint_distances(e: DataFrame) -> DataFrame:
     own = oriented(e).withColumn("side", (F.col("user_id") % 2).cast("int")).withColumn("t", F.col("t") / 3600).withColumn("a", rotation.gravity(F.col("q")))
     prints = attitude.fingerprint(own.withColumn("m", F.col("a")), "side", ORDER, "t", "q", "a", "m", longest=1e9)
     return attitude.fingerprint_distance(prints, "side")
+
+
+@registered
+def two_sample_test(e: DataFrame) -> DataFrame:
+    """Whether trees tell days of odd devices from days of even ones, and how well they tell permuted labels. No SQL: trees are grown level by level."""
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
+    own = e.groupBy("user_id", day.alias("day")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("high"), F.min("value").alias("low"), F.avg(F.hour("ts")).alias("hour"))
+    own = own.withColumn("id", F.col("user_id") * 100_000 + F.col("day") % 100_000).withColumn("side", F.col("user_id") % 2)
+    return twosample.accuracies(own, "id", "side", "day", ["n", "mean", "high", "low", "hour"], permutations=10, trees=5)

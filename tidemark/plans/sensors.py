@@ -64,6 +64,39 @@ def names_and_json(e: DataFrame) -> DataFrame:
     return e.select("event_id", text.slug(F.concat(kind, F.lit(" / Temp "), "props")).alias("slug"), text.category(column).alias("category"), text.is_iso_utc(stamp).alias("iso"), F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+@query("""SELECT event_id, trim(user_id || ' ' || upper(event_type) || ': ' || event_type || ' {nobody} ' || coalesce(props->>'$.k', '')) AS label FROM events""")
+def label_text(e: DataFrame) -> DataFrame:
+    values = {"user": F.col("user_id"), "kind": F.col("event_type"), "k": F.get_json_object("props", "$.k")}
+    return e.select("event_id", text.filled(" {user} {kind.upper}: {kind} {nobody} {k} ", values).alias("label"))
+
+
+@query("""SELECT CASE WHEN value < 20 THEN 'low' WHEN value < 90 THEN 'usual' ELSE 'high' END AS state, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events WHERE event_id % 3 = 0 OR value < 90 OR event_type IN ('view', 'error') GROUP BY 1""")
+def state_kinds(e: DataFrame) -> DataFrame:
+    """The kinds of event that put a device into each state."""
+    state = F.when(F.col("value") < 20, "low").when(F.col("value") < 90, "usual").otherwise("high")
+    own = e.where((F.col("event_id") % 3 == 0) | (F.col("value") < 90) | F.col("event_type").isin("view", "error"))
+    return own.groupBy(state.alias("state")).agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+
+
+@query(f"""WITH a AS (SELECT user_id, value, row_number() OVER {OVER} AS i FROM events WHERE event_type = 'view'), b AS (SELECT user_id, value, row_number() OVER {OVER} AS i FROM events WHERE event_type = 'click')
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.i, b.i) AS i, a.value AS view, b.value AS click FROM a FULL JOIN b ON a.user_id = b.user_id AND a.i = b.i""")
+def rows_aligned(e: DataFrame) -> DataFrame:
+    """A device's views and clicks side by side, by their number."""
+    a, b = (e.where(F.col("event_type") == k).select("user_id", "ts", "event_id", "value") for k in ("view", "click"))
+    return lookups.aligned(a, b, "user_id", ORDER).select("user_id", "i", F.col("left.value").alias("view"), F.col("right.value").alias("click"))
+
+
+@query(f"""WITH p AS (SELECT *, row_number() OVER {OVER} AS i, event_type IN ('error', 'signup') AS q FROM events), c AS (SELECT *, CASE WHEN q IS DISTINCT FROM lag(q) OVER {OVER} THEN 1 ELSE 0 END AS c FROM p),
+r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c), b AS (SELECT user_id, run, min(i) AS s, max(i) + 1 AS e FROM r WHERE q GROUP BY ALL),
+o AS (SELECT b.user_id, b.run, b.s, min(p.i) FILTER (p.value - 10 > 4.0) AS up, min(p.i) FILTER (100 - p.value - 10 > 2.5) AS other FROM b JOIN p ON p.user_id = b.user_id AND p.i >= greatest(1, b.s - 2) AND p.i < b.e GROUP BY ALL),
+n AS (SELECT user_id, count(*) FILTER (up IS DISTINCT FROM s OR other IS DISTINCT FROM s) AS late, count(*) AS runs FROM o GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events)
+SELECT user_id, 'bump_late' AS "rule", coalesce(late, 0) AS violations FROM u LEFT JOIN n USING (user_id) UNION ALL SELECT user_id, 'bump_missing', (runs IS NULL)::BIGINT FROM u LEFT JOIN n USING (user_id)""")
+def gate_bump(e: DataFrame) -> DataFrame:
+    """Errors and signups as tests in which the reading and 100 minus it have to move at once."""
+    own = e.withColumn("testing", F.col("event_type").isin("error", "signup")).withColumn("rest", 100 - F.col("value"))
+    return gates.bumps(own, "user_id", ORDER, "testing", {"value": (10.0, 90.0, 0.5), "rest": (10.0, 60.0, 0.5)}, before=2)
+
+
 # --- rotations: roll, pitch and yaw are 4, 1.5 and 0.7 times the reading, in degrees
 
 Q_SQL = f"""h AS (SELECT event_id, user_id, ts, radians(4 * value) / 2 AS r, radians(1.5 * value) / 2 AS p, radians(0.7 * value) / 2 AS y, {US} / 1e6 AS t FROM events),
@@ -288,14 +321,14 @@ def join_nearest(e: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH a AS (SELECT user_id, round_even({US} / 1e6 / 3600, 0)::BIGINT AS tick, max(value) AS v FROM events GROUP BY ALL)
-SELECT x.user_id AS a, y.user_id AS b, count(*) AS n, round(avg(((x.v > 30) = (y.v > 30))::INTEGER), 6) AS agree FROM a x JOIN a y ON x.tick = y.tick AND x.user_id < y.user_id AND x.user_id % 10 = y.user_id % 10 GROUP BY ALL""")
+SELECT x.user_id AS a, y.user_id AS b, count(*) AS n, round(avg(((x.v > 30) = (y.v > 30))::INTEGER), 6) AS agree FROM a x JOIN a y ON x.tick = y.tick AND y.user_id = x.user_id + 10 GROUP BY ALL""")
 def sensor_pairs(e: DataFrame) -> DataFrame:
-    """Pairs of devices of one group that report in the same hour, and how often both or neither are active."""
+    """Neighbouring devices, ten numbers apart, that report in the same hour, and how often both or neither are active."""
     tick = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000 / 3600).cast("long")
-    a = e.groupBy("user_id", tick.alias("tick")).agg(F.max("value").alias("v")).withColumn("g", F.col("user_id") % 10)
-    x, y = a.toDF("a", "tick", "va", "g"), a.toDF("b", "tick", "vb", "g")
+    own = e.groupBy("user_id", tick.alias("tick")).agg(F.max("value").alias("v"))
+    x, y = own.toDF("a", "tick", "va").withColumn("b", F.col("a") + 10), own.toDF("b", "tick", "vb")
     same = ((F.col("va") > 30) == (F.col("vb") > 30)).cast("int")
-    return x.join(y, ["tick", "g"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), six(F.avg(same)).alias("agree"))
+    return x.join(y, ["b", "tick"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), six(F.avg(same)).alias("agree"))
 
 
 @query("""WITH s AS (SELECT event_type AS a, epoch_us(ts) // 3600000000 AS tick, avg(value) AS v FROM events GROUP BY ALL), n AS (SELECT min(tick) AS t0, max(tick) - min(tick) + 1 AS n FROM s),
