@@ -203,6 +203,16 @@ def test_gated_log_keeps_lead_and_tail(spark):
         assert sorted(int(r.t) for r in rhythm.gated(df, "k", ["t"], "off", rows=rows).collect()) == want
 
 
+def test_labels_and_what_follows_them(spark):
+    rows = [("d", float(t), lab, float(t % 7)) for t, lab in enumerate("aaabbacccccccccccccccccccccca")] + [("e", 0.0, "z", 1.0)]
+    df = spark.createDataFrame(rows, "k string, t double, lab string, v double")
+    found = {r.lab: r for r in rhythm.labelled(df, "k", ["t"], "lab", "v").collect()}
+    assert (found["a"].segments, found["a"].seconds, found["a"].rows, found["a"]["mean"]) == (3, 0.5, 5, None) and found["c"].sd == pytest.approx(np.std([t % 7 for t in range(6, 28)]))
+    assert found["a"].spread == pytest.approx(0.05) and found["b"].seconds == 1.0
+    nexts = {(r.a, r.b): r.share for r in rhythm.next_labels(df, "k", ["t"], "lab").collect()}
+    assert nexts == {("a", "b"): 0.5, ("a", "c"): 0.5, ("b", "a"): 1.0, ("c", "a"): 1.0, ("z", "a"): 1.0}
+
+
 # --- orientations
 
 

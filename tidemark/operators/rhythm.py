@@ -83,3 +83,33 @@ def gated(df: DataFrame, key: str, order: list[str], off: str, lead: float = 45.
     own = own.running(_from=sliced.last(F.when(F.col("_starts"), F.col(time))), _to=sliced.upcoming(F.when(F.col("_ends"), F.col(time))), _later=sliced.upcoming(F.when(~F.col(off), F.lit(1))))
     keep = ~F.col(off) | (F.col(time) - F.col("_from") < tail) | (F.col("_later").isNotNull() & (F.col("_to") - F.col(time) < lead))
     return own.rows.where(keep).select(*df.columns)
+
+
+def labelled(df: DataFrame, key: str, order: list[str], label: str, value: str, least: int = 20, rows: int | None = None) -> DataFrame:
+    """(label, segments, seconds, spread, rows, mean, sd): what recordings say of each of their labels; the time, first in order, in seconds.
+
+    Segments are runs of a label within a key, from first to last row, half a second at least; seconds is their median and spread 1.4826 times the median distance from it, a tenth
+    of it at least. mean and sd are the value's over all rows of the label, null where it has fewer than `least`.
+    """
+    time = order[0]
+    runs = windows.run_id(Series(df, key, order, rows), "_run", label).rows.groupBy(key, "_run").agg(F.first(label).alias(label), F.greatest((F.max(time) - F.min(time)).cast("double"), F.lit(0.5)).alias("_s"))
+    runs = settled(runs)
+    middle = statistics.quantiles(runs, label, "_s", {"seconds": 0.5}, rows)
+    mad = statistics.mad(runs, label, "_s", rows).withColumnRenamed(label, "_mlabel")
+    count = runs.groupBy(F.col(label).alias("_clabel")).agg(F.count(F.lit(1)).alias("segments"))
+    enough = F.count(F.lit(1)) >= least
+    values = df.groupBy(F.col(label).alias("_vlabel")).agg(F.count(F.lit(1)).alias("rows"), F.when(enough, F.avg(value)).alias("mean"), F.when(enough, F.stddev_pop(value)).alias("sd"))
+    out = middle
+    for other, name in ((mad, "_mlabel"), (count, "_clabel"), (values, "_vlabel")):
+        out = out.join(other, F.col(label).eqNullSafe(F.col(name)))
+    return out.select(label, "segments", "seconds", F.greatest("mad", F.col("seconds") / 10).alias("spread"), "rows", "mean", "sd")
+
+
+def next_labels(df: DataFrame, key: str, order: list[str], label: str, rows: int | None = None) -> DataFrame:
+    """(a, b, share): the chance that label b follows a, over changes of label; a label that nothing ever follows goes to the one with most segments (of equals the first by name)."""
+    known = statistics.transitions(df, key, label, order, rows).select("a", "b", "share")
+    runs = windows.run_id(Series(df, key, order, rows), "_run", label).rows.select(key, "_run", label).distinct()
+    counts = settled(runs.groupBy(F.col(label).alias("a")).agg(F.count(F.lit(1)).alias("_n")))
+    most = counts.agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("a").alias("b"))).alias("_m")).select(F.col("_m.b").alias("b"))  # one row
+    last = counts.join(known.select("a").distinct(), "a", "left_anti").select("a").join(F.broadcast(most)).select("a", "b", F.lit(1.0).alias("share"))
+    return known.unionByName(last)

@@ -173,6 +173,18 @@ def forecast_transfer(e: DataFrame) -> DataFrame:
     return found.select("event_type", "model", "n", F.round("rmse", 5).alias("rmse"), six(F.col("nrmse")).alias("nrmse"), F.round("mae", 5).alias("mae"), six(F.col("relative")).alias("relative"))
 
 
+@query(f"""WITH p AS (SELECT *, {US} // 1000000 AS t FROM events), c AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS c FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c), s AS (SELECT event_type, greatest(max(t) - min(t), 0.5)::DOUBLE AS s FROM r GROUP BY user_id, run, event_type),
+m AS (SELECT event_type, median(s) AS m, count(*) AS segments FROM s GROUP BY 1), d AS (SELECT event_type, 1.4826 * median(abs(s - m)) AS mad FROM s JOIN m USING (event_type) GROUP BY 1)
+SELECT event_type, segments, m AS seconds, round(greatest(mad, m / 10), 4) AS spread, count(*) AS rows, round(CASE WHEN count(*) >= 20 THEN avg(value) END, 6) AS mean, round(CASE WHEN count(*) >= 20 THEN stddev_pop(value) END, 5) AS sd
+FROM m JOIN d USING (event_type) JOIN events USING (event_type) GROUP BY ALL""")
+def fit_labels(e: DataFrame) -> DataFrame:
+    """Kinds of event as labels of devices' recordings: their segments, how long these last, and the readings in them."""
+    own = e.select("user_id", "event_id", "event_type", "value", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("t"))
+    found = rhythm.labelled(own, "user_id", ["t", "event_id"], "event_type", "value")
+    return found.select("event_type", "segments", "seconds", F.round("spread", 4).alias("spread"), "rows", six(F.col("mean")).alias("mean"), F.round("sd", 5).alias("sd"))
+
+
 def registered(f):  # noqa: ANN001, ANN201
     """A query that has no SQL; tests compare its operator with plain Python."""
     QUERIES[f.__name__] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/events.parquet"))
