@@ -1,12 +1,14 @@
 """Copies, physical checks, periods, cycles, rhythm, hard iron, counter-rotation, fingerprints: against plain numpy and Python."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import rotation
-from tidemark.operators import attitude, copies, periods, physical, rhythm
+from tidemark.operators import attitude, copies, modes, periods, physical, rhythm, statistics
 
 
 def frame(spark, table):
@@ -400,3 +402,41 @@ def test_slerp_halfway(spark):
     a, b = rotation.from_euler(F.lit(0.0), F.lit(0.0), F.lit(10.0)), rotation.from_euler(F.lit(0.0), F.lit(0.0), F.lit(50.0))
     got = spark.range(1).select(attitude.between(a, rotation.quaternion(*(-b[c] for c in "wxyz")), F.lit(0.25)).alias("q"), rotation.from_euler(F.lit(0.0), F.lit(0.0), F.lit(20.0)).alias("want")).first()
     assert tuple(got.q) == pytest.approx(tuple(got.want), abs=1e-12)
+
+
+@pytest.mark.parametrize("most", [None, 25])
+def test_modes_last_until_the_value_is_back(spark, most):
+    rng = np.random.default_rng(5)
+    rows, events, want = [], [], []
+    for k, n in (("a", 150), ("b", 60)):
+        x = np.round(np.cumsum(rng.normal(0, 2, n)), 2)
+        t = np.cumsum(rng.integers(0, 3, n)).astype(float)
+        own = [(float(s), float(s + rng.integers(0, 6))) for s in rng.choice(np.arange(0, t[-1] + 5), 9, replace=False)]
+        on = np.zeros(n, bool)
+        for s, e in own:
+            i0, i1 = int(np.searchsorted(t, s)), int(np.searchsorted(t, e))
+            if i0 < n:
+                j = i1
+                while j < n and abs(x[j] - x[max(i0 - 1, 0)]) > 1.5:
+                    j += 1
+                on[i0:j] = True
+        rows += [(k, float(a), i, float(v)) for i, (a, v) in enumerate(zip(t, x, strict=True))]
+        events += [(k, s, e) for s, e in own]
+        want += [(k, i, bool(o)) for i, o in enumerate(on)]
+    df, asked = spark.createDataFrame(rows, "k string, t double, i int, x double"), spark.createDataFrame(events, "k string, s double, e double")
+    found = modes.until_back(df, "k", ["t", "i"], "x", asked, "s", "e", 1.5, most).collect()
+    assert sorted((r.k, r.i, r.mode) for r in found) == sorted(want) and 0 < sum(w[2] for w in want) < len(want)
+    assert not any(r.mode for r in modes.until_back(df, "k", ["t", "i"], "x", asked.limit(0), "s", "e", 1.5, most).collect())
+
+
+def test_bootstrapped_quantiles(spark):
+    rng = np.random.default_rng(7)
+    rows = [("a", int(b), float(v)) for b in range(6) for v in rng.integers(0, 40, int(rng.integers(3, 30)))] + [("one", 0, 5.0)]
+    df = spark.createDataFrame(rows, "k string, b int, v double")
+    blocks = {b: [v for k, c, v in rows if k == "a" and c == b] for b in range(6)}
+    u = lambda r, i: int(hashlib.md5(f"s/{r}/{i}".encode()).hexdigest()[:8], 16)
+    draws = [np.quantile(sum((blocks[u(r, i) % 6] for i in range(6)), []), 0.9) for r in range(1, 16)]
+    for most in (None, 10):
+        found = {r.k: r for r in statistics.bootstrapped(df, "k", "b", "v", 0.9, 15, "s", most).collect()}
+        assert found["a"]["quantile"] == pytest.approx(np.quantile(sum(blocks.values(), []), 0.9)) and found["a"].sigma == pytest.approx(np.std(draws, ddof=1))
+        assert (found["one"]["quantile"], found["one"].sigma) == (5.0, 0.0)

@@ -31,9 +31,9 @@ def aligned(left: DataFrame, right: DataFrame, key: str, order: list[str], rows:
     return both.select(F.coalesce("_left_key", "_right_key").alias(key), F.coalesce("_left_i", "_right_i").alias("i"), "left", "right")
 
 
-def following(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str, rows: int | None = None) -> DataFrame:
-    """queries with the value of the first sample strictly after each time, or null."""
-    both = queries.withColumn("_query", F.lit(1)).unionByName(samples.select(key, time, F.col(value).alias("_value"), F.lit(0).alias("_query")), allowMissingColumns=True)
+def following(queries: DataFrame, samples: DataFrame, key: str, time: str, value: str, rows: int | None = None, at: bool = False) -> DataFrame:
+    """queries with the value of the first sample strictly after each time (at: or at it), or null."""
+    both = queries.withColumn("_query", F.lit(1)).unionByName(samples.select(key, time, F.col(value).alias("_value"), F.lit(2 if at else 0).alias("_query")), allowMissingColumns=True)
     return Series(both, key, [time, "_query", "_value"], rows).running(_next=sliced.upcoming(F.col("_value"))).rows.where("_query = 1").withColumn(value, F.col("_next")).drop("_value", "_query", "_next")
 
 

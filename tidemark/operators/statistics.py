@@ -67,6 +67,35 @@ def autocorrelation(df: DataFrame, key: str, value: str, order: list[str], lags:
     return sums.select(key, "n", F.inline(acf)).where("lag < n").drop("n")
 
 
+def seeded(seed: str, *parts: Column) -> Column:
+    """A whole number below 2^32 from the parts, the same wherever it is computed."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
+
+
+def bootstrapped(df: DataFrame, key: str, block: str, value: str, share: float, reps: int = 200, seed: str = "boot", rows: int | None = None) -> DataFrame:
+    """(key, quantile, sigma): an exact quantile of each key and its standard deviation over `reps` draws of as many blocks, with replacement.
+
+    What is drawn are blocks, so a draw is a table of how often each block counts; joined to the counted values of the blocks it gives each draw's ranks without copying a row more than once a draw.
+    Nulls take no part. sigma is null with fewer than two draws.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, block, value).agg(F.count(F.lit(1)).alias("_c"))
+    blocks = Series(counted.select(key, block).distinct(), key, [block], rows).running(_i=sliced.number(), _left=sliced.remaining(F.lit(1))).rows
+    blocks = blocks.select(F.col(key).alias("_key"), F.col(block).alias("_block"), (F.col("_i") - 1).alias("_i"), (F.col("_i") + F.col("_left") - 1).alias("_k"))
+    draws = blocks.select("_key", "_k", "_i", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("_rep")).select("_key", "_rep", (seeded(seed, F.col("_rep"), F.col("_i")) % F.col("_k")).alias("_j"))
+    often = draws.groupBy("_key", "_rep", "_j").agg(F.count(F.lit(1)).alias("_times")).toDF("_dkey", "_rep", "_j", "_times")
+    named = blocks.join(often, F.col("_key").eqNullSafe(F.col("_dkey")) & (F.col("_i") == F.col("_j"))).select("_key", "_block", "_rep", "_times")
+    drawn = counted.join(named, F.col(key).eqNullSafe(F.col("_key")) & F.col(block).eqNullSafe(F.col("_block"))).select(F.struct(F.col(key).alias("k"), F.col("_rep").alias("rep")).alias("_of"), value, (F.col("_c") * F.col("_times")).alias("_w"))
+    each = running_counts(drawn, "_of", value, {"n": F.sum("_w")}, rows).groupBy("_of").agg(*between(value, {"q": share}))
+    spread = each.groupBy(F.col("_of.k").alias("_skey")).agg(F.stddev_samp(line("q")).alias("sigma"))
+    whole = running_counts(counted, key, value, {"n": F.sum("_c")}, rows).groupBy(key).agg(*between(value, {"q": share})).select(key, line("q").alias("quantile"))
+    return whole.join(spread, F.col(key).eqNullSafe(F.col("_skey"))).select(key, "quantile", "sigma")
+
+
+def tolerance(own: Column, other: Column) -> Column:
+    """Twice the deviation of a difference whose sides have these."""
+    return 2 * F.sqrt(own * own + other * other)
+
+
 def ks_p_value(d: Column, n: Column, m: Column) -> Column:
     """The limit distribution's chance of a Kolmogorov-Smirnov distance of d or more between samples of n and m equal distributions: 2 * sum of (-1)^(k-1) exp(-2 k^2 x^2)."""
     x2 = d * d * n * m / (n + m)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import rotation
-from tidemark.operators import attitude, copies, forecast, periods, physical, rhythm, twosample
+from tidemark.operators import attitude, copies, forecast, periods, physical, rhythm, statistics, twosample
 from tidemark.plans.catalog import ORDER, QUERIES, query, six
 from tidemark.plans.sensors import Q_SQL, US, oriented
 
@@ -185,6 +185,23 @@ def fit_labels(e: DataFrame) -> DataFrame:
     return found.select("event_type", "segments", "seconds", F.round("spread", 4).alias("spread"), "rows", six(F.col("mean")).alias("mean"), F.round("sd", 5).alias("sd"))
 
 
+@query("""WITH p AS (SELECT event_type, value, epoch_us(ts) // 86400000000 AS day, user_id FROM events), b AS (SELECT event_type, day, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS k FROM (SELECT DISTINCT event_type, day FROM p WHERE user_id % 2 = 0)),
+d AS (SELECT event_type, rep, ('0x' || substr(md5('limits/' || rep || '/' || i), 1, 8))::BIGINT % k AS j FROM b, (SELECT unnest(range(1, 21)) AS rep)),
+q AS (SELECT d.event_type, rep, quantile_cont(value, 0.99) AS q FROM d JOIN b ON b.event_type = d.event_type AND b.i = d.j JOIN p ON p.event_type = b.event_type AND p.day = b.day AND p.user_id % 2 = 0 GROUP BY ALL),
+r AS (SELECT event_type, quantile_cont(value, 0.99) AS real FROM p WHERE user_id % 2 = 0 GROUP BY 1), s AS (SELECT event_type, stddev_samp(q) AS sigma_real FROM q GROUP BY 1),
+o AS (SELECT event_type, stddev_samp(q) AS sigma_seed FROM (SELECT event_type, user_id % 10 AS seed, quantile_cont(value, 0.99) AS q FROM p WHERE user_id % 2 = 1 GROUP BY ALL) GROUP BY 1)
+SELECT event_type, round(real, 6) AS real, round(sigma_real, 5) AS sigma_real, round(sigma_seed, 5) AS sigma_seed, round(2 * sqrt(sigma_real * sigma_real + sigma_seed * sigma_seed) / real, 6) AS rel_tol FROM r JOIN s USING (event_type) JOIN o USING (event_type)""")
+def derive_limits(e: DataFrame) -> DataFrame:
+    """How far a 99th percentile may be from that of even devices: their deviation over drawn days, and that between five groups of odd devices."""
+    own = e.withColumn("day", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000))
+    real = statistics.bootstrapped(own.where("user_id % 2 = 0"), "event_type", "day", "value", 0.99, 20, "limits")
+    seeds = own.where("user_id % 2 = 1").select(F.struct("event_type", (F.col("user_id") % 10).alias("seed")).alias("of"), "value")
+    seeds = statistics.quantiles(seeds, "of", "value", {"q": 0.99}).groupBy(F.col("of.event_type").alias("event_type")).agg(F.stddev_samp("q").alias("sigma_seed"))
+    found = real.join(seeds, "event_type")
+    limit = statistics.tolerance(F.col("sigma"), F.col("sigma_seed")) / F.col("quantile")
+    return found.select("event_type", six(F.col("quantile")).alias("real"), F.round("sigma", 5).alias("sigma_real"), F.round("sigma_seed", 5).alias("sigma_seed"), six(limit).alias("rel_tol"))
+
+
 def registered(f):  # noqa: ANN001, ANN201
     """A query that has no SQL; tests compare its operator with plain Python."""
     QUERIES[f.__name__] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/events.parquet"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import physics, rotation, text, units
-from tidemark.operators import gates, lookups, motion, sliced, statistics, windows
+from tidemark.operators import gates, lookups, modes, motion, sliced, statistics, windows
 from tidemark.operators.sliced import Series
 from tidemark.plans.catalog import ORDER, OVER, QUERIES, log, query, scalar, six
 
@@ -180,6 +180,19 @@ def event_mode(e: DataFrame) -> DataFrame:
     return windows.latch(log(e), "mode", F.col("event_type") == "purchase", F.col("value") < 20, on="exposed", off="normal").rows.select("event_id", "mode")
 
 
+@query(f"""WITH p AS (SELECT event_id, user_id, event_type, value, {US} // 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY {US} // 1000000, event_id) AS i FROM events),
+v AS (SELECT user_id, t AS s, t + 7200 AS e FROM p WHERE event_type = 'purchase' AND value > 60),
+f AS (SELECT v.user_id, s, e, (SELECT min(i) FROM p WHERE p.user_id = v.user_id AND p.t >= s) AS i0, (SELECT min(i) FROM p WHERE p.user_id = v.user_id AND p.t >= e) AS i1 FROM v),
+b AS (SELECT f.*, p.value AS base FROM f JOIN p ON p.user_id = f.user_id AND p.i = greatest(i0 - 1, 1)),
+j AS (SELECT b.user_id, i0, CASE WHEN i1 IS NULL THEN NULL ELSE (SELECT min(i) FROM p WHERE p.user_id = b.user_id AND p.i >= i1 AND abs(p.value - base) <= 8) END AS j FROM b)
+SELECT event_id, EXISTS (SELECT 1 FROM j WHERE j.user_id = p.user_id AND p.i >= i0 AND (j IS NULL OR p.i < j)) AS mode FROM p""")
+def mode_until_back(e: DataFrame) -> DataFrame:
+    """From a large purchase on, through two hours, until the reading is within 8 of the one before it."""
+    own = e.select("event_id", "user_id", "event_type", "value", seconds().alias("t"))
+    large = own.where("event_type = 'purchase' and value > 60").select("user_id", F.col("t").alias("s"), (F.col("t") + 7200).alias("e"))
+    return modes.until_back(own, "user_id", ["t", "event_id"], "value", large, "s", "e", 8.0).select("event_id", "mode")
+
+
 @query(f"""WITH i AS (SELECT user_id, {US} // 1000000 AS s, {US} // 1000000 + 3600 AS e FROM events WHERE event_type = 'signup'),
 m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
 n AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - reach >= 7200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS episode FROM m)
