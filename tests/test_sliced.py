@@ -11,7 +11,7 @@ from tidemark.operators.sliced import Series
 from tidemark.plans import catalog, recordings, sensors  # noqa: F401
 
 #: Queries that between them use every function of operators/windows.py and operators/statistics.py over series.
-DEVICE_QUERIES = ["exposure_alarms", "run_progress", "as_of_backward", "quat_unwrap", "stillness_timer", "held_deviation", "gate_alarm", "gate_twa", "state_transitions", "agg_similarity_row", "agg_otsu"]
+DEVICE_QUERIES = ["exposure_alarms", "run_progress", "as_of_backward", "quat_unwrap", "stillness_timer", "held_deviation", "gate_alarm", "gate_twa", "state_transitions", "agg_otsu"]
 
 
 @pytest.fixture(scope="module")
