@@ -79,19 +79,32 @@ def test_located_is_every_occurrence_of_whole_words():
 
 
 def test_network_decides_on_secrets_that_the_rules_miss(spark, texts):
-    """Keys after cues that no rule knows, in texts that weren't learnt from; other candidates stay."""
+    """Keys after cues that no rule knows, without any, and of small letters alone, in texts that weren't learnt from; other candidates stay."""
     network = secret_scan.train(documents(spark, SF))
-    rng, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rng, small, large = random.Random(5), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = {"mixed": small + large + "0123456789", "hex": "ABCDEF0123456789", "small": small + "0123456789", "large": large + "0123456789", "letters": small}
     cues = ["the passphrase is {} now", "my pwd: {} ok", "login key {} here", "Bearer {} then"]
-    rows = [(k, texts[i][-150:] + " " + cues[k % 4].format("".join(rng.choices(letters if k % 2 else letters[26:32] + letters[52:], k=rng.randint(18, 36)))) + " end") for k, i in enumerate(rng.sample(sorted(texts), 200))]
-    rows = [r for r in rows if not secret_scan.base_spans(r[1])]
+    for name, alphabet in alphabets.items():
+        for forms in (cues[:3] if name == "letters" else cues, *([] if name == "letters" else [["and {} then", "see {}.", "{}"]])):
+            rows = [(k, texts[i][-150:] + " " + forms[k % len(forms)].format("".join(rng.choices(alphabet, k=rng.randint(16, 36)))) + " end") for k, i in enumerate(rng.sample(sorted(texts), 120))]
+            rows = [r for r in rows if not secret_scan.base_spans(r[1])]
+            found = secret_scan.judged(network, [t for _, t in rows])[0]
+            assert len(rows) > 100 and sum(map(bool, found)) >= 0.9 * len(rows), (name, forms)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert len(rows) > 180 and sum(bool(r.spans) for r in secret_scan.find(docs, network).collect()) >= 0.5 * len(rows)
+    assert sum(bool(r.spans) for r in secret_scan.find(docs, network).collect()) >= 0.9 * len(rows)
     assert not any(r.spans for r in secret_scan.find(docs, secret_scan.Network()).collect())  # without the network nothing is found
+    numbers = ["".join(rng.choices("0123456789", k=rng.randint(6, 24))) for _ in range(200)]
+    harmless = [f"{x} token = yes" for x in numbers] + [f"the key {x} is here" for x in numbers] + ["the password is required here", "a secret: nothing", "passwords expire monthly"]
+    assert sum(map(len, secret_scan.judged(network, harmless)[0])) <= 0.01 * len(harmless)
     whole = secret_scan.find(documents(spark, SF), network).collect()
     added = sum(len(r.spans.split(",")) * bool(r.spans) - r.n_assign - r.n_access - r.n_hex for r in whole)
     asked, yes, base = (sum(r[c] for r in whole) for c in ("n_candidates", "n_judged", "n_assign"))
-    assert asked > 100 and yes >= 0.9 * base and added <= 0.02 * asked
+    assert asked > 100 and yes >= 0.9 * base and added == 0  # these texts hold no secret that the rules miss
+
+
+def test_candidates_are_all_that_is_no_word_alone():
+    text = "the password is letmeinplease and swordfishtrombones, 'quoted', x=assign abc123 aBcdef plain words"
+    assert [text[a:b] for _, a, b in secret_scan.candidates(text)] == ["letmeinplease", "swordfishtrombones", "quoted", "assign", "abc123", "aBcdef"]
 
 
 def test_threshold_keeps_the_recall_asked_for():
@@ -99,7 +112,9 @@ def test_threshold_keeps_the_recall_asked_for():
     x, y = rng.integers(2, 60, (300, 40)), (np.arange(300) % 2).astype(int)
     x[y == 1, :9] = 5
     network = secret_scan.Network().fit(x, y, recall=0.9)
-    assert network.threshold <= 0.5 and (network.probabilities(x[y == 1]) >= network.threshold).mean() >= 0.9
+    kept = (network.probabilities(x[y == 1]) >= network.threshold).mean()
+    assert 0.85 <= kept <= 0.99 and not (network.probabilities(x[y == 0]) >= network.threshold).any()  # of all; the share is kept of the third that sets the threshold
+    assert secret_scan.Network().fit(x, y, recall=0.99).threshold < network.threshold
 
 
 def test_long_candidates_are_read_whole():

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from base64 import b32encode, b64encode
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +18,21 @@ KINDS = ["assign", "access", "hex"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=.-]{6,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.-]{6,}+={0,2}")
 DIGIT = re.compile(r"[0-9]")
 MIXED = re.compile(r"[a-z][A-Z]")
 #: Texts that can hold a finding of the rules.
 LIKELY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 #: Runs that are no secret: numbers, dates and addresses, words, names of hosts and files.
 HARMLESS = re.compile(r"[0-9./_-]+|[A-Za-z][a-z]*[.=/_-]*|[A-Z]+[.=/_-]*|[A-Za-z]+(?:[./_-][A-Za-z]+)*\.?[0-9]{0,3}|[A-Za-z-]+[0-9]{0,3}(?:\.[A-Za-z]+)+")
-#: What stands before a secret that the rules miss, and before words that are none.
-CUES = ["pwd is ", "passphrase: ", "credential ", "auth=", "key -> \"", "use ", "login with '", ""]
+#: Words that announce a secret: runs of letters alone are candidates after one of them.
+TOLD = re.compile(r"(?i:pass|pwd|secret|token|key|credential|login|auth)[a-z]{0,6}")
+#: What stands before a secret that the rules miss, and before words and numbers that are none.
+CUES = ["pwd is ", "passphrase: ", "credential ", "auth=", "key -> \"", "use ", "login with '", "password is ", "the key ", "Secret> ", "(", ""]
+#: What stands after either.
+AFTERS = ["", " token = ", "\n", ", ", ") ", ": "]
 BEFORE, AFTER, LONGEST, WIDTH = 16, 8, 96, 5
+NEAR, UNWORDLY = 12, 16
 
 
 def base_spans(text: str) -> list[Span]:
@@ -43,15 +47,20 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str) -> list[Span]:
-    """Every run of 6 or more key characters that has a digit or changes from small to capital letters, or that follows a
-    quotation mark, an equals sign or a colon, with the kind it is most like: what the rules find is among them, and their near misses too."""
+    """Every run of 6 or more key characters that isn't shaped as a word alone, with the kind it is most like: what the rules find is
+    among them, and their near misses too. A run has a digit, changes from small to capital letters or has UNWORDLY characters or
+    more; or it follows a quotation mark, an equals sign or a colon, or stands within NEAR characters after a word that announces a secret."""
     out: list[Span] = []
+    told_until = [m.end() + NEAR for m in TOLD.finditer(text)]
+    last, at = -1, 0
     for m in RUN.finditer(text):
         run, a = m[0], m.start()
+        while at < len(told_until) and told_until[at] - NEAR <= a:
+            last, at = told_until[at], at + 1
         before = text[max(0, a - 3) : a].rstrip(" \"'")
         told = before[-1:] in ("=", ":") and before
-        if told or DIGIT.search(run) or MIXED.search(run) or (a and text[a - 1] in "\"'"):
-            out.append(("assign" if told else "access" if run.upper() == run else "hex", *m.span()))
+        if told or a <= last or len(run) >= UNWORDLY or DIGIT.search(run) or MIXED.search(run) or (a and text[a - 1] in "\"'"):
+            out.append(("assign" if told or a <= last else "access" if run.upper() == run else "hex", *m.span()))
     return out
 
 
@@ -99,16 +108,17 @@ class Network:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(x) + self.offset, -50, 50)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, recall: float = 0.99, batch: int = 32, rate: float = 0.005, seed: int = 3) -> "Network":
-        """Adam on two thirds; the rest calibrates the probabilities (Platt scaling) and sets the threshold:
-        even odds, or less where fewer than the share `recall` of its labelled findings reach them."""
+    def fit(self, x: np.ndarray, y: np.ndarray, recall: float = 0.97, batch: int = 32, rate: float = 0.005, seed: int = 3) -> "Network":
+        """Adam, in steps that get smaller, on two thirds; the rest calibrates the probabilities (Platt scaling) and sets the threshold:
+        the highest that the share `recall` of its labelled findings reach, so no more is asked of precision than recall allows."""
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(x))
         cut = len(x) * 2 // 3
         learn, check = order[:cut], order[cut:]
         params = [self.kernel, self.shift, self.dense, np.zeros(1)]
         first, second, turn = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        epochs = int(np.clip(20_000 // max(1, len(x)), 6, 20))
+        epochs = int(np.clip(60_000 // max(1, len(x)), 10, 20))
+        turns = epochs * -(-len(learn) // batch) + 1
         for _ in range(epochs if len(np.unique(y[learn])) == 2 else 0):
             rng.shuffle(learn)
             for at in range(0, len(learn), batch):
@@ -124,14 +134,15 @@ class Network:
                 np.put_along_axis(d_h, top[:, None, :], np.take_along_axis(d_h, top[:, None, :], 1) + d_pooled[:, None, :f], 1)
                 d_h *= h > 0
                 d_kernel = np.zeros_like(self.kernel)
+                shown = np.eye(len(CLASSES) + 2)[xb]
                 for k in range(WIDTH):
-                    np.add.at(d_kernel[k], xb[:, k : k + places].ravel(), d_h.reshape(-1, f))
+                    d_kernel[k] = shown[:, k : k + places].reshape(n * places, -1).T @ d_h.reshape(-1, f)
                 d_kernel[:, PAD] = 0
                 turn += 1
                 for p, g, m, v in zip(params, (d_kernel, d_h.sum(axis=(0, 1)), pooled.T @ wrong, np.array([wrong.sum()])), first, second, strict=True):
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
-                    p -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
+                    p -= rate * (1 - turn / turns) * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
                 self.bias = float(params[3][0])
         self.trained = turn > 0
         if len(np.unique(y[check])) == 2:
@@ -142,57 +153,95 @@ class Network:
                 self.slope -= 0.2 * float(((p - soft) * z).mean() / (1 + (z * z).mean()))
                 self.offset -= 0.2 * float((p - soft).mean())
             kept = np.sort(self.probabilities(x[check][t == 1]))
-            self.threshold = min(0.5, float(kept[int(len(kept) * (1 - recall))]))
+            self.threshold = float(kept[int(len(kept) * (1 - recall))])
         return self
 
 
-def disguised(value: str) -> list[str]:
-    """Forms of a secret's value that the rules needn't find: as it is, in capitals, short, in groups, and keys derived from it in
-    the alphabets of base 64, base 36 and base 32."""
-    own = hashlib.sha256(value.encode()).digest()
-    base64 = b64encode(own, b"-_").decode().rstrip("=")
-    size = 14 + own[0] % 24
-    return [value, value.upper()[: size + 4], value[:14], "-".join(value[i : i + 5] for i in range(0, len(value), 5))[:48], base64[:size], base64[::-1].lower()[:size], b32encode(own).decode()[:size], b64encode(own[::-1]).decode()[: size // 4 * 4]]
+#: Alphabets of keys: base 64 of either sort, base 62, 36 and 32, hexadecimal capitals.
+SMALL, LARGE, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = [SMALL + LARGE + DIGITS + "+/", SMALL + LARGE + DIGITS + "-_", SMALL + LARGE + DIGITS, SMALL + DIGITS, LARGE + "234567", DIGITS + "ABCDEF", LARGE + DIGITS]
 
 
-def labelled(text: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def drawn(rng: np.random.Generator, alphabet: str, least: int, most: int) -> str:
+    return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), rng.integers(least, most + 1)))
+
+
+def disguised(value: str, rng: np.random.Generator) -> list[str]:
+    """Forms of a secret that the rules needn't find: its value as it is, in capitals, short and in groups; and keys drawn in its stead,
+    long and short, from each alphabet, and in groups."""
+    groups = [drawn(rng, ALPHABETS[int(k)], 4, 6) for k in rng.choice([2, 3, 5, 6], 4)]
+    keys = [drawn(rng, alphabet, least, most) for alphabet in ALPHABETS for least, most in ((12, 22), (20, 44))]
+    short = drawn(rng, SMALL + LARGE + DIGITS, 8, 12)
+    return [value, value.upper()[:40], value[:14], "-".join(value[i : i + 5] for i in range(0, len(value), 5))[:48], "-".join(groups), *keys, *([short] if DIGIT.search(short) else [])]
+
+
+def numbers(rng: np.random.Generator) -> list[str]:
+    """Numbers as they stand in texts: long ones, amounts, dates, addresses and telephone numbers."""
+    parts = [drawn(rng, DIGITS, 2, 4) for _ in range(4)]
+    return [drawn(rng, DIGITS, 6, 24), drawn(rng, DIGITS, 14, 18), "-".join(parts[:3]), ".".join(parts), "/".join(parts[:3]), drawn(rng, DIGITS, 4, 8) + "." + parts[0]]
+
+
+def names(words: list[str], rng: np.random.Generator) -> list[str]:
+    """Names made of the text's own words that are no secrets although long, or with digits or capitals in them: files, variables, hosts, versions, compounds."""
+    a, b, c, d, e = (words[i] for i in rng.integers(0, len(words), 5))
+    n = drawn(rng, DIGITS, 1, 4)
+    return [f"{a}_{b}_{n}.txt", a.lower() + b.capitalize() + c.capitalize(), f"{a.capitalize()}{b.capitalize()}{n}", f"www.{a}-{b}{n}.org/{c}", f"{a}-{n}.{n[:1]}.{n[-1:]}", f"{a.upper()}_{b.upper()}", f"{a}{n}", f"{a}/{b}/{c}.{n[:1]}", f"{a}{b}", f"{a}-{b}-{c}", f"{a}{b}{c}".lower(), f"{c}{d}{e}{a}".lower(), f"{b}{d}{e}".capitalize(), f"{a}{b}{c}".upper()]
+
+
+def labelled(text: str, times: int = 1) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """(secrets, others) of a text as the network sees them.
 
-    Secrets are the rules' findings (what is assigned without the name before it), and disguised forms of each value after
-    cues that the rules don't know, in place of the finding. Others are runs of harmless form that no rule finds, in place, among capitals, and
-    after the same cues. Runs of other forms have no label: a secret that the rules miss isn't taught as none.
+    Secrets are the rules' findings (what is assigned without the name before it), and `times` times the disguised forms of each, in place of other runs
+    of the text, half of them after cues that the rules don't know; small letters alone only after a cue. Others are runs of harmless form
+    that no rule finds, in place and among capitals; and numbers, names and words in the same places and after the same cues. Runs of other forms have no label: a secret that the rules miss isn't taught as none. Draws are seeded by the text.
     """
     base, secret, other = base_spans(text), [], []
-    for n, (kind, a, b) in enumerate(base):
+    rng = np.random.default_rng(int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big"))
+    runs = apart([("", *m.span()) for m in RUN.finditer(text)], base)
+    plain = [(a, b) for _, a, b in runs if HARMLESS.fullmatch(text, a, b)]
+    words = [w for a, b in plain if (w := text[a:b]).isalpha() and len(w) <= 12] or ["words"]
+
+    def put(form: str, cue: str) -> list[np.ndarray]:
+        """The form in place of one of the plain runs, after the cue, now and then among capitals: what is around secrets and others is alike."""
+        a, b = plain[rng.integers(0, len(plain))] if plain else (0, len(text))
+        shown, after = text[max(0, a - 40) : a] + cue, AFTERS[rng.integers(0, len(AFTERS))]
+        after = cue[-1:] * (cue[-1:] in "\"'") + after + text[b : b + 2 * AFTER].lstrip("\"'")
+        if rng.random() < 0.15:
+            shown, after = shown.upper(), "!!" + after.upper()
+        return [encoded(shown + form + after, *piece) for piece in pieces(len(shown), len(shown) + len(form))]
+
+    def cued(share: float) -> str:
+        return CUES[rng.integers(0, len(CUES))] if rng.random() < share else ""
+
+    for kind, a, b in base:
         if kind == "assign":
             a = ASSIGN.match(text, a).start(2)
         secret += [encoded(text, *piece) for piece in pieces(a, b)]
-        for i, form in enumerate(disguised(text[a:b]) * 2):
-            cue = CUES[(3 * n + i + i // len(CUES)) % len(CUES)]
-            shown = text[max(0, a - 40) : a].rsplit(" ", 2)[0] + " " + cue
-            after = cue[-1:] * (cue[-1:] in "\"'") + text[b : b + 2 * AFTER].lstrip("\"'")
-            secret += [encoded(shown + form + after, *piece) for piece in pieces(len(shown), len(shown) + len(form))]
-    runs = apart([("", *m.span()) for m in RUN.finditer(text)], base)
-    plain = [(a, b) for _, a, b in runs if HARMLESS.fullmatch(text, a, b)]
+        for _ in range(times):
+            secret += [row for form in disguised(text[a:b], rng) for row in put(form, cued(0.5))]
+            secret += put(drawn(rng, SMALL, 10, 24), CUES[rng.integers(0, 10)])
     asked = {(a, b) for _, a, b in candidates(text)}
-    step = max(1, len(plain) // 6)
-    for i, (a, b) in enumerate(plain):
+    for a, b in plain:
         if (a, b) in asked:
             loud = text[max(0, a - BEFORE) : a].upper()
             other += [encoded(t, *piece) for t, k in ((text, a), (loud + text[a:b] + "!!" + text[b : b + AFTER].upper(), len(loud))) for piece in pieces(k, k + b - a)]
-        if i % step == 0:
-            cue = CUES[(a + b) % len(CUES)]
-            shown = text[max(0, a - 40) : a] + cue
-            other.append(encoded(shown + text[a : b + AFTER], len(shown), min(len(shown) + b - a, len(shown) + LONGEST)))
+    for i in rng.integers(0, len(plain), 4) if plain else []:
+        other += [row for form in (text[slice(*plain[i])], *numbers(rng), *names(words, rng)) for row in put(form, cued(0.5))]
     return secret, other
 
 
-def train(docs: DataFrame, most_texts: int = 400, most_bytes: int = 8 << 20, longest: int = 1 << 17, most_examples: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Network:
+def evenly(rows: list, most: int) -> list:
+    """At most `most` of the rows, those left out spread evenly."""
+    return rows if len(rows) <= most else [rows[i] for i in np.linspace(0, len(rows) - 1, most).astype(int)]
+
+
+def train(docs: DataFrame, most_texts: int = 400, most_bytes: int = 8 << 20, longest: int = 1 << 17, most_examples: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Network:
     """A network from the labelled findings (labelled()) of at most most_texts texts with a digit that can hold one and as many others: those of
-    least MD5 of id and text, none over `longest` bytes, most_bytes of each in all, most_examples of secrets and of others."""
+    least MD5 of id and text, none over `longest` bytes, most_bytes of each in all, most_examples of secrets and twice as many others. Findings
+    are disguised up to eight times over where there are too few of them for that many examples."""
     texts = docs.where(F.octet_length(text_col) <= longest).select(sample_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     keys = staged(texts.where(F.col("text").rlike("[0-9]")).select("k", F.col("text").rlike(LIKELY).alias("likely")), "secrets-keys")  # texts are searched once
-    secret, plain = [], []
+    learnt: list[str] = []
     for rows in (keys.where("likely"), keys.where("not likely")):
         chosen = F.broadcast(least_keyed(rows.select("k"), most_texts).distinct())  # at most most_texts keys
         size = 0
@@ -200,11 +249,10 @@ def train(docs: DataFrame, most_texts: int = 400, most_bytes: int = 8 << 20, lon
             own = len(row.text.encode())
             if size + own <= most_bytes:
                 size += own
-                yes, no = labelled(row.text)
-                secret += yes
-                plain += no
-    # Examples over the bound are left out evenly.
-    secret, plain = (x[:: -(-len(x) // most_examples) or 1] for x in (secret, plain))
+                learnt.append(row.text)
+    forms = len(disguised("", np.random.default_rng(0))) * max(1, sum(len(base_spans(t)) for t in learnt))
+    each = [labelled(t, min(8, -(-most_examples // forms))) for t in learnt]
+    secret, plain = (evenly([row for own in each for row in own[k]], most_examples * (k + 1)) for k in (0, 1))
     if not secret or not plain:
         return Network()
     return Network().fit(np.stack(secret + plain), np.array([1] * len(secret) + [0] * len(plain)))
