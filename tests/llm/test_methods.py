@@ -134,7 +134,26 @@ def test_field_finds_variants_and_no_rejected_numbers(spark, texts):
         if pii.apart([span], pii.base_spans(text)):
             total += 1
             found += span in pii.field_spans(crf, [text])[0]
-    assert total > 30 and found >= 0.6 * total
+    assert total > 30 and found >= 0.9 * total
+    new = missed = wrong = 0  # forms that the training code doesn't build, and numbers that are no personal data
+    for kind, before, value, after in some:
+        digits, (local, _, domain) = "".join(c for c in value if c.isdigit()), value.partition("@")
+        groups = [digits[i : i + 4] for i in range(0, 16, 4)]
+        forms = {
+            "email": [f"{local} (AT) {domain}", f"{local} AT {domain.replace('.', ' DOT ')}", "jane.doe (at) corp-mail.org", f"{local}[at]{domain}"],
+            "ip": [value.replace(".", "[.]", 1), value.replace(".", "<.>"), value.replace(".", " [.] ")],
+            "card": [" . ".join(groups), "*".join(groups)],
+            "phone": [f"00 {digits[:-10]} {digits[-10:-7]} {digits[-7:]}", f"({digits[-10:-7]})-{digits[-7:-4]}-{digits[-4:]}", f"+{digits[:-10]}-{digits[-10:-7]}/{digits[-7:]}"],
+        }[kind]
+        for form in forms:
+            text, span = before + form + after, (kind, len(before), len(before) + len(form))
+            if pii.apart([span], pii.base_spans(text)):
+                new += 1
+                missed += span not in pii.field_spans(crf, [text])[0]
+        for form in ("2021-03-04 12:30:15", "1,234,567.89", "12 345 678 901", "1234567890123", "2019 2020 2021", "page 12 of 345", "figures 12-14 and 2010-2020", "look at example.com", "order 2024/0001/0042/77"):
+            text = before + form + after
+            wrong += any(a < len(before) + len(form) and b > len(before) for _, a, b in pii.apart(pii.field_spans(crf, [text])[0], pii.base_spans(text)))
+    assert new > 100 and missed <= 0.1 * new and wrong <= 0.02 * 9 * len(some), (missed, new, wrong)
     rejected = ["4111 1111 1111 1112 is no card", "host 300.1.2.3 and 1.2.3.999", "at 12345678901234567890 or 5555 5555"]
     assert not any(s[0] in ("card", "ip") for own in pii.field_spans(crf, rejected) for s in own)
     whole = pii.find(documents(spark, SF), crf).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-ANCHOR = re.compile(r"[0-9@]+|[\[(](?:at|dot)[\])]", re.IGNORECASE)
+#: Marks and words of an address that is spelled out.
+SPOKEN = {"at", "dot"}
+ANCHOR = re.compile(r"[0-9@]+|[\[({](?:at|dot)[\])}]|(?<=\s)dot(?=\s)", re.IGNORECASE)
+ADDRESS = re.compile(r"[^\s@]+\s*(?:@|[\[({]at[\])}])\s*[^\s@.\[({]+(?:(?:\.|\s*[\[({]dot[\])}]\s*)[^\s@.\[({]+)+", re.IGNORECASE)
+SPELLED = re.compile(r"[^\s@]+\s+at\s+[^\s@.\[(]+(?:\s+dot\s+[^\s@.\[(]+)+", re.IGNORECASE)
 TOKEN = re.compile(r"\S+")
 
 
@@ -67,7 +72,7 @@ def shape(token: str, longest: int) -> str:
 
 
 def windows(text: str, tokens: list[tuple[int, int]], around: int = 3) -> list[tuple[int, int]]:
-    """Runs of tokens [from, to) around those that hold a digit, an at sign or one spelled out in brackets: every kind of span holds one."""
+    """Runs of tokens [from, to) around those that hold a digit, an at sign, or one or a dot spelled out: every kind of span holds one."""
     starts = np.array([a for a, _ in tokens])
     held = np.unique(np.searchsorted(starts, [m.start() for m in ANCHOR.finditer(text)], "right") - 1)
     out: list[tuple[int, int]] = []
@@ -92,7 +97,7 @@ class Crf:
     @classmethod
     def features(cls, words: list[str]) -> np.ndarray:
         """Nine features for each word: its shapes, ends and size, and the shapes beside it."""
-        short = ["^", *(shape(w, 1) for w in words), "$"]
+        short = ["^", *(w.lower() if w.lower() in SPOKEN else shape(w, 1) for w in words), "$"]
         rows = []
         for i, w in enumerate(words):
             digits = sum(c.isdigit() for c in w)
@@ -202,7 +207,9 @@ def variants(kind: str, value: str) -> list[str]:
     """Forms of a finding that the rules miss: spelled out, bracketed, or with other separators."""
     if kind == "email":
         local, _, domain = value.partition("@")
-        return [f"{local} (at) {domain}", f"{local}[at]{domain}", f"{local} @ {domain}", f"{local} [at] {domain.replace('.', ' [dot] ')}"]
+        name, host = (re.sub(r"[0-9]+", "", x).strip("._%+-") or "jo" for x in (local, domain))
+        spelled = [f"{x} at {y.replace('.', ' dot ')}" for x, y in ((local, domain), (name, host))]
+        return [f"{local} (at) {domain}", f"{local}[at]{domain}", f"{local} @ {domain}", f"{local} [at] {domain.replace('.', ' [dot] ')}", *spelled, f"{name} (at) {host}", f"{name}(at){host.replace('.', '(dot)')}"]
     if kind == "ip":
         return [value.replace(".", x) for x in ("[.]", "(.)", " . ", "[dot]")]
     digits = "".join(DIGIT.findall(value))
@@ -211,9 +218,45 @@ def variants(kind: str, value: str) -> list[str]:
     return [f"00{digits}", f"+{digits[:-7]}/{digits[-7:-4]}/{digits[-4:]}", f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}.{digits[-7:-4]}.{digits[-4:]}"]
 
 
+def drawn(kind: str, value: str, many: int = 6) -> list[str]:
+    """More such forms, of marks and groups put together at random (seeded by the value), so that the model meets the parts in many orders."""
+    rng, out = random.Random(zlib.crc32(value.encode())), []
+    digits = "".join(DIGIT.findall(value))
+    for _ in range(many):
+        gap = rng.choice(["", " "])
+        if kind == "email":
+            local, _, domain = value.partition("@")
+            left, right = rng.choice(["()", "[]", "{}"])
+            name = rng.choice([local, "".join(c for c in local if c.isalpha()) or "jo"])
+            out.append(f"{name}{gap}{left}{rng.choice(['at', 'AT'])}{right}{gap}{domain.replace('.', rng.choice(['.', f'{gap}{left}dot{right}{gap}']))}")
+        elif kind == "ip":
+            out.append(value.replace(".", gap + rng.choice(["[.]", "(.)", "{.}", "[dot]", "(dot)"]) + gap))
+        elif kind == "card":
+            mark = gap + rng.choice(".-/:|_") + gap
+            out.append(mark.join(digits[i : i + 4] for i in range(0, len(digits), 4)))
+        else:
+            marks, area = rng.choices([" ", "-", ".", "/", " - "], k=3), digits[-10:-7]
+            abroad = rng.choice(["", f"00{digits[:-10]}{marks[0]}", f"+{digits[:-10]}{marks[0]}", f"00 {digits[:-10]} "])
+            out.append(f"{abroad}{rng.choice([area, f'({area})'])}{marks[1]}{digits[-7:-4]}{rng.choice([marks[2], marks[1], ''])}{digits[-4:]}")
+    return out
+
+
+def harmless(value: str, many: int = 4) -> list[str]:
+    """Numbers that are no personal data: dates and times, amounts, ranges, versions and book numbers (seeded by the value)."""
+    rng = random.Random(zlib.crc32(value.encode()) + 1)
+    two, four = (lambda: f"{rng.randint(1, 28):02d}"), (lambda: str(rng.randint(1900, 2099)))
+    forms = [
+        f"{four()}-{two()}-{two()} {two()}:{two()}:{two()}", f"{four()}-{two()}-{two()}T{two()}:{two()}", f"{two()}.{two()}.{four()}, {two()}:{two()}", f"{two()}/{two()}/{four()}", f"{four()}-{four()}", f"{four()} {four()} {four()}",
+        f"{rng.randint(1, 999)},{rng.randint(100, 999)},{rng.randint(100, 999)}.{two()}", f"{rng.randint(1, 99)} {rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(100, 999)}", f"{rng.random():.12f}", f"v{rng.randint(0, 20)}.{rng.randint(0, 99)}.{rng.randint(0, 9)}",
+        f"978-{rng.randint(0, 9)}-{two()}-{rng.randint(100000, 999999)}-{rng.randint(0, 9)}", str(rng.randint(10**9, 10**17)), "meet at " + two() + ":" + two(), f"a ratio of 1:{10 ** rng.randint(9, 14)}",
+    ]
+    return rng.sample(forms, many)
+
+
 def labelled(text: str, around: int = 40, widest: int = 60) -> list[tuple[np.ndarray, np.ndarray]]:
     """(features, labels) of the windows of a text, cut to `widest` tokens: the rules' spans where they stand, and once for
-    each variant of a span, put in its place among what is around it."""
+    each variant of a span that the rules miss, put in its place among what is around it; and numbers that are
+    no personal data in the same places."""
     base, out = base_spans(text), []
 
     def add(shown: str, spans: list[Span]) -> None:
@@ -226,12 +269,14 @@ def labelled(text: str, around: int = 40, widest: int = 60) -> list[tuple[np.nda
         before, after = text[max(0, a - around) : a], text[b : b + around]
         if not apart([(kind, a - around, b + around)], [s for s in base if s[1:] != (a, b)]):
             continue  # another span nearby would be unlabelled
-        for form in variants(kind, text[a:b]):
+        for form in variants(kind, text[a:b]) + drawn(kind, text[a:b]):
             add(before + form + after, [(kind, len(before), len(before) + len(form))])
+        for form in harmless(text[a:b]):
+            add(before + form + after, [])
     return out
 
 
-def train(docs: DataFrame, most_texts: int = 600, most_bytes: int = 8 << 20, longest: int = 1 << 17, most_windows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Crf:
+def train(docs: DataFrame, most_texts: int = 600, most_bytes: int = 8 << 20, longest: int = 1 << 17, most_windows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Crf:
     """A model from a small labelled table (labelled()): at most most_texts texts that hold a digit or an at sign, those of least MD5
     of id and text, none over `longest` bytes, most_bytes in all, and at most most_windows windows of them, left out evenly."""
     rows = docs.where(F.col(text_col).rlike("[0-9@]") & (F.octet_length(text_col) <= longest)).select(sample_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
@@ -241,7 +286,7 @@ def train(docs: DataFrame, most_texts: int = 600, most_bytes: int = 8 << 20, lon
         if size + own <= most_bytes:
             size += own
             windows += labelled(row.text)
-    windows = windows[:: -(-len(windows) // most_windows) or 1]
+    windows = windows if len(windows) <= most_windows else [windows[i] for i in np.linspace(0, len(windows) - 1, most_windows).astype(int)]
     return Crf().fit([f for f, _ in windows], [y for _, y in windows])
 
 
@@ -249,11 +294,14 @@ def plausible(kind: str, text: str) -> bool:
     """The checks of the rules hold for the model's spans too: what a rule's check has rejected doesn't come back."""
     digits = "".join(DIGIT.findall(text))
     if kind == "email":
-        return bool(re.fullmatch(r"(?is)[^\s@]+\s*(?:@|[\[(]at[\])])\s*\S+(?:\.|\s*[\[(]dot[\])]\s*)\S+", text))
+        return bool(ADDRESS.fullmatch(text) or SPELLED.fullmatch(text))
     if kind == "ip":
         parts = re.split(r"[^0-9]+", text)
         return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
-    return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15 and len(digits) < len(text)
+    if kind == "card":
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    abroad = text.startswith("00")  # in place of the plus
+    return 10 <= len(digits) - 2 * abroad <= 15 and (abroad or len(digits) < len(text))
 
 
 def field_spans(crf: Crf, texts: list[str]) -> list[list[Span]]:
