@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import physics, rotation, text, units
-from tidemark.operators import gates, lookups, modes, motion, sliced, statistics, windows
+from tidemark.operators import agreement, gates, lookups, modes, motion, sliced, statistics, windows
 from tidemark.operators.sliced import Series
 from tidemark.plans.catalog import ORDER, OVER, QUERIES, log, query, scalar, six
 
@@ -334,14 +334,12 @@ def join_nearest(e: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH a AS (SELECT user_id, round_even({US} / 1e6 / 3600, 0)::BIGINT AS tick, max(value) AS v FROM events GROUP BY ALL)
-SELECT x.user_id AS a, y.user_id AS b, count(*) AS n, round(avg(((x.v > 30) = (y.v > 30))::INTEGER), 6) AS agree FROM a x JOIN a y ON x.tick = y.tick AND y.user_id = x.user_id + 10 GROUP BY ALL""")
+SELECT x.user_id AS a, y.user_id AS b, count(*) AS n, round(avg(((x.v > 30) = (y.v > 30))::INTEGER), 6) AS agree FROM a x JOIN a y ON x.tick = y.tick AND x.user_id < y.user_id AND x.user_id % 10 = y.user_id % 10 GROUP BY ALL""")
 def sensor_pairs(e: DataFrame) -> DataFrame:
-    """Neighbouring devices, ten numbers apart, that report in the same hour, and how often both or neither are active."""
+    """Pairs of devices of one group that report in the same hour, and how often both or neither are active."""
     tick = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000 / 3600).cast("long")
-    own = e.groupBy("user_id", tick.alias("tick")).agg(F.max("value").alias("v"))
-    x, y = own.toDF("a", "tick", "va").withColumn("b", F.col("a") + 10), own.toDF("b", "tick", "vb")
-    same = ((F.col("va") > 30) == (F.col("vb") > 30)).cast("int")
-    return x.join(y, ["b", "tick"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), six(F.avg(same)).alias("agree"))
+    own = e.groupBy("user_id", tick.alias("tick")).agg((F.max("value") > 30).alias("active")).withColumn("g", F.col("user_id") % 10)
+    return agreement.agreement(own, "g", "user_id", "tick", "active").withColumn("agree", six(F.col("agree")))
 
 
 @query("""WITH s AS (SELECT event_type AS a, epoch_us(ts) // 3600000000 AS tick, avg(value) AS v FROM events GROUP BY ALL), n AS (SELECT min(tick) AS t0, max(tick) - min(tick) + 1 AS n FROM s),
