@@ -4,10 +4,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.plain import groups, shingles
-from tidemark.llm import decontaminate, language, near_copies
+from tidemark.llm import decontaminate, language, near_copies, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -78,3 +79,30 @@ def test_near_dedup_without_drawn_links(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "ROUNDS", rounds)
         assert {r.doc_id for r in near_copies.keep_representatives(docs).collect()} == want
     assert len(want) < 150
+
+
+def test_near_dedup_by_fingerprints_and_pivot_tables(spark, monkeypatch):
+    """Copies with one other word are found without any band; without the tables' cells and bands only equal fingerprints are."""
+    rng, rows = np.random.default_rng(4), []
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 200)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1] + ["other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "band_keys", lambda hashes: [])
+    left = {r.doc_id for r in near_copies.keep_representatives(docs).collect()}
+    assert left >= set(range(0, 80, 2)) and len(left) < 48
+    monkeypatch.setattr(simhash, "cell_keys", lambda blocks, distance: [F.xxhash64("fp")])
+    prints = [near_copies.fingerprint(near_copies.shingles(t)) for _, t in rows]
+    equal = sum(a == b for a, b in zip(prints[::2], prints[1::2], strict=True))
+    assert near_copies.keep_representatives(docs).count() == 80 - equal and equal < 20
+
+
+def test_fingerprint_is_the_majority_of_bits(monkeypatch):
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 37):
+        hashes = rng.integers(0, 1 << 64, n, np.uint64)
+        want = [2 * sum(int(b) for b in column) > n for column in zip(*(f"{int.from_bytes(int(h).to_bytes(8, 'little'), 'big'):064b}" for h in hashes), strict=True)] or [False] * 64
+        for chunk in (8192, 5):
+            monkeypatch.setattr(near_copies, "CHUNK", chunk)
+            bits = near_copies.fingerprint(hashes) & (1 << 64) - 1
+            assert f"{int.from_bytes(bits.to_bytes(8, 'little'), 'big'):064b}" == "".join(str(int(x)) for x in want)

@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of word shingles, searched with banded MinHash keys."""
+"""Near copies by the exact Jaccard similarity of word shingles, searched with SimHash and pivot distance tables and completed with banded MinHash keys."""
 
 from __future__ import annotations
 
@@ -10,14 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW, components, keyed, release, staged, without_rows
+from tidemark.llm import simhash
+from tidemark.llm.common import ROW, among, components, keyed, release, staged, without_rows
 
 WIDTH = 5
 BANDS, IN_BAND = 24, 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 13
+#: Bits by which fingerprints that the pivot distance tables find differ at most.
+DISTANCE = 4
 #: Places of parity(), and rounds of links to a node drawn from each band.
-PLACES, ROUNDS = 512, 2
+PLACES, ROUNDS = 512, 3
 _rng = np.random.default_rng(19)
 XOR = _rng.integers(0, 1 << 32, BANDS * IN_BAND, np.uint64).astype(np.uint32)[:, None]
 MUL = (_rng.integers(0, 1 << 31, BANDS * IN_BAND, np.uint64) * 2 + 1).astype(np.uint32)[:, None]
@@ -39,6 +42,14 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(out * MIX)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of 64-bit hashes, as a signed number: a bit is 1 if set in over half of them. Long texts are read in chunks."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes)).view(np.int64)[0])
+
+
 def band_keys(hashes: np.ndarray) -> list[int]:
     """One key for each band of MinHash values. Long texts are read in chunks."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -60,10 +71,12 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", similarit
     """One row (row, node, root) for each row of docs: rows of equal shingles have one node, and nodes linked by a
     Jaccard similarity of at least `similarity` over any number of steps have one root.
 
-    Nodes meet where all five values of one of 24 bands of MinHash values agree: two of similarity 0.8 miss each
+    Nodes have a SimHash of their shingles. Fingerprints at most `DISTANCE` bits apart are found by pivot distance tables (simhash.links: cells, coordinate differences,
+    exact Hamming distance); each is compared with the least so near, and nodes of one fingerprint with its least. At a similarity of 0.8 about ten of 64 bits
+    differ, so this finds the near copies with few edits. The others meet where all five values of one of 24 bands of MinHash values agree: two of similarity 0.8 miss each
     other with a chance of (1 - 0.8 ** 5) ** 24, below 1e-4, and more similar ones less often. Of
-    those that meet the similarity is computed from their whole sets of shingles (64-bit hashes). Each node is
-    first compared with the least of its bands' nodes only, then, for `ROUNDS` rounds, with one drawn anew from each band that still has several components.
+    those that meet either way the similarity is computed from their whole sets of shingles (64-bit hashes). In bands, nodes that the fingerprints left apart are
+    compared, for `ROUNDS` rounds, with one drawn anew from each band that still has several components.
     What these links left apart in a band is compared where it shares a rare hash (prefix filter) and differs in few enough bits of parity (both
     exact), so neither a dense group of copies nor one of texts with a common part costs a comparison of all its pairs.
     """
@@ -73,7 +86,8 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", similarit
             sets = [shingles(t or "") for t in batch.column(1).to_pylist()]
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             keys = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array([len(s) for s in sets], pa.int64()), keys], names=["row", "digest", "size", "keys"])
+            sizes, prints = pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, sizes, prints, keys], names=["row", "digest", "size", "fp", "keys"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,13 +95,9 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", similarit
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], names=["node", "hashes", "parity"])
 
     rows = docs.select(F.col(row_col).cast("long").alias("row"), F.col(text_col).alias("text"))
-    signed = staged(rows.mapInArrow(sign, "row long, digest binary, size long, keys array<long>"), "near-signed")
+    signed = staged(rows.mapInArrow(sign, "row long, digest binary, size long, fp long, keys array<long>"), "near-signed")
     nodes = staged(signed.groupBy("digest").agg(F.min("row").alias("node")), "near-nodes")
-    placed = signed.join(nodes, signed.row == nodes.node, "left_semi").select(F.col("row").alias("node"), "size", F.explode("keys").alias("key"))
-    leads = placed.groupBy("key").agg(F.min("node").alias("lead"), F.min(F.struct("node", "size"))["size"].alias("lead_size"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = staged(placed.join(leads, "key"), "near-members")
-    asked = members.select("node").distinct()
-    sets = staged(rows.join(asked, rows.row == asked.node, "left_semi").mapInArrow(hashed, "node long, hashes array<long>, parity array<long>"), "near-sets")
+    lone = among(signed, "row", nodes.select("node")).withColumnRenamed("row", "node")
 
     def close(a: str, b: str):
         """Sets of these sizes can be similar enough."""
@@ -98,18 +108,41 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", similarit
         bits = sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PLACES // 64))
         return bits <= (F.col(size_a) + F.col(size_b)) * ((1 - similarity) / (1 + similarity)) + 1e-9
 
+    def by_fingerprint() -> DataFrame:
+        """Pairs of nodes of near fingerprints, at most two for each node."""
+        heads = staged(lone.where("size > 0").groupBy("fp").agg(F.min(F.struct("node", "size")).alias("head")), "near-heads")
+        nearest = staged(simhash.links(heads.select("fp"), DISTANCE, name="near-simhash").groupBy("dst").agg(F.min("src").alias("src")), "near-nearest")
+        a, b = heads.toDF("src", "a"), heads.toDF("dst", "b")
+        pairs = nearest.join(a, "src").join(b, "dst").select("a", "b")
+        pairs = pairs.union(lone.join(heads, "fp").where(F.col("node") > F.col("head.node")).select("head", F.struct("node", "size")))
+        pairs = pairs.where(close("a.size", "b.size")).select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst"))
+        pairs = staged(pairs, "near-prints")
+        release(heads, nearest)
+        return pairs
+
+    prints = by_fingerprint()
+    placed = lone.select("node", "size", F.explode("keys").alias("key"))
+    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = staged(placed.join(shared, "key", "left_semi"), "near-members")
+    asked = members.select("node").union(prints.select("src")).union(prints.select("dst"))
+    sets = staged(among(rows, "row", asked).mapInArrow(hashed, "node long, hashes array<long>, parity array<long>"), "near-sets")
+    made = [signed, nodes, prints, sets]
+
     def similar(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select("node", "hashes").toDF("src", "a"), sets.select("node", "hashes").toDF("dst", "b")
+        pairs = staged(pairs, "near-pairs")
+        made.append(pairs)
+        a, b = (among(sets.select("node", "hashes"), "node", pairs.select(c)).toDF(c, n) for c, n in (("src", "a"), ("dst", "b")))
         common = F.size(F.array_intersect("a", "b"))
         both = pairs.join(a, "src").join(b, "dst").select("src", "dst", common.alias("c"), (F.size("a") + F.size("b")).alias("s"))
-        return both.where(F.col("c") / (F.col("s") - F.col("c")) >= similarity).select("src", "dst")
+        both = staged(both.where(F.col("c") / (F.col("s") - F.col("c")) >= similarity).select("src", "dst"), "near-links")
+        made.append(both)
+        return both
 
     def similar_after_parity(pairs: DataFrame) -> DataFrame:
         marks = sets.select("node", F.size("hashes").alias("size"), "parity")
         return similar(pairs.join(marks.toDF("src", "size_a", "pa"), "src").join(marks.toDF("dst", "size_b", "pb"), "dst").where(few_apart("pa", "pb", "size_a", "size_b")).select("src", "dst"))
 
-    first = members.where(close("size", "lead_size") & (F.col("node") > F.col("lead"))).select(F.col("lead").alias("src"), F.col("node").alias("dst")).distinct()
-    found = staged(similar_after_parity(first), "near-links")
+    found = similar_after_parity(prints)
     for turn in range(ROUNDS + 1):
         roots = components(found, "near")
         apart = staged(members.select("key", "node", "size").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "near-apart")
@@ -122,14 +155,14 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", similarit
             break
         src, dst = F.least("node", "drawn.node"), F.greatest("node", "drawn.node")
         asked = apart.where((F.col("root") != F.col("drawn.root")) & close("size", "drawn.size")).select(src.alias("src"), dst.alias("dst")).distinct()
-        more = staged(similar_after_parity(asked), "near-links")
+        more = similar_after_parity(asked)
         if more.isEmpty():
             break
         found = found.union(more)
     # Sets of such similarity share one of their rarest hashes: of n hashes, ordered by how many nodes here have them, one of the first
     # n - ceil(similarity * n) + 1. Texts that have only a common part in common don't meet, however many they are.
     left = staged(apart.select("node", "root", "size").distinct(), "near-left")
-    tokens = sets.join(left.select("node"), "node", "left_semi").select("node", F.explode("hashes").alias("hash"))
+    tokens = among(sets, "node", left.select("node")).select("node", F.explode("hashes").alias("hash"))
     often = tokens.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     own = Window.partitionBy("node")
     # Hashes of one node only come first in that order and meet nothing: they are counted, not ranked.
@@ -142,10 +175,12 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", similarit
     reachable = 1 + F.least(F.col("size_a") - F.col("rank_a"), F.col("size_b") - F.col("rank_b"))
     enough = reachable >= (F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-9
     last = a.join(b, "hash").where((F.col("src") < F.col("dst")) & (F.col("root_a") != F.col("root_b")) & close("size_a", "size_b") & enough & few_apart("pa", "pb", "size_a", "size_b"))
-    last = staged(last.select("src", "dst").distinct(), "near-last")
+    found = found.union(similar(last.select("src", "dst").distinct()))
     release(apart, left, rare)
-    roots = components(found.union(similar(last)), "near").withColumnRenamed("node", "_node")
-    return signed.join(nodes, "digest").join(roots, F.col("node") == F.col("_node"), "left").select("row", "node", F.coalesce("root", "node").alias("root"))
+    roots = components(found, "near").withColumnRenamed("node", "_node")
+    groups = staged(signed.select("row", "digest").join(nodes, "digest").join(roots, F.col("node") == F.col("_node"), "left").select("row", "node", F.coalesce("root", "node").alias("root")), "near-found")
+    release(roots, *made)
+    return groups
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -156,7 +191,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stay as they are.
     """
     docs = keyed(docs, "near-rows")
-    found = staged(near_copies(docs, ROW, text_col, similarity), "near-found")
+    found = near_copies(docs, ROW, text_col, similarity)
     ids = docs.select(F.col(ROW).alias("row"), F.col(id_col).alias("id"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     kept = found.join(ids, "row").groupBy("root").agg(F.min(order)["row"].alias("kept"))
