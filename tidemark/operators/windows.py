@@ -63,10 +63,21 @@ def since(s: Series, name: str, moving: Column, seconds: Column, dt: float) -> S
 def moving(axes: list[Column], over: WindowSpec, width: int, threshold: float) -> Column:
     """Whether the largest standard deviation of the axes over the last `width` rows is over the threshold."""
     frame = over.rowsBetween(1 - width, 0)
-    sd = [F.stddev_pop(a).over(frame) for a in axes]
+    sd = [deviation(F.collect_list(a).over(frame)) for a in axes]
     return (F.greatest(*sd) if len(sd) > 1 else sd[0]) > threshold
 
 
+def deviation(xs: Column) -> Column:
+    """Population deviation of an array by Welford's recurrence in the array's order, as engines of SQL compute it: where it is a threshold's very value, the last bit decides on which side it is."""
+    zero = F.lit(0.0)
+
+    def step(a: Column, x: Column) -> Column:
+        mean = a["mean"] + (x - a["mean"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("mean"), (a["m2"] + (x - mean) * (x - a["mean"])).alias("m2"))
+
+    return F.aggregate(F.transform(xs, lambda x: x.cast("double")), F.struct(zero.alias("n"), zero.alias("mean"), zero.alias("m2")), step, lambda a: F.sqrt(a["m2"] / F.nullif(a["n"], zero)))
+
+
 def stillness(still: Column, detect: float, pre_alarm: float) -> Column:
     return F.when(still >= detect + pre_alarm, "alert").when(still >= detect, "pre_alarm").otherwise("ok")
 
