@@ -4,6 +4,9 @@ A series of more than `rows` rows is cut into slices at quantiles of its time. W
 the end of the slices before it (sums, extremes, last known values: each slice's last row has its summary, the summaries are scanned, and the scan is
 joined back), or a few rows beyond its borders (bounded frames: those rows are dealt to the neighbouring slices too, as a halo). So one device with all rows is many
 tasks, and a table without long series has the plan of plain windows.
+
+Each step reads a cut table several times, so it is settled first: else every step would compute all before it anew for each reading. The cuts are approximate quantiles, which
+can differ from one computation to the next; they are settled too, so that all readings see the same slices.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators.staging import settled
+
 ROWS, PARTS = 50_000, 256
 HELPERS = ("_slice", "_long")
 
@@ -73,6 +78,7 @@ class Series:
 
     def __init__(self, df: DataFrame, key: str, order: list[str], rows: int | None = None, cut: list[str] | None = None) -> None:
         self.df, self.key, self.order = df, key, order
+        self.ready = False  # whether df can be read several times at little cost
         if cut is not None:
             self.columns = cut
             return
@@ -81,14 +87,16 @@ class Series:
         sizes = df.groupBy(F.col(key).alias("_slice_key")).agg(F.count(F.lit(1)).alias("_slice_n")).where(F.col("_slice_n") > rows)
         if sizes.isEmpty():
             return
+        df, self.ready = settled(df), True
         time = order[0]
         grid = [k / PARTS for k in range(1, PARTS)]
         long = df.select(F.col(key), F.col(time).alias("_slice_time")).join(sizes, F.col(key).eqNullSafe(F.col("_slice_key")))
         every = F.ceil(F.lit(PARTS * rows) / F.col("_slice_n"))
         cuts = long.groupBy("_slice_key").agg(F.percentile_approx("_slice_time", grid, 20 * PARTS).alias("_slice_all"), F.first("_slice_n").alias("_slice_n"))
         cuts = cuts.select("_slice_key", F.array_distinct(F.filter("_slice_all", lambda _, i: (i + 1) % every == 0)).alias("_slice_cuts"))
+        cuts = settled(cuts)
         at = F.size(F.filter("_slice_cuts", lambda c: c < F.col(time)))
-        cut_rows = df.join(cuts, F.col(key).eqNullSafe(F.col("_slice_key")), "left")
+        cut_rows = df.join(F.broadcast(cuts), F.col(key).eqNullSafe(F.col("_slice_key")), "left")
         self.df = cut_rows.select(*df.columns, F.when(F.col("_slice_cuts").isNull(), 0).otherwise(F.coalesce(at, F.lit(0))).alias("_slice"), F.col("_slice_cuts").isNotNull().alias("_long"))
 
     @property
@@ -103,7 +111,15 @@ class Series:
         return Series(df, self.key, self.order, cut=[c for c in df.columns if c not in HELPERS])
 
     def with_columns(self, **columns: Column) -> Series:
-        return self.same(self.df.withColumns(columns))
+        made = self.same(self.df.withColumns(columns))
+        made.ready = self.ready
+        return made
+
+    def at_hand(self) -> Series:
+        """The same cut series, computed."""
+        if not self.ready:
+            self.df, self.ready = settled(self.df), True
+        return self
 
     def window(self, *also: str, backwards: bool = False) -> WindowSpec:
         return Window.partitionBy(self.key, *also).orderBy(*(F.desc(c) if backwards else F.asc(c) for c in self.order))
@@ -114,6 +130,8 @@ class Series:
 
     def running(self, **folds: Fold) -> Series:
         """With a column for each fold."""
+        if self.is_cut:
+            self.at_hand()
         within = ["_slice"] if self.is_cut else []
         w = self.window(*within)
         # A frame up to the last row would be summed anew for each row; in reverse order it is a running one.
@@ -135,6 +153,7 @@ class Series:
         """With columns made from a window that is ordered but has no frame yet; they may look `before` rows back and `after` rows ahead."""
         if not self.is_cut:
             return self.same(self.df.select(*self.others(columns), *(f(self.window()).alias(n) for n, f in columns.items())))
+        self.at_hand()
         long, k = self.df.where("_long"), F.col(self.key).alias("_slice_key")
         order = Window.partitionBy("_slice_key").orderBy("_slice_at")
         sizes = long.groupBy(k, F.col("_slice").alias("_slice_at")).agg(F.count(F.lit(1)).alias("_slice_size"))
