@@ -56,11 +56,11 @@ def quiet(log: DataFrame, key: str, order: list[str], accel: str, width: int = 2
     return own.withColumn("quiet", F.coalesce((near < 0.05) & (F.col("_steady") < F.col("_half")), F.lit(False))).drop("_size", "_steady", "_half", "_key")
 
 
-def resting(log: DataFrame, key: str, order: list[str], rate: str, accel: str, rows: int | None = None) -> DataFrame:
+def resting(log: Series, rate: str, accel: str) -> Series:
     """log with `rest` and `moving`, by the median of ten rows' rates around each, and an acceleration near 1 for rest."""
     middle = lambda w: F.percentile(rate, F.lit(0.5)).over(w.rowsBetween(-5, 4))
-    own = Series(log, key, order, rows).framed(5, 4, _middle=middle).rows
-    return own.withColumn("moving", F.coalesce(F.col("_middle") >= MOVING, F.lit(False))).withColumn("rest", F.coalesce((F.col("_middle") < MOVING) & (F.abs(length(accel) - 1) < 0.05), F.lit(False))).drop("_middle")
+    own = log.framed(5, 4, _middle=middle).with_columns(moving=F.coalesce(F.col("_middle") >= MOVING, F.lit(False)), rest=F.coalesce((F.col("_middle") < MOVING) & (F.abs(length(accel) - 1) < 0.05), F.lit(False)))
+    return own.same(own.df.drop("_middle"))
 
 
 def tilted(q: str, accel: str) -> Column:

@@ -84,13 +84,13 @@ class Series:
             return
         self.columns = df.columns
         rows = rows or ROWS
-        sizes = df.groupBy(F.col(key).alias("_slice_key")).agg(F.count(F.lit(1)).alias("_slice_n")).where(F.col("_slice_n") > rows)
-        if sizes.isEmpty():
+        sizes = lambda d: d.groupBy(F.col(key).alias("_slice_key")).agg(F.count(F.lit(1)).alias("_slice_n")).where(F.col("_slice_n") > rows)
+        if sizes(df).isEmpty():
             return
         df, self.ready = settled(df), True
         time = order[0]
         grid = [k / PARTS for k in range(1, PARTS)]
-        long = df.select(F.col(key), F.col(time).alias("_slice_time")).join(sizes, F.col(key).eqNullSafe(F.col("_slice_key")))
+        long = df.select(F.col(key), F.col(time).alias("_slice_time")).join(F.broadcast(sizes(df)), F.col(key).eqNullSafe(F.col("_slice_key")))
         every = F.ceil(F.lit(PARTS * rows) / F.col("_slice_n"))
         cuts = long.groupBy("_slice_key").agg(F.percentile_approx("_slice_time", grid, 20 * PARTS).alias("_slice_all"), F.first("_slice_n").alias("_slice_n"))
         cuts = cuts.select("_slice_key", F.array_distinct(F.filter("_slice_all", lambda _, i: (i + 1) % every == 0)).alias("_slice_cuts"))
@@ -107,20 +107,25 @@ class Series:
     def rows(self) -> DataFrame:
         return self.df.drop(*HELPERS)
 
-    def same(self, df: DataFrame) -> Series:
-        return Series(df, self.key, self.order, cut=[c for c in df.columns if c not in HELPERS])
+    def same(self, df: DataFrame, ready: bool = False) -> Series:
+        """The series with other columns. ready: df is as easily read as this one's."""
+        made = Series(df, self.key, self.order, cut=[c for c in df.columns if c not in HELPERS])
+        made.ready = ready and self.ready
+        return made
 
     def with_columns(self, **columns: Column) -> Series:
-        made = self.same(self.df.withColumns(columns))
-        made.ready = self.ready
-        return made
+        return self.same(self.df.withColumns(columns), ready=True)
 
     def at_hand(self) -> Series:
-        """The same cut series, computed."""
-        if not self.ready:
+        """This series, and if it is cut, computed: for what reads it several times."""
+        if self.is_cut and not self.ready:
             self.df, self.ready = settled(self.df), True
         return self
 
+    def beside(self, table: DataFrame) -> DataFrame:
+        """A table of one row a key, to be joined to this series' rows. A join by key would bring a whole series into one task, so where series are cut the table is broadcast."""
+        return F.broadcast(table) if self.is_cut else table
+
     def window(self, *also: str, backwards: bool = False) -> WindowSpec:
         return Window.partitionBy(self.key, *also).orderBy(*(F.desc(c) if backwards else F.asc(c) for c in self.order))
 
@@ -130,8 +135,7 @@ class Series:
 
     def running(self, **folds: Fold) -> Series:
         """With a column for each fold."""
-        if self.is_cut:
-            self.at_hand()
+        self.at_hand()
         within = ["_slice"] if self.is_cut else []
         w = self.window(*within)
         # A frame up to the last row would be summed anew for each row; in reverse order it is a running one.

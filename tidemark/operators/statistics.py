@@ -15,12 +15,15 @@ from tidemark.operators import sliced
 from tidemark.operators.sliced import Series
 
 
-def running_counts(df: DataFrame, key: str, value: str, counts: dict[str, Column], rows: int | None = None) -> DataFrame:
-    """One row for each key and distinct value: the counts (sums of rows, or of anything), "<name>_upto" (of this and all lesser values), "<name>_all", and next_value."""
+def running_counts(df: DataFrame, key: str, value: str, counts: dict[str, Column], rows: int | None = None, following: bool = False) -> DataFrame:
+    """One row for each key and distinct value: the counts (sums of rows, or of anything), "<name>_upto" (of this and all lesser values), "<name>_all", and if asked for, next_value, the one following."""
     counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(*(c.alias(n) for n, c in counts.items()))
     folds = {f"{n}_upto": sliced.total(F.col(n)) for n in counts} | {f"{n}_from": sliced.remaining(F.col(n)) for n in counts}
-    own = Series(counted, key, [value], rows).framed(0, 1, next_value=lambda w: F.lead(value).over(w)).running(**folds)
-    return own.rows.select(key, value, *counts, *(c for n in counts for c in (F.col(f"{n}_upto"), (F.col(f"{n}_upto") + F.col(f"{n}_from") - F.col(n)).alias(f"{n}_all"))), "next_value")
+    own = Series(counted, key, [value], rows)
+    if following:
+        own = own.framed(0, 1, next_value=lambda w: F.lead(value).over(w))
+    own = own.running(**folds)
+    return own.rows.select(key, value, *counts, *(c for n in counts for c in (F.col(f"{n}_upto"), (F.col(f"{n}_upto") + F.col(f"{n}_from") - F.col(n)).alias(f"{n}_all"))), *(["next_value"] if following else []))
 
 
 def between(value: str, shares: dict[str, float]) -> list[Column]:
@@ -51,7 +54,7 @@ def mad(df: DataFrame, key: str, value: str, rows: int | None = None) -> DataFra
 
 def distances(df: DataFrame, key: str, value: str, side: str, rows: int | None = None) -> DataFrame:
     """Kolmogorov-Smirnov and Wasserstein distances of the two sides (0 and 1) of each key."""
-    ranked = running_counts(df, key, value, {f"n{s}": F.count(F.when(F.col(side) == s, 1)) for s in (0, 1)}, rows)
+    ranked = running_counts(df, key, value, {f"n{s}": F.count(F.when(F.col(side) == s, 1)) for s in (0, 1)}, rows, following=True)
     gap = F.abs(F.col("n0_upto") / F.nullif(F.col("n0_all"), F.lit(0)) - F.col("n1_upto") / F.nullif(F.col("n1_all"), F.lit(0)))
     return ranked.groupBy(key).agg(F.max(gap).alias("ks"), F.sum(gap * (F.col("next_value") - F.col(value))).alias("wasserstein"))
 
@@ -115,7 +118,7 @@ def similarity(df: DataFrame, key: str, value: str, side: str, order: list[str],
     kinds = F.array(F.struct(F.lit("v").alias("kind"), F.col(value).alias("x")), F.struct(F.lit("k").alias("kind"), F.round(value, 4).alias("x")), F.struct(F.lit("s").alias("kind"), F.col("_step").alias("x")))
     long = steps.select(key, side, F.inline(kinds)).select(F.struct(key, "kind").alias("_k"), "x", side)
     at = lambda kind, s: F.when((F.col("_k.kind") == kind) & (F.col(f"n{s}") > 0), F.col("x"))
-    ranked = running_counts(long, "_k", "x", {f"n{s}": F.count(F.when(F.col(side) == s, 1)) for s in (0, 1)}, rows)
+    ranked = running_counts(long, "_k", "x", {f"n{s}": F.count(F.when(F.col(side) == s, 1)) for s in (0, 1)}, rows, following=True)
     gap = F.abs(F.col("n0_upto") / F.nullif(F.col("n0_all"), F.lit(0)) - F.col("n1_upto") / F.nullif(F.col("n1_all"), F.lit(0)))
     of = lambda kind, c: F.when(F.col("_k.kind") == kind, c)
     area = gap * (F.col("next_value") - F.col("x"))
