@@ -19,23 +19,25 @@ def phases(df: DataFrame, key: str, order: list[str], value: str, width: int, vo
     whole = lambda w: windows.centred(width, w)
     own = Series(df, key, order, rows).framed(width // 2, (width - 1) // 2, _noise=lambda w: F.when(F.count(value).over(whole(w)) == width, F.stddev_samp(value).over(whole(w))))
     own = own.same(settled(own.df))
+    own.ready = True
     cuts = statistics.otsu(own.rows, key, "_noise", rows=rows).drop("percentile").withColumnRenamed(key, "_key")
     enough = own.rows.groupBy(F.col(key).alias("_ekey")).agg(F.count("_noise").alias("_n")).where("_n >= 100").drop("_n")
-    cuts = cuts.join(enough, F.col("_key").eqNullSafe(F.col("_ekey"))).drop("_ekey")
-    cut = own.same(own.df.join(cuts, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn("_on", F.when(F.col("_noise") > F.col("threshold"), 1.0).when(F.col("_noise").isNotNull(), 0.0)))
+    cuts = settled(cuts.join(enough, F.col("_key").eqNullSafe(F.col("_ekey"))).drop("_ekey"))
+    cut = own.same(own.df.join(own.beside(cuts), F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn("_on", F.when(F.col("_noise") > F.col("threshold"), 1.0).when(F.col("_noise").isNotNull(), 0.0)), ready=own.is_cut)
     voted = cut.framed(vote // 2, (vote - 1) // 2, _share=lambda w: F.avg("_on").over(windows.centred(vote, w)))
     state = F.when(F.col("_share").isNull(), "unknown").when(F.col("_share") > 0.5, "on").otherwise("off")
-    return voted.rows.withColumn("state", state).drop("_noise", "_on", "_share")
+    return voted.at_hand().rows.withColumn("state", state).drop("_noise", "_on", "_share")
 
 
 def durations(df: DataFrame, key: str, time: str, state: str, gap: float = 60.0, least: float = 30.0, also: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """(key, state, start, seconds): phases one after another, in seconds of the clock, those of more than `least`. A gap of more than `gap` between rows is an off phase;
     what lies next to another phase of the same state is one with it. also: what orders rows of one time."""
-    own = Series(df.select(key, time, state, *(also or [])), key, [time, *(also or [])], rows).framed(1, _before=lambda w: F.lag(time).over(w), _was=lambda w: F.lag(state).over(w)).rows
+    own = Series(df.select(key, time, state, *(also or [])), key, [time, *(also or [])], rows).framed(1, _before=lambda w: F.lag(time).over(w), _was=lambda w: F.lag(state).over(w))
     jump = F.coalesce(F.col(time) - F.col("_before") > gap, F.lit(False))
     begins = F.array(F.when(jump, F.struct(F.col("_before").alias("start"), F.lit(1).alias("after"), F.lit("off").alias("s"))), F.when(F.col("_before").isNull() | jump | ~F.col(state).eqNullSafe(F.col("_was")), F.struct(F.col(time).alias("start"), F.lit(0).alias("after"), F.col(state).alias("s"))))
     # Two phases can begin at one time: a row's, and the gap behind it.
-    events = own.select(key, F.explode(F.filter(begins, lambda x: x.isNotNull())).alias("_e")).select(key, "_e.start", "_e.after", F.col("_e.s").alias("state"))
+    events = own.rows.select(key, F.explode(F.filter(begins, lambda x: x.isNotNull())).alias("_e")).select(key, "_e.start", "_e.after", F.col("_e.s").alias("state"))
+    events = settled(events) if own.is_cut else events
     ran = windows.run_id(Series(events, key, ["start", "after"], rows), "_run", "state").rows.groupBy(key, "_run").agg(F.min("start").alias("start"), F.first("state").alias("state"))
     ends = df.groupBy(F.col(key).alias("_key")).agg(F.max(time).alias("_end"))
     next_start = Series(ran, key, ["_run"], rows).framed(0, 1, _next=lambda w: F.lead("start").over(w)).rows

@@ -185,7 +185,11 @@ def otsu(df: DataFrame, key: str, value: str, shares: list[int] | None = None, l
     ranked = running_counts(centred, key, value, {"n": F.sum("_w"), "s": F.sum(x * F.col("_w")), "q": F.sum(x * x * F.col("_w"))}, rows)
     # Each percentile lies between two ranks: the rows that hold them, a few of each key, have all that is needed of the values up to them.
     rank = lambda p, side: (F.floor if side == "a" else F.ceil)(p / 100 * (F.col("n_all") - 1))
-    held = lambda side: F.transform(F.filter(F.array(*map(F.lit, shares)), lambda p: (rank(p, side) >= F.col("n_upto") - F.col("n")) & (rank(p, side) < F.col("n_upto"))), lambda p: F.struct(p.alias("p"), F.lit(side).alias("side")))
+    # Only percentiles near a row's ranks are tried, not all for each row; the first and last are widened by one against rounding.
+    near = lambda x: F.least(F.greatest(F.coalesce(x, F.lit(min(shares))), F.lit(min(shares))), F.lit(max(shares))).cast("int")
+    part = 100 / F.nullif(F.col("n_all") - 1, F.lit(0))
+    tries = F.sequence(near(F.floor((F.col("n_upto") - F.col("n") - 1) * part) - 1), F.when(F.col("n_all") > 1, near(F.ceil(F.col("n_upto") * part) + 1)).otherwise(max(shares)))
+    held = lambda side: F.transform(F.filter(tries, lambda p: p.isin(shares) & (rank(p, side) >= F.col("n_upto") - F.col("n")) & (rank(p, side) < F.col("n_upto"))), lambda p: F.struct(p.alias("p"), F.lit(side).alias("side")))
     ends = ranked.groupBy(F.col(key).alias("_key")).agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.sum("q").alias("_q"))
     hits = ranked.select(key, F.col(value).alias("v"), "n_upto", "s_upto", "q_upto", "n_all", F.inline(F.concat(held("a"), held("b"))))
     of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{c}_{side}")
