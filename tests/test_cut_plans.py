@@ -15,7 +15,7 @@ def leaves(df: DataFrame) -> int:
     return df._jdf.queryExecution().analyzed().collectLeaves().size()
 
 
-@pytest.mark.parametrize("name", ["fingerprint_distances", "phase_durations"])
+@pytest.mark.parametrize("name", ["fingerprint_distances", "phase_durations", "gate_motion"])
 def test_plans_of_cut_series(spark: SparkSession, name, monkeypatch):
     """Before, the three plans read the events hundreds to thousands of times."""
     whole = plain(map(tuple, catalog.QUERIES[name](spark, SF).collect()))

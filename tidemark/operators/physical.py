@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rotation
 from tidemark.operators import statistics
 from tidemark.operators.sliced import Series
+from tidemark.operators.staging import settled
 
 # Bounds of the checks.
 WIDTH_TOLERANCE, GRAVITY_DEGREES, RATE_TOLERANCE, JUMP, FLIP, MOVING = 1e-3, 2.0, 0.25, 0.3, 0.1, 3.0
@@ -24,7 +25,7 @@ def length(v: str) -> Column:
     return F.sqrt(F.col(f"{v}.x") ** 2 + F.col(f"{v}.y") ** 2 + F.col(f"{v}.z") ** 2)
 
 
-def steps(log: DataFrame, key: str, order: list[str], seconds: str, q: str, rows: int | None = None) -> Series:
+def steps(log: Series, seconds: str, q: str) -> Series:
     """log with `dt` (since the row before), `degrees` turned, and `jump`: whether a component changes by more than 0.3 though the step isn't a change of sign."""
     part = lambda w, c: (F.col(f"{q}.{c}"), F.lag(f"{q}.{c}").over(w))
 
@@ -33,26 +34,28 @@ def steps(log: DataFrame, key: str, order: list[str], seconds: str, q: str, rows
         big = reduce(lambda a, b: a | b, (F.abs(x - y) > JUMP for x, y in pairs))
         return big & ~reduce(lambda a, b: a & b, (F.abs(x + y) < FLIP for x, y in pairs))
 
-    return Series(log, key, order, rows).framed(1, dt=lambda w: F.col(seconds) - F.lag(seconds).over(w), degrees=lambda w: rotation.angle_degrees(F.col(q), F.lag(q).over(w)), jump=lambda w: F.coalesce(jump(w), F.lit(False)))
+    return log.framed(1, dt=lambda w: F.col(seconds) - F.lag(seconds).over(w), degrees=lambda w: rotation.angle_degrees(F.col(q), F.lag(q).over(w)), jump=lambda w: F.coalesce(jump(w), F.lit(False)))
 
 
-def rates(log: DataFrame, key: str, order: list[str], seconds: str, q: str, rows: int | None = None) -> DataFrame:
+def rates(log: Series, seconds: str, q: str, rows: int | None = None) -> DataFrame:
     """steps() with `regular` (no more than twice the key's median step) and `rate` in degrees a second, null on irregular steps."""
-    own = steps(log, key, order, seconds, q, rows).rows
+    key, stepped = log.key, steps(log, seconds, q).at_hand()
+    own = stepped.rows
     usual = statistics.quantiles(own.where("dt > 0"), key, "dt", {"_usual": 0.5}, rows).withColumnRenamed(key, "_key")
-    own = own.join(usual, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    own = own.join(stepped.beside(usual), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     own = own.withColumn("regular", F.coalesce((F.col("dt") > 0) & (F.col("dt") <= 2 * F.col("_usual")), F.lit(False)))
     return own.withColumn("rate", F.when(F.col("regular"), F.col("degrees") / F.col("dt"))).drop("_usual")
 
 
-def quiet(log: DataFrame, key: str, order: list[str], accel: str, width: int = 20, absolute: bool = False, rows: int | None = None) -> DataFrame:
+def quiet(log: Series, accel: str, width: int = 20, absolute: bool = False, rows: int | None = None) -> DataFrame:
     """log with `quiet`: the acceleration is near 1 and steadier than half of the key's rows are (absolute: nearer 1, and steadier than 0.01)."""
-    own = Series(log.withColumn("_size", length(accel)), key, order, rows).framed(width // 2, width // 2, _steady=lambda w: F.when(F.count("_size").over(w.rowsBetween(-(width // 2), (width - 1) // 2)) > 1, F.stddev_samp("_size").over(w.rowsBetween(-(width // 2), (width - 1) // 2)))).rows
+    key, calm = log.key, log.with_columns(_size=length(accel)).framed(width // 2, width // 2, _steady=lambda w: F.when(F.count("_size").over(w.rowsBetween(-(width // 2), (width - 1) // 2)) > 1, F.stddev_samp("_size").over(w.rowsBetween(-(width // 2), (width - 1) // 2)))).at_hand()
+    own = calm.rows
     near = F.abs(F.col("_size") - 1)
     if absolute:
         return own.withColumn("quiet", F.coalesce((near < 0.02) & (F.col("_steady") < 0.01), F.lit(False))).drop("_size", "_steady")
     half = statistics.quantiles(own.where("_size is not null and _steady is not null"), key, "_steady", {"_half": 0.5}, rows).withColumnRenamed(key, "_key")
-    own = own.join(half, F.col(key).eqNullSafe(F.col("_key")), "left")
+    own = own.join(calm.beside(half), F.col(key).eqNullSafe(F.col("_key")), "left")
     return own.withColumn("quiet", F.coalesce((near < 0.05) & (F.col("_steady") < F.col("_half")), F.lit(False))).drop("_size", "_steady", "_half", "_key")
 
 
@@ -76,12 +79,13 @@ def gate(log: DataFrame, reference: DataFrame, key: str, order: list[str], secon
     rate, by a quarter around the reference's; jumps: one-row jumps of the orientation; gap_jumps: jumps over gaps that turn faster than the reference's 99th
     percentile and a quarter; copy: percent of windows that are copied, from copies.copied(). A value that can't be had (no quiet row, no step) is null and fails.
     """
-    own, ref = rates(log, key, order, seconds, q, rows), rates(reference, key, order, seconds, q, rows)
-    usual = statistics.quantiles(ref.where("rate is not null"), key, "rate", {"_usual": 0.99}, rows)
+    series = Series(log, key, order, rows)
+    own, ref, log = rates(series, seconds, q, rows), rates(Series(reference, key, order, rows), seconds, q, rows), series.rows
+    usual = settled(statistics.quantiles(ref.where("rate is not null"), key, "rate", {"_usual": 0.99}, rows))
     fast = statistics.quantiles(own.where("rate is not null"), key, "rate", {"value": 0.99}, rows)
-    calm = statistics.quantiles(quiet(log, key, order, accel, rows=rows).where("quiet").select(key, tilted(q, accel).alias("_tilt")).where("_tilt is not null"), key, "_tilt", {"value": 0.5}, rows)
+    calm = statistics.quantiles(quiet(series, accel, rows=rows).where("quiet").select(key, tilted(q, accel).alias("_tilt")).where("_tilt is not null"), key, "_tilt", {"value": 0.5}, rows)
     wide = log.groupBy(key).agg((100 * F.avg((squared(q) > 1 + WIDTH_TOLERANCE).cast("int"))).alias("value"))
-    limits = own.join(usual.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left")
+    limits = own.join(series.beside(usual.withColumnRenamed(key, "_key")), F.col(key).eqNullSafe(F.col("_key")), "left")
     beyond = F.col("jump") & ~F.col("regular") & (F.col("degrees") / F.greatest("dt", F.lit(1e-3)) > F.col("_usual") * (1 + RATE_TOLERANCE))
     jumps = limits.groupBy(key).agg(F.count(F.when(F.col("jump") & F.col("regular"), 1)).cast("double").alias("a"), F.count(F.when(beyond, 1)).cast("double").alias("b"))
     none, usual = F.lit(None).cast("double"), usual.withColumnRenamed(key, "_key")
